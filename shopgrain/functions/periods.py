@@ -131,6 +131,10 @@ def since(
     return df.filter(F.col("data_venda") >= at["start"])
 
 
+def hours_before(col: Column, n: int) -> Column:
+    return col.cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(n))
+
+
 def seconds_between(later: Column, earlier: Column) -> Column:
     gap = later.cast("timestamp_ntz") - earlier.cast("timestamp_ntz")
     return gap.cast("interval second").cast("decimal(20,6)")

@@ -33,6 +33,12 @@ def tenant_bound(df: DataFrame) -> int | None:
     return df.schema["client_key"].metadata.get(_BOUND)
 
 
+def keep_bound(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Carry the number of shops over an operator that drops column metadata."""
+    bound = tenant_bound(like)
+    return df if bound is None else mark_tenants(df, bound)
+
+
 def hint_small(
     df: DataFrame, rows_per_tenant: int = 1, row_bytes: int = 128
 ) -> DataFrame:

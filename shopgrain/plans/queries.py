@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopgrain.functions import periods
-from shopgrain.operators import abcxyz, catalog, customers, pricing, sales
+from shopgrain.functions.numbers import fmt_brl
+from shopgrain.functions.privacy import mascarar_pii
+from shopgrain.functions.tenancy import tenant_column
+from shopgrain.operators import (
+    abcxyz, anomaly, basket, catalog, customers, forecast, insights, monitor, pricing, report,
+    sales,
+)
 from shopgrain.sources import canonical
-from shopgrain.sources.driver_tables import DriverShop
+from shopgrain.sources.driver_tables import SHOP, DriverShop
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -168,6 +174,168 @@ ALGORITHMS = {
 }
 
 
+def _by_category(s: DriverShop) -> DataFrame:
+    """Items of finished sales with the category in place of the product."""
+    names = s.produtos.select("client_key", "produto_key", "categoria")
+    return _itens_ok(s).join(names, ["client_key", "produto_key"]).withColumn(
+        "produto_key", F.col("categoria")
+    )
+
+
+def _sets(s: DriverShop, support: float = 0.01) -> DataFrame:
+    return basket.itemsets(_by_category(s), support)
+
+
+def _listed(sets: DataFrame) -> DataFrame:
+    return sets.withColumn("itens", F.array_join("itens", ", "))
+
+
+def _rules(s: DriverShop) -> DataFrame:
+    return basket.regras(_sets(s), 0.1, 1.0)
+
+
+def _forecast(s: DriverShop) -> DataFrame:
+    return forecast.forecast(_itens_ok(s))
+
+
+def _summary(s: DriverShop) -> DataFrame:
+    return forecast.forecast_resumo(_forecast(s))
+
+
+def _few_days(s: DriverShop) -> DataFrame:
+    daily = forecast.diario(_itens_ok(s))
+    n = daily.groupBy("client_key", "produto_key").agg(F.count(F.lit(1)).alias("_n"))
+    few = n.filter(F.col("_n") < forecast.ENOUGH_DAYS).drop("_n")
+    return daily.join(few, ["client_key", "produto_key"], "left_semi")
+
+
+def _odd_discounts(s: DriverShop) -> DataFrame:
+    return anomaly.anomalias_desconto(s.vendas_com_desconto)
+
+
+def _odd_sales(s: DriverShop) -> DataFrame:
+    return anomaly.anomalias_vendas(s.vendas_por_evento)
+
+
+MODELS = {
+    "itemsets": lambda s: _listed(_sets(s)),
+    "itemsets_trios": lambda s: _listed(_sets(s, 0.005)),
+    "regras": _rules,
+    "regras_padrao": lambda s: basket.regras(_sets(s)),
+    "regras_trios": lambda s: basket.regras(_sets(s, 0.005), 0.1, 1.0),
+    "sugestoes": lambda s: basket.sugestoes(_rules(s), "Brand#7"),
+    "top_regras": lambda s: basket.top_regras(_rules(s), 50),
+    "basket_view": lambda s: catalog.basket_view(_rules(s)),
+    "forecast_media_movel": lambda s: forecast.forecast_media_movel(_few_days(s)),
+    "forecast_sazonal": lambda s: forecast.forecast_sazonal(forecast.diario(_by_category(s))),
+    "forecast": _forecast,
+    "forecast_categoria": lambda s: forecast.forecast(_by_category(s)),
+    "forecast_resumo": _summary,
+    "forecast_resumo_categoria": lambda s: forecast.forecast_resumo(
+        forecast.forecast(_by_category(s))
+    ),
+    "sugestao_reposicao": lambda s: catalog.sugestao_reposicao(
+        s.estoque, s.produtos, _summary(s)
+    ),
+    "forecast_por_produto": lambda s: catalog.forecast_por_produto(
+        _summary(s), s.estoque, s.produtos
+    ),
+    "anomalias_desconto": _odd_discounts,
+    "anomalias_vendedor": lambda s: anomaly.anomalias_vendedor(s.vendas_com_desconto),
+    "descontos_por_vendedor": lambda s: anomaly.descontos_por_vendedor(_odd_discounts(s)),
+    "anomalias_vendas": _odd_sales,
+    "anomalias_por_hora": lambda s: anomaly.anomalias_por_hora(_odd_sales(s)),
+    "resumo_anomalias": lambda s: anomaly.resumo_anomalias(
+        _odd_sales(s), _odd_discounts(s), s.vendas
+    ),
+}
+
+
+def _resumo(s: DriverShop) -> DataFrame:
+    return sales.vendas_resumo(s.vendas_com_desconto)
+
+
+def _sellers(s: DriverShop) -> DataFrame:
+    return anomaly.anomalias_vendedor(s.vendas_com_desconto)
+
+
+def _history(s: DriverShop) -> DataFrame:
+    """Each event read as one earlier showing of an insight."""
+    tipo = (
+        F.when(F.col("event_type") == "purchase", "performance")
+        .when(F.col("event_type") == "error", "anomalia_desconto")
+        .when(F.col("event_type") == "click", "venda_cruzada")
+        .otherwise("outro")
+    )
+    return s.table("events").select(
+        tenant_column(SHOP), tipo.alias("tipo"), F.col("ts").alias("gerado_em")
+    )
+
+
+def _now(s: DriverShop):
+    return s.table("events").agg(F.max("ts")).scalar()
+
+
+def _home(s: DriverShop, history: bool) -> DataFrame:
+    return insights.insights_home(
+        _summary(s), abcxyz.abc(_itens_ok(s)), _rfm(s), _odd_discounts(s), _rules(s), _margin(s),
+        _resumo(s), *((_history(s), _now(s)) if history else ()),
+    )
+
+
+def _sales_page(s: DriverShop, history: bool) -> DataFrame:
+    return insights.insights_vendas(
+        _sellers(s), _rules(s), abcxyz.abc(_itens_ok(s)), s.produtos,
+        *((_history(s), _now(s)) if history else ()),
+    )
+
+
+TEXTS = {
+    "ins_estoque_critico": lambda s: insights.ins_estoque_critico(
+        _summary(s), abcxyz.abc(_itens_ok(s))
+    ),
+    "ins_churn_vip": lambda s: insights.ins_churn_vip(_rfm(s)),
+    "ins_anomalia_desconto": lambda s: insights.ins_anomalia_desconto(_odd_discounts(s)),
+    "ins_combo": lambda s: insights.ins_combo(_rules(s)),
+    "ins_margem_alta": lambda s: insights.ins_margem_alta(_margin(s), abcxyz.abc(_itens_ok(s))),
+    "ins_performance": lambda s: insights.ins_performance(_resumo(s)),
+    "ins_vendedor": lambda s: insights.ins_vendedor(_sellers(s)),
+    "ins_venda_cruzada": lambda s: insights.ins_venda_cruzada(_rules(s)),
+    "ins_categoria_foco": lambda s: insights.ins_categoria_foco(
+        abcxyz.abc(_itens_ok(s)), s.produtos
+    ),
+    "rotacao_temporal": lambda s: insights.rotacao_temporal(
+        _sales_page(s, False).drop("top3"), _history(s), _now(s)
+    ),
+    "top3_diverso": lambda s: insights.top3_diverso(_home(s, False).drop("top3")),
+    "insights_home": lambda s: _home(s, True),
+    "insights_vendas": lambda s: _sales_page(s, True),
+    "ler_insights": lambda s: insights.ler_insights(
+        _sales_page(s, False).withColumn(
+            "gerado_em", F.lit("2024-01-01").cast("timestamp_ntz")
+        ), "vendas",
+    ),
+    "relatorio_semanal": lambda s: report.relatorio_semanal(
+        _resumo(s), abcxyz.abc(_itens_ok(s)), _rfm(s),
+        catalog.estoque_alertas(s.estoque, s.produtos),
+    ),
+    "fmt_brl": lambda s: s.vendas.select(
+        "client_key", "venda_key", fmt_brl(F.col("total")).alias("total_brl")
+    ),
+    "mascarar_pii_documentos": lambda s: mascarar_pii(
+        s.table("documents").select("doc_id", "text")
+    ),
+    "mascarar_pii_conversas": lambda s: mascarar_pii(
+        s.table("conversations").select("conv_id", "turn", "text")
+    ),
+    "etl_execucoes_24h": lambda s: monitor.etl_execucoes_24h(s.etl_logs),
+    "etl_erros_24h": lambda s: monitor.etl_erros_24h(s.etl_logs),
+    "etl_duracao_media": lambda s: monitor.etl_duracao_media(s.etl_logs),
+    "etl_ultimas": lambda s: monitor.etl_ultimas(s.etl_logs, s.clients),
+    "clientes_ativos": lambda s: monitor.clientes_ativos(s.clients),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    groups = {**SALES, **CATALOG, **CUSTOMERS, **ALGORITHMS}
+    groups = {**SALES, **CATALOG, **CUSTOMERS, **ALGORITHMS, **MODELS, **TEXTS}
     return {name: on_shop(build) for name, build in groups.items()}
