@@ -16,6 +16,7 @@ from shopgrain.operators import (
     abcxyz, anomaly, basket, catalog, customers, forecast, insights, monitor, pricing, report,
     sales,
 )
+from shopgrain.plans import ingest_queries
 from shopgrain.sources import canonical
 from shopgrain.sources.driver_tables import SHOP, DriverShop
 
@@ -336,6 +337,18 @@ TEXTS = {
 }
 
 
+STORED = {
+    "save_result": lambda s: ingest_queries.saved_result(s, abcxyz.matriz_abc_xyz(_classes(s))),
+    "publish_cache": lambda s: ingest_queries.cached_top(s, _rules(s)),
+    "publicar_insights": lambda s: ingest_queries.published(
+        s, _home(s, False), _sales_page(s, False)
+    ),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    groups = {**SALES, **CATALOG, **CUSTOMERS, **ALGORITHMS, **MODELS, **TEXTS}
+    groups = {
+        **SALES, **CATALOG, **CUSTOMERS, **ALGORITHMS, **MODELS, **TEXTS,
+        **ingest_queries.INGEST, **STORED,
+    }
     return {name: on_shop(build) for name, build in groups.items()}
