@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopgrain.functions.tenancy import attach
+from shopgrain.sources.shared import materialize
 
 SLICES = 512
 _SAMPLE_EVERY = 1024
@@ -43,6 +44,7 @@ def ranked(
     groups_per_tenant: int = 1,
     slices: int = SLICES,
     sample_every: int = _SAMPLE_EVERY,
+    write_once: bool = True,
 ) -> DataFrame:
     """Add ``_pos`` (1-based place), ``_n`` (group size) and running totals.
 
@@ -50,8 +52,13 @@ def ranked(
     group; pass ``-col`` for a descending number.  For each ``name: column``
     of ``totals`` the result has ``_cum_name`` (sum up to and including this
     row) and ``_sum_name`` (sum of the group).
+
+    The rows are read three times (cut points, slice totals, result), so they
+    are written first unless ``write_once`` says they already come from files.
     """
     by = list(by)
+    if write_once:
+        df = materialize(df)
     totals = dict(totals or {})
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     base = df.select("*", key.alias("_k"), *[c.alias(f"_v_{n}") for n, c in totals.items()])
@@ -107,6 +114,7 @@ def percentiles(
     tie: str,
     points: Mapping[str, float],
     groups_per_tenant: int = 1,
+    write_once: bool = True,
 ) -> DataFrame:
     """Exact interpolated percentiles, one row per group.
 
@@ -115,6 +123,7 @@ def percentiles(
     rows = ranked(
         df.select(*by, value, tie).filter(F.col(value).isNotNull()),
         by, [F.col(value), F.col(tie)], groups_per_tenant=groups_per_tenant,
+        write_once=write_once,
     )
 
     def at(offset: int, p: float) -> Column:

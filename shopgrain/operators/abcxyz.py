@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import dbl, money_sum, rint
 from shopgrain.functions.ordering import ranked
+from shopgrain.schema import WIDE_MONEY
 
 KEY = ["client_key", "produto_key"]
 
@@ -18,16 +19,37 @@ def _letter(share: Column, a: float, b: float) -> Column:
     return F.when(share <= a, "A").when(share <= b, "B").otherwise("C")
 
 
-def abc(itens: DataFrame, a: float = 0.80, b: float = 0.95) -> DataFrame:
-    """Revenue share and class per product.
-
-    The cumulative share runs row by row; equal revenues are ordered by key.
-    """
-    per_product = itens.groupBy(*KEY).agg(
-        money_sum("total").alias("_fat"),
-        F.sum("quantidade").alias("_qtd"),
-        F.count(F.lit(1)).alias("num_vendas"),
+def _monthly(itens: DataFrame) -> DataFrame:
+    return itens.groupBy(*KEY, F.trunc("data_venda", "month").alias("_mes")).agg(
+        money_sum("total").alias("_fat"), F.sum("quantidade").alias("_qtd"),
+        F.count(F.lit(1)).alias("_linhas"),
     )
+
+
+def _spread() -> list[Column]:
+    """Mean and deviation of the monthly quantities; a single month has none."""
+    q = dbl("_qtd")
+    return [
+        F.avg(q).alias("_media"), F.coalesce(F.stddev_samp(q), F.lit(0.0)).alias("_desvio"),
+    ]
+
+
+def _sums() -> list[Column]:
+    return [
+        F.sum("_fat").cast(WIDE_MONEY).alias("_fat"), F.sum("_qtd").alias("_qtd"),
+        F.sum("_linhas").alias("num_vendas"),
+    ]
+
+
+def _cv() -> Column:
+    return F.coalesce(F.try_divide(F.col("_desvio"), F.col("_media")), F.lit(0.0))
+
+
+def _xyz_class() -> Column:
+    return F.when(_cv() <= 0.5, "X").when(_cv() <= 1.0, "Y").otherwise("Z")
+
+
+def _classified(per_product: DataFrame, a: float, b: float, *extra: Column) -> DataFrame:
     rows = ranked(
         per_product, ["client_key"], [-F.col("_fat"), F.col("produto_key")],
         {"fat": F.col("_fat")},
@@ -43,35 +65,39 @@ def abc(itens: DataFrame, a: float = 0.80, b: float = 0.95) -> DataFrame:
         rint(share * 100.0, 2).alias("percentual"),
         rint(running * 100.0, 2).alias("percentual_acumulado"),
         _letter(running, a, b).alias("classe"),
+        *extra,
     )
 
 
+def abc(itens: DataFrame, a: float = 0.80, b: float = 0.95) -> DataFrame:
+    """Revenue share and class per product.
+
+    The cumulative share runs row by row; equal revenues are ordered by key.
+    """
+    per_product = itens.groupBy(*KEY).agg(
+        money_sum("total").alias("_fat"), F.sum("quantidade").alias("_qtd"),
+        F.count(F.lit(1)).alias("num_vendas"),
+    )
+    return _classified(per_product, a, b)
+
+
 def xyz(itens: DataFrame) -> DataFrame:
     """Variation of monthly quantity; months without a sale do not count."""
-    monthly = itens.groupBy(*KEY, F.trunc("data_venda", "month").alias("_mes")).agg(
-        dbl(F.sum("quantidade")).alias("_q")
-    )
-    stats = monthly.groupBy(*KEY).agg(
-        F.avg("_q").alias("_media"),
-        F.coalesce(F.stddev_samp("_q"), F.lit(0.0)).alias("_desvio"),
-    )
-    cv = F.coalesce(F.try_divide(F.col("_desvio"), F.col("_media")), F.lit(0.0))
-    return stats.select(
+    return _monthly(itens).groupBy(*KEY).agg(*_spread()).select(
         *KEY,
         rint(F.col("_media"), 3).alias("media"),
         rint(F.col("_desvio"), 3).alias("desvio"),
-        rint(cv, 3).alias("cv"),
-        F.when(cv <= 0.5, "X").when(cv <= 1.0, "Y").otherwise("Z").alias("classe_xyz"),
+        rint(_cv(), 3).alias("cv"),
+        _xyz_class().alias("classe_xyz"),
     )
 
 
 def abc_xyz(itens: DataFrame, a: float = 0.80, b: float = 0.95) -> DataFrame:
-    kinds = xyz(itens).select(*KEY, "classe_xyz", "cv")
-    return (
-        abc(itens, a, b).join(kinds, KEY, "left")
-        .withColumn("classe_xyz", F.coalesce("classe_xyz", F.lit("Z")))
-        .withColumn("classe_abc_xyz", F.concat("classe", "classe_xyz"))
-    )
+    """Both classes and their combination from one pass over the items."""
+    per_product = _monthly(itens).groupBy(*KEY).agg(*_sums(), *_spread())
+    return _classified(
+        per_product, a, b, _xyz_class().alias("classe_xyz"), rint(_cv(), 3).alias("cv")
+    ).withColumn("classe_abc_xyz", F.concat("classe", "classe_xyz"))
 
 
 def resumo_abc(classes: DataFrame) -> DataFrame:

@@ -21,16 +21,18 @@ from shopgrain.sources.shared import materialize
 MIN_BASKETS = 10
 
 
-def _total(itens: DataFrame) -> DataFrame:
-    sales = itens.select("client_key", "venda_key").distinct()
-    return sales.groupBy("client_key").agg(F.count(F.lit(1)).alias("_n"))
+def _total(pairs: DataFrame) -> DataFrame:
+    # Grouping the distinct pairs keeps their exchange the same one the levels
+    # read, so it is computed once.
+    sales = pairs.groupBy("client_key", "venda_key").agg(F.count(F.lit(1)).alias("_size"))
+    return sales.groupBy("client_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_all")
+    )
 
 
 def _frequent(counts: DataFrame, n: DataFrame, min_support: float) -> DataFrame:
     share = F.col("_count").cast("double") / F.col("_n").cast("double")
-    return (
-        attach(counts, n).filter((F.col("_n") >= MIN_BASKETS) & (share >= min_support))
-    )
+    return attach(counts, n).filter((F.col("_n") >= MIN_BASKETS) & (share >= min_support))
 
 
 def _after(items: Column, index: Column) -> Column:
@@ -45,14 +47,15 @@ def itemsets(
     Fewer than ten sales give no sets.  A product repeated in a sale counts once.
     """
     pairs = itens.select("client_key", "venda_key", F.col(item).alias("_item")).distinct()
-    n = _total(itens)
-    single = _frequent(
+    n = materialize(_total(pairs))
+    single = materialize(_frequent(
         pairs.groupBy("client_key", "_item").agg(F.count(F.lit(1)).alias("_count")),
         n, min_support,
-    )
+    ))
     levels = [single.select("client_key", F.array("_item").alias("itens"), "_count", "_n")]
     # A basket is the sorted list of its frequent products; equal ones are merged.
-    baskets = (
+    # They are read by two levels, so they are written once.
+    baskets = materialize(
         pairs.join(single.select("client_key", "_item"), ["client_key", "_item"])
         .groupBy("client_key", "venda_key")
         .agg(F.array_sort(F.collect_list("_item")).alias("_basket"))
@@ -67,10 +70,10 @@ def itemsets(
             "client_key", "_weight", "_a",
             F.explode(_after(F.col("_basket"), F.col("_i"))).alias("_b"),
         )
-        pair_counts = _frequent(
+        pair_counts = materialize(_frequent(
             two.groupBy("client_key", "_a", "_b").agg(F.sum("_weight").alias("_count")),
             n, min_support,
-        )
+        ))
         levels.append(
             pair_counts.select("client_key", F.array("_a", "_b").alias("itens"), "_count", "_n")
         )

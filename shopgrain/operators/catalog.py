@@ -10,6 +10,7 @@ from shopgrain.functions.ordering import ranked, top_n
 from shopgrain.functions.periods import days_before, with_starts
 from shopgrain.functions.tenancy import attach
 from shopgrain.schema import WIDE_MONEY
+from shopgrain.sources.shared import materialize
 
 KEY = ["client_key", "produto_key"]
 
@@ -60,7 +61,7 @@ def estoque_kpis(estoque: DataFrame, produtos: DataFrame) -> DataFrame:
 
 def produtos_abc_sql(itens: DataFrame, produtos: DataFrame) -> DataFrame:
     """Class by cumulative revenue over all sales; equal revenues share one sum."""
-    per_product = itens.groupBy(*KEY).agg(money_sum("total").alias("_fat"))
+    per_product = materialize(itens.groupBy(*KEY).agg(money_sum("total").alias("_fat")))
     # Place distinct revenues, not products: ties then share a row by construction.
     values = per_product.groupBy("client_key", "_fat").agg(
         F.sum("_fat").cast(WIDE_MONEY).alias("_tied")

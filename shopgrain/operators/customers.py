@@ -10,6 +10,7 @@ from shopgrain.functions.ordering import percentiles, ranked, top_n
 from shopgrain.functions.periods import moment, whole_days, with_starts
 from shopgrain.functions.tenancy import attach
 from shopgrain.schema import DONE, WIDE_MONEY
+from shopgrain.sources.shared import materialize
 
 KEY = ["client_key", "cliente_key"]
 AT_RISK = ("em_risco", "hibernando")
@@ -66,10 +67,10 @@ def _long(df: DataFrame) -> DataFrame:
 
 def resumo_segmentos_sql(clientes: DataFrame, vendas: DataFrame) -> DataFrame:
     """Segments from 3-level scores cut at the exact quartiles P25 and P75."""
-    base = _base(clientes, vendas)
+    base = materialize(_base(clientes, vendas))
     cuts = percentiles(
         _long(base), ["client_key", "_metric"], "_x", "cliente_key",
-        {"p25": 0.25, "p75": 0.75}, groups_per_tenant=3,
+        {"p25": 0.25, "p75": 0.75}, groups_per_tenant=3, write_once=False,
     )
     wide = cuts.groupBy("client_key").agg(*[
         F.max(F.when(F.col("_metric") == tag, F.col(p))).alias(f"_{p}_{tag}")
@@ -149,12 +150,12 @@ def rfm(vendas: DataFrame, as_of=None) -> DataFrame:
         F.max("data_venda").alias("_ultima"),
     )
     rows, at = with_starts(bought, vendas, as_of, now=moment)
-    base = rows.select(
+    base = materialize(rows.select(
         *KEY, "frequencia", "_valor", whole_days(at["now"], F.col("_ultima")).alias("recencia")
-    )
+    ))
     placed = ranked(
         _long(base), ["client_key", "_metric"], [F.col("_x"), F.col("cliente_key")],
-        groups_per_tenant=3,
+        groups_per_tenant=3, write_once=False,
     )
 
     def of(tag: str, col: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shopgrain.functions.numbers import dbl, rint
 from shopgrain.functions.ordering import top_n
 from shopgrain.functions.tenancy import attach
+from shopgrain.sources.shared import materialize
 
 KEY = ["client_key", "produto_key"]
 ENOUGH_DAYS = 30
@@ -26,12 +27,6 @@ def diario(itens: DataFrame) -> DataFrame:
     )
 
 
-def _sale_days(daily: DataFrame) -> DataFrame:
-    return daily.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("data").alias("_first"), F.max("data").alias("_last")
-    )
-
-
 def _future(last: Column, horizon: int) -> Column:
     return F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, horizon)))
 
@@ -60,51 +55,58 @@ def forecast_media_movel(daily: DataFrame, horizon: int = 90) -> DataFrame:
 
 
 def forecast_sazonal(daily: DataFrame, horizon: int = 90) -> DataFrame:
-    """Trend x weekday index x month index with a 95% band."""
-    line = daily.join(_sale_days(daily), KEY).select(
-        *KEY, "data", "y", F.date_diff("data", "_first").cast("double").alias("_t")
-    )
-    fit = line.groupBy(*KEY).agg(
-        F.coalesce(F.regr_slope("y", "_t"), F.lit(0.0)).alias("_b"),
-        F.coalesce(F.regr_intercept("y", "_t"), F.avg("y")).alias("_a"),
-        F.min("data").alias("_first"), F.max("data").alias("_last"),
-    )
-    trend = F.col("_a") + F.col("_b") * F.col("_t")
-    base = line.join(fit.select(*KEY, "_a", "_b"), KEY).select(
-        *KEY, "y", trend.alias("_trend"), F.weekday("data").alias("_wd"),
-        F.month("data").alias("_mo"),
-    )
-    weekday = base.filter(F.col("_trend") > 0).groupBy(*KEY, "_wd").agg(
-        F.avg(F.col("y") / F.col("_trend")).alias("_w")
-    )
-    with_w = base.join(weekday, [*KEY, "_wd"], "left").withColumn(
-        "_level", F.col("_trend") * F.coalesce("_w", F.lit(1.0))
-    )
-    month = with_w.filter(F.col("_level") > 0).groupBy(*KEY, "_mo").agg(
-        F.avg(F.col("y") / F.col("_level")).alias("_mi")
+    """Trend x weekday index x month index with a 95% band.
+
+    Every step is a window inside one product, which has one row per day, so
+    the rows are shuffled once, by product.
+    """
+    product = Window.partitionBy(*KEY)
+    y, t = F.col("y"), F.col("_t")
+    dated = daily.select(
+        *KEY, "data", "y", F.min("data").over(product).alias("_first"),
+        F.weekday("data").alias("_wd"), F.month("data").alias("_mo"),
+    ).withColumn("_t", F.date_diff("data", "_first").cast("double"))
+    fit = dated.withColumn(
+        "_b", F.coalesce(F.regr_slope(y, t).over(product), F.lit(0.0))
+    ).withColumn(
+        "_a", F.coalesce(F.regr_intercept(y, t).over(product), F.avg(y).over(product))
+    ).withColumn("_trend", F.col("_a") + F.col("_b") * t)
+    trend = F.col("_trend")
+    weekly = fit.withColumn(
+        "_w", F.avg(F.when(trend > 0, y / trend)).over(Window.partitionBy(*KEY, "_wd"))
+    ).withColumn("_level", trend * F.coalesce("_w", F.lit(1.0)))
+    level = F.col("_level")
+    seasonal = weekly.withColumn(
+        "_mi", F.avg(F.when(level > 0, y / level)).over(Window.partitionBy(*KEY, "_mo"))
     )
 
-    def estimate(level: Column) -> Column:
-        return _not_negative(level * F.coalesce("_mi", F.lit(1.0)))
+    def estimate(at: Column, month: Column) -> Column:
+        return _not_negative(at * F.coalesce(month, F.lit(1.0)))
+
+    def by_number(of: str, number: str, n: range) -> Column:
+        return F.array(*[F.max(F.when(F.col(number) == i, F.col(of))) for i in n])
 
-    spread = with_w.join(month, [*KEY, "_mo"], "left").groupBy(*KEY).agg(
-        F.coalesce(F.stddev_samp(F.col("y") - estimate(F.col("_level"))), F.lit(0.0)).alias("_s")
+    model = seasonal.groupBy(*KEY).agg(
+        F.first("_a").alias("_a"), F.first("_b").alias("_b"),
+        F.first("_first").alias("_first"), F.max("data").alias("_last"),
+        F.coalesce(
+            F.stddev_samp(y - estimate(level, F.col("_mi"))), F.lit(0.0)
+        ).alias("_s"),
+        by_number("_w", "_wd", range(7)).alias("_ws"),
+        by_number("_mi", "_mo", range(1, 13)).alias("_ms"),
     )
-    ahead = fit.join(spread, KEY).select(
-        *KEY, "_a", "_b", "_s", "_first", _future(F.col("_last"), horizon).alias("data")
-    ).withColumn("_wd", F.weekday("data")).withColumn("_mo", F.month("data"))
+    ahead = model.select("*", _future(F.col("_last"), horizon).alias("data"))
     days = F.date_diff("data", "_first").cast("double")
-    level = (F.col("_a") + F.col("_b") * days) * F.coalesce("_w", F.lit(1.0))
-    yhat, band = estimate(level), F.col("_s") * BAND
-    return (
-        ahead.join(weekday, [*KEY, "_wd"], "left").join(month, [*KEY, "_mo"], "left")
-        .select(
-            *KEY, "data",
-            rint(yhat, 2).alias("quantidade_prevista"),
-            rint(_not_negative(yhat - band), 2).alias("quantidade_min"),
-            rint(yhat + band, 2).alias("quantidade_max"),
-            F.lit("sazonal").alias("metodo"),
-        )
+    w = F.element_at("_ws", F.weekday("data") + 1)
+    ahead_level = (F.col("_a") + F.col("_b") * days) * F.coalesce(w, F.lit(1.0))
+    yhat = estimate(ahead_level, F.element_at("_ms", F.month("data")))
+    band = F.col("_s") * BAND
+    return ahead.select(
+        *KEY, "data",
+        rint(yhat, 2).alias("quantidade_prevista"),
+        rint(_not_negative(yhat - band), 2).alias("quantidade_min"),
+        rint(yhat + band, 2).alias("quantidade_max"),
+        F.lit("sazonal").alias("metodo"),
     )
 
 
@@ -112,9 +114,9 @@ def forecast(itens: DataFrame, horizon: int = 90, produto: str | None = None) ->
     """Forecast per product and day; the method follows the number of sale days."""
     if produto is not None:
         itens = itens.filter(F.col("produto_key") == produto)
-    daily = diario(itens)
-    days = _sale_days(daily).select(*KEY, "_n")
-    routed = daily.join(days, KEY)
+    # Both routes read the daily rows; the items are scanned once for them.
+    days = F.count(F.lit(1)).over(Window.partitionBy(*KEY))
+    routed = materialize(diario(itens).withColumn("_n", days))
     few = routed.filter(F.col("_n") < ENOUGH_DAYS).drop("_n")
     enough = routed.filter(F.col("_n") >= ENOUGH_DAYS).drop("_n")
     return forecast_media_movel(few, horizon).unionByName(forecast_sazonal(enough, horizon))

@@ -7,11 +7,14 @@ as ``csv_scan`` returns them; the shop is either a given key or a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopgrain.functions.parsing import (
-    first_non_empty, parse_bool_br, parse_date_multi, parse_decimal_br,
+    first_non_empty, parse_bool_br, parse_date_multi, parse_decimal_exact,
 )
 from shopgrain.functions.tenancy import tenant_column
 from shopgrain.schema import MONEY, QUANTITY
@@ -98,16 +101,32 @@ def _blank(text: Column) -> Column:
 
 
 def _money(text: Column) -> Column:
-    return F.round(parse_decimal_br(text), 2).try_cast(MONEY)
+    return F.round(parse_decimal_exact(text), 2).try_cast(MONEY)
+
+
+def _parsed(raw: DataFrame, client_key: str | None, **fields: Column) -> DataFrame:
+    """Parse every field once.
+
+    Spark copies a filter's inputs below the projection that computes them,
+    which would parse each text several times.  The running id, which the
+    filter in ``_split`` reads, keeps the parsing in one place.
+    """
+    return raw.select(
+        _shop(raw, client_key), *[c.alias(n) for n, c in fields.items()], *_place(raw),
+        _raw_map(raw), F.monotonically_increasing_id().alias("_seq"),
+    )
 
 
-def _split(raw: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = rows.filter(F.col("_why").isNull()).drop("_why", "_raw")
-    bad = rows.filter(F.col("_why").isNotNull()).select(
+def _split(rows: DataFrame, why: Column, columns: list) -> tuple[DataFrame, DataFrame]:
+    """Rows without a reason to refuse them, and the refused ones."""
+    good = rows.filter(why.isNull() & (F.col("_seq") >= 0)).select(
+        "client_key", *columns, "_file", "_line"
+    )
+    bad = rows.filter(why.isNotNull() & (F.col("_seq") >= 0)).select(
         "client_key", "_file", "_line",
-        F.concat(
-            F.lit("linha "), F.col("_line").cast("string"), F.lit(": "), "_why"
-        ).alias("_reason"),
+        F.concat(F.lit("linha "), F.col("_line").cast("string"), F.lit(": "), why).alias(
+            "_reason"
+        ),
         "_raw",
     )
     return good, bad
@@ -116,29 +135,25 @@ def _split(raw: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def normalize_vendas(
     raw: DataFrame, client_key: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Sales and the rows refused for a missing id or a date no format fits."""
+    """Sales and the rows refused for a missing id or a date no layout fits."""
     f = _pick(raw, VENDA)
-    moment = parse_date_multi(f["data_venda"])
-    total, off = _money(f["total"]), _money(f["desconto"])
-    why = (
-        F.when(f["venda_key"] == "", F.lit(NO_SALE_ID))
-        .when(
-            moment.isNull(),
-            F.concat(F.lit("data inválida '"), f["data_venda"], F.lit("'")),
-        )
-        .when(total.isNull() | off.isNull(), F.lit(TOO_LARGE))
+    rows = _parsed(
+        raw, client_key, venda_key=f["venda_key"], _date=f["data_venda"],
+        data_venda=parse_date_multi(f["data_venda"]), cliente_key=_blank(f["cliente_key"]),
+        vendedor_id=_blank(f["vendedor_id"]), total=_money(f["total"]),
+        desconto=_money(f["desconto"]), status=_or(f["status"], "concluida"),
+        canal=_or(f["canal"], "balcao"), atributos=F.lit("{}"),
     )
-    rows = raw.select(
-        _shop(raw, client_key),
-        f["venda_key"].alias("venda_key"), moment.alias("data_venda"),
-        _blank(f["cliente_key"]).alias("cliente_key"),
-        _blank(f["vendedor_id"]).alias("vendedor_id"),
-        total.alias("total"), off.alias("desconto"),
-        _or(f["status"], "concluida").alias("status"), _or(f["canal"], "balcao").alias("canal"),
-        F.lit("{}").alias("atributos"),
-        *_place(raw), why.alias("_why"), _raw_map(raw),
+    bad_date = F.concat(F.lit("data inválida '"), "_date", F.lit("'"))
+    why = (
+        F.when(F.col("venda_key") == "", F.lit(NO_SALE_ID))
+        .when(F.col("data_venda").isNull(), bad_date)
+        .when(F.col("total").isNull() | F.col("desconto").isNull(), F.lit(TOO_LARGE))
     )
-    return _split(raw, rows)
+    return _split(rows, why, [
+        "venda_key", "data_venda", "cliente_key", "vendedor_id", "total", "desconto", "status",
+        "canal", "atributos",
+    ])
 
 
 def normalize_itens(
@@ -146,33 +161,30 @@ def normalize_itens(
 ) -> tuple[DataFrame, DataFrame]:
     """Sale items; a missing total is quantity x price less discount."""
     f = _pick(raw, ITEM)
-    qty, price = parse_decimal_br(f["quantidade"]), parse_decimal_br(f["preco_unitario"])
-    off, given = parse_decimal_br(f["desconto"]), parse_decimal_br(f["total"])
+    amounts = ("quantidade", "preco_unitario", "desconto", "total")
+    rows = _parsed(
+        raw, client_key, venda_key=f["venda_key"], produto_key=f["produto_key"],
+        descricao=f["descricao"], unidade=_or(f["unidade"], "UN"), atributos=F.lit("{}"),
+        **{f"_{n}": parse_decimal_exact(f[n]).try_cast("decimal(18,6)") for n in amounts},
+    )
+    qty, price, off, given = (F.col(f"_{n}") for n in amounts)
     total = F.when((given == 0) & (qty > 0) & (price > 0), qty * price - off).otherwise(given)
-
-    def money(col: Column) -> Column:
-        return F.round(col, 2).try_cast(MONEY)
-
-    amounts = {
-        "quantidade": F.round(qty, 3).try_cast(QUANTITY), "preco_unitario": money(price),
-        "desconto": money(off), "total": money(total),
-    }
-    bad_amount = F.greatest(*[c.isNull() for c in amounts.values()])
-    why = (
-        F.when(f["venda_key"] == "", F.lit(NO_SALE_ID))
-        .when(f["produto_key"] == "", F.lit(NO_PRODUCT_ID))
-        .when(bad_amount, F.lit(TOO_LARGE))
+    sized = rows.select(
+        "*", F.round(qty, 3).try_cast(QUANTITY).alias("quantidade"),
+        *[
+            F.round(c, 2).try_cast(MONEY).alias(n)
+            for n, c in (("preco_unitario", price), ("desconto", off), ("total", total))
+        ],
     )
-    rows = raw.select(
-        _shop(raw, client_key),
-        f["venda_key"].alias("venda_key"), f["produto_key"].alias("produto_key"),
-        f["descricao"].alias("descricao"), amounts["quantidade"].alias("quantidade"),
-        _or(f["unidade"], "UN").alias("unidade"),
-        *[amounts[n].alias(n) for n in ("preco_unitario", "desconto", "total")],
-        F.lit("{}").alias("atributos"),
-        *_place(raw), why.alias("_why"), _raw_map(raw),
+    why = (
+        F.when(F.col("venda_key") == "", F.lit(NO_SALE_ID))
+        .when(F.col("produto_key") == "", F.lit(NO_PRODUCT_ID))
+        .when(reduce(or_, [F.col(n).isNull() for n in amounts]), F.lit(TOO_LARGE))
     )
-    return _split(raw, rows)
+    return _split(sized, why, [
+        "venda_key", "produto_key", "descricao", "quantidade", "unidade", "preco_unitario",
+        "desconto", "total", "atributos",
+    ])
 
 
 def normalize_produtos(raw: DataFrame, client_key: str | None = None) -> DataFrame:

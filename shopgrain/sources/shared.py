@@ -1,32 +1,35 @@
-"""Files shared by all executors, for results that must be written once."""
+"""Files shared by all executors, for results that several steps read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dir: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Checkpoint folder named by the cluster; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.sparkContext.getCheckpointDir()
+    )
     if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    return tempfile.mkdtemp(prefix="shopgrain-")
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dir:
+        _own_dir[app] = tempfile.mkdtemp(prefix="shopgrain-")
+    return _own_dir[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write the rows reliably once and go on from the files."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    schema = df.schema
-    out = df.checkpoint(eager=True)
-    # A checkpoint forgets column metadata such as the number of shops.
-    for field in schema.fields:
-        if field.metadata:
-            out = out.withMetadata(field.name, field.metadata)
-    return out
+    """Write the rows once to the shared folder and go on from the files.
+
+    Used where an aggregate of the raw tables is read by several branches:
+    the raw tables are then scanned once, the branches agree on the rows, and
+    the planner knows the real size of what follows.
+    """
+    path = f"{shared_dir(df.sparkSession)}/shopgrain-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
