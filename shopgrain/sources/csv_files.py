@@ -83,6 +83,8 @@ def csv_scan(
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BAD]])
     raw = (
         _reader(spark, sep, spans).schema(schema).option("mode", "PERMISSIVE")
+        # Without every field of a row its width cannot be checked.
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", _BAD).csv(paths)
     )
     # Spark asks that a filter on the malformed-row column reads a real one too;
