@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import dbl, money_sum, rint
 from shopgrain.functions.ordering import ranked
+from shopgrain.functions.tenancy import attach
 from shopgrain.schema import WIDE_MONEY
 
 KEY = ["client_key", "produto_key"]
 
 
-def _letter(share: Column, a: float, b: float) -> Column:
+def _letter(share: Column, a: Column, b: Column) -> Column:
     return F.when(share <= a, "A").when(share <= b, "B").otherwise("C")
 
 
@@ -49,11 +50,17 @@ def _xyz_class() -> Column:
     return F.when(_cv() <= 0.5, "X").when(_cv() <= 1.0, "Y").otherwise("Z")
 
 
-def _classified(per_product: DataFrame, a: float, b: float, *extra: Column) -> DataFrame:
+def _classified(
+    per_product: DataFrame, a: float, b: float, *extra: Column, limits: DataFrame | None = None
+) -> DataFrame:
     rows = ranked(
         per_product, ["client_key"], [-F.col("_fat"), F.col("produto_key")],
         {"fat": F.col("_fat")},
     )
+    upto_a, upto_b = F.lit(a), F.lit(b)
+    if limits is not None:
+        rows = attach(rows, limits.select("client_key", "abc_a", "abc_b"), how="left")
+        upto_a, upto_b = F.coalesce("abc_a", upto_a), F.coalesce("abc_b", upto_b)
     total = dbl("_sum_fat")
     share = F.try_divide(dbl("_fat"), total)
     running = F.try_divide(dbl("_cum_fat"), total)
@@ -64,7 +71,7 @@ def _classified(per_product: DataFrame, a: float, b: float, *extra: Column) -> D
         "num_vendas",
         rint(share * 100.0, 2).alias("percentual"),
         rint(running * 100.0, 2).alias("percentual_acumulado"),
-        _letter(running, a, b).alias("classe"),
+        _letter(running, upto_a, upto_b).alias("classe"),
         *extra,
     )
 
@@ -92,11 +99,17 @@ def xyz(itens: DataFrame) -> DataFrame:
     )
 
 
-def abc_xyz(itens: DataFrame, a: float = 0.80, b: float = 0.95) -> DataFrame:
-    """Both classes and their combination from one pass over the items."""
+def abc_xyz(
+    itens: DataFrame, a: float = 0.80, b: float = 0.95, limits: DataFrame | None = None
+) -> DataFrame:
+    """Both classes and their combination from one pass over the items.
+
+    ``limits`` may give each shop its own (client_key, abc_a, abc_b).
+    """
     per_product = _monthly(itens).groupBy(*KEY).agg(*_sums(), *_spread())
     return _classified(
-        per_product, a, b, _xyz_class().alias("classe_xyz"), rint(_cv(), 3).alias("cv")
+        per_product, a, b, _xyz_class().alias("classe_xyz"), rint(_cv(), 3).alias("cv"),
+        limits=limits,
     ).withColumn("classe_abc_xyz", F.concat("classe", "classe_xyz"))
 
 

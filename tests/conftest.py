@@ -72,7 +72,7 @@ def make(spark):
         )
         for c in ("preco_custo", "preco_venda"):
             df = df.withColumn(c, df[c].cast("decimal(12,2)"))
-        return df
+        return df.withColumn("subcategoria", df.categoria)
 
     class Make:
         pass
