@@ -217,7 +217,12 @@ def ranking_vendedores(
     sales = _done_since(vendas, period, "to_date", as_of).select(
         "client_key", "venda_key", "vendedor_id", "total", "desconto"
     )
-    pieces = itens.groupBy("client_key", "venda_key").agg(F.sum("quantidade").alias("_pieces"))
+    # Items of the period only; summed per sale so that the join keeps one row each.
+    keys = ["client_key", "venda_key"]
+    pieces = (
+        itens.select(*keys, "quantidade").join(sales.select(*keys), keys, "left_semi")
+        .groupBy(*keys).agg(F.sum("quantidade").alias("_pieces"))
+    )
     per_seller = sales.join(pieces, ["client_key", "venda_key"], "left").groupBy(
         "client_key", "vendedor_id"
     ).agg(
@@ -263,8 +268,8 @@ def comparativo(vendas: DataFrame, period: str = "month", as_of=None) -> DataFra
     anchor = days.groupBy("client_key").agg(F.max("_dia").alias("_last"))
     last = F.col("_last")
     if period == "week":
-        first, until, step, back = F.trunc(last, "week"), 6, "day", None
-        points = F.sequence(first, F.date_add(first, until))
+        first = F.trunc(last, "week")
+        points = F.sequence(first, F.date_add(first, 6))
         shifted = F.date_sub("_at", 7)
         label = _name_of(WEEKDAYS, F.dayofweek("_at"))
     elif period == "month":

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopgrain.sources import files
+from shopgrain.sources.shared import materialize
 
 _BAD = "_malformed"
 PEEK_BYTES = 512
@@ -97,6 +98,8 @@ def csv_scan(
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
+    # The text is parsed once; numbering reads three columns of the result.
+    kept = materialize(kept)
     # Number rows inside each block, then shift by the rows of earlier blocks:
     # the rows themselves are neither sorted nor shuffled.
     blocks = kept.groupBy("_file", "_block").agg(
