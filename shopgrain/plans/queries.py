@@ -91,34 +91,58 @@ SALES = {
 }
 
 
+def shared(build: Callable[[DriverShop], DataFrame]) -> Callable[[DriverShop], DataFrame]:
+    """Build an intermediate result once per query, however many steps read it."""
+    def get(s: DriverShop) -> DataFrame:
+        made = s.__dict__.setdefault("_made", {})
+        if build.__name__ not in made:
+            made[build.__name__] = build(s)
+        return made[build.__name__]
+
+    return get
+
+
+@shared
 def _itens_ok(s: DriverShop) -> DataFrame:
     return canonical.read_itens_venda(s.itens, s.vendas)
 
 
+@shared
 def _classes(s: DriverShop) -> DataFrame:
     return abcxyz.abc_xyz(_itens_ok(s))
 
 
+@shared
+def _abc(s: DriverShop) -> DataFrame:
+    return abcxyz.abc(_itens_ok(s))
+
+
+@shared
 def _margin(s: DriverShop) -> DataFrame:
     return pricing.margem(_itens_ok(s), s.produtos)
 
 
+@shared
 def _elast(s: DriverShop) -> DataFrame:
     return pricing.elasticidade(_itens_ok(s), s.produtos)
 
 
+@shared
 def _idle(s: DriverShop) -> DataFrame:
     return catalog.dead_stock(s.estoque, s.produtos, s.itens, s.vendas)
 
 
+@shared
 def _ranking(s: DriverShop) -> DataFrame:
     return catalog.ranking_produtos(s.produtos, s.itens, s.vendas, _classes(s), _margin(s))
 
 
+@shared
 def _rfm(s: DriverShop) -> DataFrame:
     return customers.rfm(s.vendas)
 
 
+@shared
 def _customers(s: DriverShop) -> DataFrame:
     return customers.clientes_rfm_base(s.clientes, s.vendas)
 
@@ -134,7 +158,7 @@ CATALOG = {
     "dead_stock": _idle,
     "dead_stock_totals": lambda s: catalog.dead_stock_totals(_idle(s)),
     "catalog_kpis": lambda s: catalog.catalog_kpis(
-        s.produtos, abcxyz.abc(_itens_ok(s)), _margin(s), _idle(s)
+        s.produtos, _abc(s), _margin(s), _idle(s)
     ),
     "matriz_abc_xyz": lambda s: abcxyz.matriz_abc_xyz(_classes(s)),
     "matriz_abc_xyz_pivot": lambda s: abcxyz.matriz_abc_xyz_pivot(_classes(s)),
@@ -165,16 +189,17 @@ CUSTOMERS = {
 }
 
 ALGORITHMS = {
-    "abc": lambda s: abcxyz.abc(_itens_ok(s)),
+    "abc": _abc,
     "xyz": lambda s: abcxyz.xyz(_itens_ok(s)),
     "abc_xyz": _classes,
-    "resumo_abc": lambda s: abcxyz.resumo_abc(abcxyz.abc(_itens_ok(s))),
+    "resumo_abc": lambda s: abcxyz.resumo_abc(_abc(s)),
     "elasticidade": _elast,
     "cenario_preco": lambda s: pricing.cenario_preco(_elast(s)),
     "margem": _margin,
 }
 
 
+@shared
 def _by_category(s: DriverShop) -> DataFrame:
     """Items of finished sales with the category in place of the product."""
     names = s.produtos.select("client_key", "produto_key", "categoria")
@@ -191,14 +216,17 @@ def _listed(sets: DataFrame) -> DataFrame:
     return sets.withColumn("itens", F.array_join("itens", ", "))
 
 
+@shared
 def _rules(s: DriverShop) -> DataFrame:
     return basket.regras(_sets(s), 0.1, 1.0)
 
 
+@shared
 def _forecast(s: DriverShop) -> DataFrame:
     return forecast.forecast(_itens_ok(s))
 
 
+@shared
 def _summary(s: DriverShop) -> DataFrame:
     return forecast.forecast_resumo(_forecast(s))
 
@@ -210,10 +238,12 @@ def _few_days(s: DriverShop) -> DataFrame:
     return daily.join(few, ["client_key", "produto_key"], "left_semi")
 
 
+@shared
 def _odd_discounts(s: DriverShop) -> DataFrame:
     return anomaly.anomalias_desconto(s.vendas_com_desconto)
 
 
+@shared
 def _odd_sales(s: DriverShop) -> DataFrame:
     return anomaly.anomalias_vendas(s.vendas_por_evento)
 
@@ -252,10 +282,12 @@ MODELS = {
 }
 
 
+@shared
 def _resumo(s: DriverShop) -> DataFrame:
     return sales.vendas_resumo(s.vendas_com_desconto)
 
 
+@shared
 def _sellers(s: DriverShop) -> DataFrame:
     return anomaly.anomalias_vendedor(s.vendas_com_desconto)
 
@@ -279,31 +311,31 @@ def _now(s: DriverShop):
 
 def _home(s: DriverShop, history: bool) -> DataFrame:
     return insights.insights_home(
-        _summary(s), abcxyz.abc(_itens_ok(s)), _rfm(s), _odd_discounts(s), _rules(s), _margin(s),
+        _summary(s), _abc(s), _rfm(s), _odd_discounts(s), _rules(s), _margin(s),
         _resumo(s), *((_history(s), _now(s)) if history else ()),
     )
 
 
 def _sales_page(s: DriverShop, history: bool) -> DataFrame:
     return insights.insights_vendas(
-        _sellers(s), _rules(s), abcxyz.abc(_itens_ok(s)), s.produtos,
+        _sellers(s), _rules(s), _abc(s), s.produtos,
         *((_history(s), _now(s)) if history else ()),
     )
 
 
 TEXTS = {
     "ins_estoque_critico": lambda s: insights.ins_estoque_critico(
-        _summary(s), abcxyz.abc(_itens_ok(s))
+        _summary(s), _abc(s)
     ),
     "ins_churn_vip": lambda s: insights.ins_churn_vip(_rfm(s)),
     "ins_anomalia_desconto": lambda s: insights.ins_anomalia_desconto(_odd_discounts(s)),
     "ins_combo": lambda s: insights.ins_combo(_rules(s)),
-    "ins_margem_alta": lambda s: insights.ins_margem_alta(_margin(s), abcxyz.abc(_itens_ok(s))),
+    "ins_margem_alta": lambda s: insights.ins_margem_alta(_margin(s), _abc(s)),
     "ins_performance": lambda s: insights.ins_performance(_resumo(s)),
     "ins_vendedor": lambda s: insights.ins_vendedor(_sellers(s)),
     "ins_venda_cruzada": lambda s: insights.ins_venda_cruzada(_rules(s)),
     "ins_categoria_foco": lambda s: insights.ins_categoria_foco(
-        abcxyz.abc(_itens_ok(s)), s.produtos
+        _abc(s), s.produtos
     ),
     "rotacao_temporal": lambda s: insights.rotacao_temporal(
         _sales_page(s, False).drop("top3"), _history(s), _now(s)
@@ -317,7 +349,7 @@ TEXTS = {
         ), "vendas",
     ),
     "relatorio_semanal": lambda s: report.relatorio_semanal(
-        _resumo(s), abcxyz.abc(_itens_ok(s)), _rfm(s),
+        _resumo(s), _abc(s), _rfm(s),
         catalog.estoque_alertas(s.estoque, s.produtos),
     ),
     "fmt_brl": lambda s: s.vendas.select(
