@@ -22,12 +22,8 @@ MIN_BASKETS = 10
 
 
 def _total(pairs: DataFrame) -> DataFrame:
-    # Grouping the distinct pairs keeps their exchange the same one the levels
-    # read, so it is computed once.
-    sales = pairs.groupBy("client_key", "venda_key").agg(F.count(F.lit(1)).alias("_size"))
-    return sales.groupBy("client_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_all")
-    )
+    sales = pairs.select("client_key", "venda_key").distinct()
+    return sales.groupBy("client_key").agg(F.count(F.lit(1)).alias("_n"))
 
 
 def _frequent(counts: DataFrame, n: DataFrame, min_support: float) -> DataFrame:
@@ -46,7 +42,10 @@ def itemsets(
 
     Fewer than ten sales give no sets.  A product repeated in a sale counts once.
     """
-    pairs = itens.select("client_key", "venda_key", F.col(item).alias("_item")).distinct()
+    # Three steps read the distinct pairs: write them once, scan the items once.
+    pairs = materialize(
+        itens.select("client_key", "venda_key", F.col(item).alias("_item")).distinct()
+    )
     n = materialize(_total(pairs))
     single = materialize(_frequent(
         pairs.groupBy("client_key", "_item").agg(F.count(F.lit(1)).alias("_count")),

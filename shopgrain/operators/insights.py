@@ -1,7 +1,8 @@
 """Ranked text insights built from the results of the other operators.
 
 Each rule gives at most one row per shop.  ``_seq`` is the number of the rule
-and settles equal priorities.
+and settles equal priorities.  The wording, links and icons of the rules are
+fixed values that the pages show as they are.
 """
 
 from __future__ import annotations
