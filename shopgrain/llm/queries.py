@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import exact_dedup, mixing, sharding
+from shopgrain.llm import (
+    binary_output, exact_dedup, mixing, packing, quality_rules, sharding, token_counts,
+)
 from shopgrain.sources.shared import shared_dir
 
 SHARDS = 16
+PACKING_TOKENIZER = "word_bpe_49k.json"
+COUNTING_TOKENIZER = "piece_bpe_32k.model"
+BINARY_TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -35,6 +41,28 @@ def op4_mixing(spark: SparkSession, path: str) -> DataFrame:
     return mixing.plan(_table(spark, path, "documents")).drop("copies")
 
 
+def op5_quality_rules(spark: SparkSession, path: str) -> DataFrame:
+    rows = quality_rules.judge(_table(spark, path, "documents"))
+    return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
+def op6_packing(spark: SparkSession, path: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, path, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
+
+
+def op8_token_counts(spark: SparkSession, path: str) -> DataFrame:
+    tokenizer = public_tokenizers.path(COUNTING_TOKENIZER)
+    cache = token_counts.TokenCache.open(spark, _folder(spark, "token-counts"), tokenizer)
+    return token_counts.count_tokens(_table(spark, path, "documents"), cache)
+
+
+def op9_binary_output(spark: SparkSession, path: str) -> DataFrame:
+    return binary_output.write_rows(_table(spark, path, "documents"), public_tokenizers.path(BINARY_TOKENIZER))
+
+
 def op10_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     index = exact_dedup.DigestIndex.open(spark, _folder(spark, "digests"))
     return exact_dedup.verdicts(_table(spark, path, "documents"), index, "documents")
@@ -43,5 +71,9 @@ def op10_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_binary_output": op9_binary_output,
     "op10_exact_dedup": op10_exact_dedup,
 }
