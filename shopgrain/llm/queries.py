@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgrain.llm import (
-    binary_output, exact_dedup, mixing, packing, quality_rules, sharding, token_counts,
+    binary_output, exact_dedup, mixing, near_join, packing, quality_rules, sharding, token_counts,
 )
 from shopgrain.sources.shared import shared_dir
 
@@ -53,6 +53,10 @@ def op6_packing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
+    return near_join.join(_table(spark, path, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, path: str) -> DataFrame:
     tokenizer = public_tokenizers.path(COUNTING_TOKENIZER)
     cache = token_counts.TokenCache.open(spark, _folder(spark, "token-counts"), tokenizer)
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_binary_output": op9_binary_output,
     "op10_exact_dedup": op10_exact_dedup,
