@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgrain.llm import (
-    binary_output, exact_dedup, mixing, near_join, packing, quality_rules, sharding, token_counts,
+    binary_output, exact_dedup, mixing, near_join, packing, pseudonyms, quality_rules, sharding, token_counts,
 )
 from shopgrain.sources.shared import shared_dir
 
 SHARDS = 16
+#: For the registered query only; a real run takes its key from a secret store.
+PSEUDONYM_KEY = "registered query"
 PACKING_TOKENIZER = "word_bpe_49k.json"
 COUNTING_TOKENIZER = "piece_bpe_32k.model"
 BINARY_TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -28,6 +30,11 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shopgrain-{name}-{uuid.uuid4().hex}"
 
 
+def op1_pseudonyms(spark: SparkSession, path: str) -> DataFrame:
+    rows = _table(spark, path, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(rows, PSEUDONYM_KEY)
+
+
 def op3_sharding(spark: SparkSession, path: str) -> DataFrame:
     maps = sharding.SlotMaps(spark, _folder(spark, "slot-maps"))
     rows = sharding.shard(_table(spark, path, "documents"), maps, SHARDS)
@@ -73,6 +80,7 @@ def op10_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pseudonyms": op1_pseudonyms,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
