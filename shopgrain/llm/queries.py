@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgrain.llm import (
-    binary_output, exact_dedup, mixing, near_join, packing, pseudonyms, quality_rules, sharding, token_counts,
+    binary_output, exact_dedup, main_text, mixing, near_join, packing, pseudonyms, quality_rules, sharding, token_counts,
 )
 from shopgrain.sources.shared import shared_dir
 
@@ -35,6 +35,11 @@ def op1_pseudonyms(spark: SparkSession, path: str) -> DataFrame:
     return pseudonyms.pseudonymised(rows, PSEUDONYM_KEY)
 
 
+def op2_main_text(spark: SparkSession, path: str) -> DataFrame:
+    pages = _table(spark, path, "pages").select("page_id", "url", "html")
+    return main_text.extracted(pages)
+
+
 def op3_sharding(spark: SparkSession, path: str) -> DataFrame:
     maps = sharding.SlotMaps(spark, _folder(spark, "slot-maps"))
     rows = sharding.shard(_table(spark, path, "documents"), maps, SHARDS)
@@ -81,6 +86,7 @@ def op10_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 QUERIES = {
     "op1_pseudonyms": op1_pseudonyms,
+    "op2_main_text": op2_main_text,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
