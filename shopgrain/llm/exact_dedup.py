@@ -107,20 +107,21 @@ def unique(
     Copies meet in an aggregation that merges them before the shuffle, so a
     text is sent once from each task, however many copies there are.
     """
-    digest, order, row, known_id = own(docs, "digest", "order", "row", "keep_id")
+    digest, order, row = own(docs, "digest", "order", "row")
     cols = [named(c) for c in docs.columns]
     keyed = docs.select(
         text_digest(text_column).alias(digest),
         F.struct(
-            -F.length(whole(named(text_column))), named(id_column).isNull(), named(id_column), F.xxhash64(*cols),
+            (-F.length(whole(named(text_column)))).alias("n"), named(id_column).isNull().alias("none"),
+            named(id_column).alias("id"), F.xxhash64(*cols).alias("hash"),
         ).alias(order),
         F.struct(*cols).alias(row),
     )
+    # Digests are written before they meet the index: an anti-join would be moved below the aggregation.
+    groups = materialize(keyed.groupBy(digest).agg(F.min(order).alias(order)).select(
+        F.col(digest).alias("digest"), F.col(order)["id"].alias("keep_id")
+    ))
+    fresh = materialize(groups.hint("merge").join(index.known(batch).select("digest"), "digest", "left_anti"))
+    index.append(fresh, batch)
     best = keyed.groupBy(digest).agg(F.min_by(row, order).alias(row))
-    known = index.known(batch).select(F.col("digest").alias(digest), F.col("keep_id").alias(known_id))
-    kept = best.hint("merge").join(known, digest, "left_anti").select(f"{row}.*")
-    firsts = keyed.groupBy(digest).agg(F.min(order).alias(order))
-    # The columns of ``order`` are numbered; the third one is the id.
-    third = firsts.schema[order].dataType.fieldNames()[2]
-    index.append(firsts.select(F.col(digest).alias("digest"), F.col(order)[third].alias("keep_id")), batch)
-    return kept
+    return best.join(fresh.select(F.col("digest").alias(digest)), digest).select(f"{row}.*")

@@ -84,19 +84,20 @@ def copies(id_column: Column, rate: Column, seed: str = SEED) -> Column:
 
 
 def with_rates(docs: DataFrame, rates: DataFrame, source: str) -> DataFrame:
-    """Documents beside their source's row; ``rates`` comes from files.
+    """Documents beside the other columns of their source's row; ``rates`` comes from files.
 
     The rates are broadcast while there are at most BROADCAST_SOURCES sources.
     Beyond that each source's row is joined by source and one of 64 salts, so
     that a source with a large share is dealt to 64 tasks.
     """
+    theirs, salt, other_salt = own(docs, "rate_source", "salt", "other_salt")
+    rates = rates.withColumnRenamed("source", theirs)
+    same = named(source).eqNullSafe(named(theirs))
     if rates.count() <= BROADCAST_SOURCES:
-        return docs.join(F.broadcast(rates), named(source).eqNullSafe(rates["mix_source"])).drop("mix_source")
-    salt = own(docs, "salt")[0]
+        return docs.join(F.broadcast(rates), same).drop(theirs)
     salted = docs.withColumn(salt, F.pmod(F.xxhash64(*[named(c) for c in docs.columns]), F.lit(64)))
-    many = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    same = named(source).eqNullSafe(many["mix_source"]) & (named(salt) == many["mix_salt"])
-    return salted.join(many, same).drop(salt, "mix_salt", "mix_source")
+    many = rates.withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return salted.join(many, same & (named(salt) == named(other_salt))).drop(theirs, salt, other_salt)
 
 
 def plan(
@@ -107,7 +108,7 @@ def plan(
     sized = materialize(docs.select(
         named(id_column).alias("doc_id"), n_words(text_column).alias("size"), named(source_column).alias("source"),
     ))
-    rates = materialize(targets(source_sizes(sized), weights, share, most).withColumnRenamed("source", "mix_source"))
+    rates = materialize(targets(source_sizes(sized), weights, share, most))
     rows = with_rates(sized, rates, "source").withColumn("copies", copies(F.col("doc_id"), F.col("rate"), seed))
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
@@ -120,10 +121,8 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: every document as often as it is emitted, columns as they were; no text is shuffled."""
     sized = docs.select(n_words(text_column).alias("size"), named(source_column).alias("source"))
-    rates = targets(source_sizes(sized), weights, share, most)
-    rates = materialize(rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")))
-    n, rate = own(docs, "mix_n", "mix_rate")
-    rates = rates.withColumnRenamed("mix_rate", rate)
-    rows = with_rates(docs, rates, source_column).withColumn(n, copies(named(id_column), F.col(rate), seed))
-    rows = rows.filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
+    n, rate = own(docs, "copies", "rate")
+    rates = materialize(targets(source_sizes(sized), weights, share, most).select("source", F.col("rate").alias(rate)))
+    rows = with_rates(docs, rates, source_column).withColumn(n, copies(named(id_column), named(rate), seed))
+    rows = rows.filter(named(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), named(n))))
     return rows.select(*[named(c) for c in docs.columns])
