@@ -282,16 +282,18 @@ def main_text(page: str | None) -> str:
 def extracted(pages: DataFrame, html_column: str = "html", text: str = "text") -> DataFrame:
     """``pages`` with the html replaced by its main text, in a column ``text``, and n_chars, its code points."""
     kept = [c for c in pages.columns if c not in (html_column, text, "n_chars")]
-    rows = pages.select(*[named(c) for c in kept], named(html_column).alias("__page__"))
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(text, T.StringType())])
+    safe = [f"c{i}" for i in range(len(kept))]
+    rows = pages.select(*[named(c).alias(s) for c, s in zip(kept, safe, strict=True)], named(html_column).alias("page"))
+    schema = T.StructType([*[rows.schema[s] for s in safe], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [main_text(p) for p in batch.column(len(kept)).to_pylist()]
+                texts = [main_text(p) for p in batch.column(len(safe)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i) for i in range(len(kept))], pa.array(texts, pa.string())], [*kept, text]
+                    [*[batch.column(i) for i in range(len(safe))], pa.array(texts, pa.string())], [*safe, "text"]
                 )
 
-    return rows.mapInArrow(run, schema).withColumn("n_chars", F.length(named(text)).cast("long"))
+    out = rows.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return out.toDF(*kept, text, "n_chars")
