@@ -41,9 +41,12 @@ def upsert_vendas(current: DataFrame, incoming: DataFrame, clientes: DataFrame)
     """Replace sales by key; an unknown customer becomes null."""
     keys = ["client_key", "venda_key"]
     known = clientes.select("client_key", "cliente_key", F.lit(True).alias("_known"))
-    fresh = _last_rows(incoming, keys).join(
+    last = _last_rows(incoming, keys)
+    # Sales without a customer, often most of them, stay out of the join: they are one key of it.
+    named = last.filter(F.col("cliente_key").isNotNull()).join(
         known, ["client_key", "cliente_key"], "left"
-    ).withColumn("cliente_key", F.when(F.col("_known"), F.col("cliente_key")))
+    ).withColumn("cliente_key", F.when(F.col("_known"), F.col("cliente_key"))).drop("_known")
+    fresh = named.unionByName(last.filter(F.col("cliente_key").isNull()))
     return _replace(current, fresh, keys)
 
 
@@ -94,9 +97,10 @@ def etl_run_log(
     read: DataFrame, written: DataFrame, started_at: datetime, finished_at: datetime,
     connector_type: str = "csv", errors: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per shop of a pull: rows read and written, or the error met.
+    """One row per shop of a pull: rows read and written, and the error met.
 
-    ``errors`` has (client_key, error_message) for shops whose pull failed.
+    ``errors`` has (client_key, error_message) for shops of which a file failed;
+    where other files of the shop were written the status is ``partial``.
     """
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("client_key").agg(F.count(F.lit(1)).alias(name))
@@ -109,13 +113,12 @@ def etl_run_log(
     else:
         rows = rows.join(errors.select("client_key", "error_message"), "client_key", "full_outer")
     failed = F.col("error_message").isNotNull()
+    n_written = F.coalesce("records_written", F.lit(0).cast("bigint"))
     return rows.select(
         "client_key", F.lit(connector_type).alias("connector_type"),
-        F.when(failed, "error").otherwise("success").alias("status"),
+        F.when(failed & (n_written > 0), "partial").when(failed, "error").otherwise("success").alias("status"),
         F.coalesce("records_read", F.lit(0)).alias("records_read"),
-        F.when(failed, 0).otherwise(F.coalesce("records_written", F.lit(0))).cast("bigint").alias(
-            "records_written"
-        ),
+        n_written.alias("records_written"),
         "error_message",
         F.lit(started_at).cast("timestamp_ntz").alias("started_at"),
         F.lit(finished_at).cast("timestamp_ntz").alias("finished_at"),

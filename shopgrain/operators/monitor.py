@@ -24,7 +24,8 @@ def etl_execucoes_24h(logs: DataFrame, now=None) -> DataFrame:
 
 
 def etl_erros_24h(logs: DataFrame, now=None) -> DataFrame:
-    return _last_day(logs, now).filter(F.col("status") == "error").agg(
+    """Runs that failed, in whole or for some files."""
+    return _last_day(logs, now).filter(F.col("status").isin("error", "partial")).agg(
         F.count(F.lit(1)).alias("value")
     )
 

@@ -1,47 +1,89 @@
-"""CSV and TSV exports read as all-text rows."""
+"""CSV and TSV exports read as all-text rows.
+
+Files are grouped by separator and header, each group is one scan, and every
+row keeps the names of its own file's header.  One line is one record whatever
+the size of a file, so files stay splittable and a stray quote costs its own
+line only; ``multiline`` is for exports known to have quoted line ends.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopgrain.sources import files
 from shopgrain.sources.shared import materialize
 
 _BAD = "_malformed"
 PEEK_BYTES = 512
-HEADER_BYTES = 64 * 1024
-WHOLE_FILE_BYTES = 1 << 30
 _BROADCAST_BLOCKS = 100_000
+MALFORMED = "linha malformada"
+
+
+class Shape(NamedTuple):
+    """Files that share a separator and a header record."""
+
+    sep: str
+    header: str
+    paths: list[str]
+
+
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
 
+def separator(path: Column, start: Column) -> Column:
+    """Tab for .tsv; else the one of ; or tab that beats all others at the start of the file."""
+    semi, comma, tab = (_count(start, c) for c in ";,\t")
+    return F.when(F.lower(path).endswith(".tsv"), "\t").when(
+        (semi > comma) & (semi > tab), ";"
+    ).when((tab > comma) & (tab > semi), "\t").otherwise(",")
 
-def _first_file(spark: SparkSession, path: str) -> str:
-    if files.is_file(spark, path):
-        return path
-    parts = [
-        c for c in files.children(spark, path)
-        if not c.rsplit("/", 1)[-1].startswith(("_", "."))
-    ]
-    if not parts:
-        raise FileNotFoundError(path)
-    return _first_file(spark, parts[0])
+
+def file_heads(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, sep, header of each file that has a line, found where the files are read.
+
+    Only the first block of a file is looked at.  Lines are numbered by their
+    place in a task; the first 512 lines hold the first 512 bytes.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
+    ).filter("block = 0")
+    first = F.struct("id", "value")
+    heads = lines.groupBy("path").agg(
+        F.min("id").alias("start"), F.min(F.when(F.col("value") != "", first)).alias("head"),
+    ).filter("head IS NOT NULL")
+    near = lines.select("path", "id", F.substring("value", 1, PEEK_BYTES).alias("value")).join(
+        heads.select("path", "start"), "path"
+    ).filter(F.col("id") < F.col("start") + PEEK_BYTES)
+    peek = near.groupBy("path").agg(F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), "\n"
+    ).alias("text"))
+    start = F.substring(F.col("text").cast("binary"), 1, PEEK_BYTES).cast("string")
+    return heads.join(peek, "path").select(
+        "path", separator(F.col("path"), start).alias("sep"), F.col("head.value").alias("header")
+    )
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
-    """Tab for .tsv; else the one of ; or tab that beats all others at the start."""
-    first = _first_file(spark, path)
-    if first.lower().endswith(".tsv"):
-        return "\t"
-    text = files.head(spark, first, PEEK_BYTES)
-    semi, comma, tab = text.count(";"), text.count(","), text.count("\t")
-    if semi > comma and semi > tab:
-        return ";"
-    if tab > comma and tab > semi:
-        return "\t"
-    return ","
+    """Separator of the first file of a path that has a line; a comma if none has."""
+    first = file_heads(spark, [path]).orderBy("path").select("sep").first()
+    return first["sep"] if first else ","
+
+
+def scan_shapes(spark: SparkSession, paths: Sequence[str], sep: str | None = None) -> list[Shape]:
+    """Group files by separator and whole header record; files without a line have no shape."""
+    heads = file_heads(spark, paths)
+    if sep is not None:
+        heads = heads.withColumn("sep", F.lit(sep))
+    groups = heads.groupBy("sep", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    # As many entries as there are files.
+    return sorted(Shape(r["sep"], r["header"], list(r["paths"])) for r in groups.collect())
 
 
 def _reader(spark: SparkSession, sep: str, multiline: bool):
@@ -52,68 +94,49 @@ def _reader(spark: SparkSession, sep: str, multiline: bool):
     )
 
 
-def _spans_lines(spark: SparkSession, paths: Sequence[str]) -> bool:
-    """Whether a quoted value may run over a line end.
-
-    Small files are simply read whole.  A large file stays splittable unless a
-    line holds an odd number of quotes.
-    """
-    if sum(files.total_bytes(spark, p) for p in paths) <= WHOLE_FILE_BYTES:
-        return True
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = spark.read.text(list(paths)).filter(quotes % 2 == 1)
-    return not odd.limit(1).isEmpty()
-
-
-def csv_scan(
-    spark: SparkSession, path: str | Sequence[str], sep: str | None = None,
-    multiline: bool | None = None,
-) -> DataFrame:
-    """Rows of files that share one header, every value trimmed text.
-
-    Header names are lower-cased and trimmed.  A row whose number of fields
-    differs from the header's is skipped, as is one that cannot be parsed.
-    ``_file`` and ``_line`` (1-based number among the kept rows of its file)
-    follow the header's columns.
-    """
-    paths = [path] if isinstance(path, str) else list(path)
-    sep = detect_separator(spark, paths[0]) if sep is None else sep
-    spans = _spans_lines(spark, paths) if multiline is None else multiline
-    named = _reader(spark, sep, spans).csv(_first_file(spark, paths[0])).columns
+def scan_group(spark: SparkSession, shape: Shape, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of one shape, and the records (_file, _text) that its header does not fit."""
+    named = _reader(spark, shape.sep, multiline).csv(shape.paths[0]).columns
     names = [n.strip().lower() for n in named]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BAD]])
     raw = (
-        _reader(spark, sep, spans).schema(schema).option("mode", "PERMISSIVE")
+        _reader(spark, shape.sep, multiline).schema(schema).option("mode", "PERMISSIVE")
         # Without every field of a row its width cannot be checked.
         .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", _BAD).csv(paths)
+        .option("columnNameOfCorruptRecord", _BAD).csv(shape.paths)
     )
-    # Spark asks that a filter on the malformed-row column reads a real one too;
-    # the second condition always holds.
-    some = F.col(f"`{names[0]}`")
-    whole = F.col(_BAD).isNull() & (F.length(F.coalesce(some, F.lit(""))) >= 0)
-    kept = raw.filter(whole).select(
-        *[F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names],
+    # The text is parsed once; numbering and the reject log read the result.
+    kept = materialize(raw.select(
+        *[F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names], _BAD,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
-    )
-    # The text is parsed once; numbering reads three columns of the result.
-    kept = materialize(kept)
+    ))
     # Number rows inside each block, then shift by the rows of earlier blocks:
     # the rows themselves are neither sorted nor shuffled.
-    blocks = kept.groupBy("_file", "_block").agg(
+    whole, bad = kept.filter(F.col(_BAD).isNull()).drop(_BAD), kept.filter(F.col(_BAD).isNotNull())
+    blocks = materialize(whole.groupBy("_file", "_block").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
+    ))
     before = F.sum("_rows").over(_earlier_blocks())
     offsets = blocks.select(
         "_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_off")
     )
-    if _few_blocks(spark, paths):
+    few = blocks.count() <= _BROADCAST_BLOCKS
+    if few:
         offsets = F.broadcast(offsets)
-    return kept.join(offsets, ["_file", "_block"]).select(
-        *names, "_file", (F.col("_off") + F.col("_id") - F.col("_first") + 1).alias("_line")
+    # Rows of one block lie in one task, in order; skipped ones leave gaps in the ids.
+    place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_id"))
+    dense = bad.select("_file", "_block").distinct().withColumn("_gaps", F.lit(True))
+    marked = whole.join(F.broadcast(dense) if few else dense, ["_file", "_block"], "left")
+    even = marked.filter(F.col("_gaps").isNull()).drop("_gaps").join(offsets, ["_file", "_block"]).withColumn(
+        "_line", F.col("_off") + F.col("_id") - F.col("_first") + 1
     )
+    gappy = marked.filter(F.col("_gaps")).drop("_gaps").join(offsets, ["_file", "_block"]).withColumn(
+        "_line", F.col("_off") + place
+    )
+    rows = even.unionByName(gappy).select(*names, "_file", "_line")
+    return rows, bad.select("_file", F.col(_BAD).alias("_text"))
 
 
 def _earlier_blocks():
@@ -123,17 +146,32 @@ def _earlier_blocks():
     )
 
 
-def _few_blocks(spark: SparkSession, paths: Sequence[str]) -> bool:
-    size = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    n = sum(files.total_bytes(spark, p) // max(size, 1) + 1 for p in paths)
-    return n <= _BROADCAST_BLOCKS
+def csv_parts(
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, multiline: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """All rows of the files, and the records that do not fit their file's header."""
+    shapes = scan_shapes(spark, [path] if isinstance(path, str) else path, sep)
+    if not shapes:
+        empty = spark.createDataFrame([], "_file string, _line bigint")
+        return empty, spark.createDataFrame([], "_file string, _text string")
+    parts = [scan_group(spark, s, multiline) for s in shapes]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r for r, _ in parts])
+    # A column that a file does not have is empty in its rows.
+    texts = [c for c in rows.columns if c != "_line"]
+    names = [c for c in rows.columns if c not in ("_file", "_line")]
+    rows = rows.na.fill("", texts).select(*names, "_file", "_line")
+    return rows, reduce(DataFrame.unionByName, [b for _, b in parts])
 
 
-def scan_shapes(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, list[str]]]:
-    """Group files by separator and header, so each group is one scan."""
-    groups: dict[tuple[str, str], list[str]] = {}
-    for p in paths:
-        sep = detect_separator(spark, p)
-        header = files.head(spark, p, HEADER_BYTES).splitlines()[:1]
-        groups.setdefault((sep, header[0] if header else ""), []).append(p)
-    return [(sep, members) for (sep, header), members in groups.items() if header.strip()]
+def csv_scan(
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, multiline: bool = False,
+) -> DataFrame:
+    """Rows of the files, every value trimmed text.
+
+    Header names are lower-cased and trimmed; a column that only some files
+    have is empty in the others.  A row whose number of fields differs from
+    the header's is skipped, as is one that cannot be parsed; ``csv_parts``
+    also returns those.  ``_file`` and ``_line`` (1-based number among the kept
+    rows of its file) follow the headers' columns.
+    """
+    return csv_parts(spark, path, sep, multiline)[0]

@@ -1,4 +1,8 @@
-"""Small file-system questions asked through Hadoop, so any storage works."""
+"""Small file-system questions asked through Hadoop, so any storage works.
+
+This is the one place that reaches into the session's Java side, which a
+Connect session does not have.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def _path(spark: SparkSession, path: str):
+    if not hasattr(spark, "_jvm"):
+        raise RuntimeError("file operations need a classic session, not a Connect session")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -15,16 +21,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def total_bytes(spark: SparkSession, path: str) -> int:
-    p, fs = _path(spark, path)
-    return int(fs.getContentSummary(p).getLength())
-
-
-def is_file(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
-    return fs.getFileStatus(p).isFile()
-
-
 def children(spark: SparkSession, path: str) -> list[str]:
     p, fs = _path(spark, path)
     if not fs.exists(p):
@@ -37,14 +33,9 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
-def head(spark: SparkSession, path: str, size: int) -> str:
-    """First bytes of one file as text."""
-    p, fs = _path(spark, path)
-    stream = fs.open(p)
-    try:
-        data = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(
-            spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)
-        )
-    finally:
-        stream.close()
-    return bytes(data).decode("utf-8", "replace")
+def partition_leaf(spark: SparkSession, values: list[tuple[str, str]]) -> str:
+    """Folder of a partition below its table, escaped as Spark's writers do."""
+    if not hasattr(spark, "_jvm"):
+        raise RuntimeError("file operations need a classic session, not a Connect session")
+    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return "/".join(utils.getPartitionPathString(c, v) for c, v in values)

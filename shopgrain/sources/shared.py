@@ -7,22 +7,36 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopgrain.sources import files
+
 _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the cluster; a local one only where none is set."""
+    """Checkpoint folder named by the cluster.
+
+    A folder of this machine is taken only where none is named and the master
+    is local, because executors elsewhere would not see its files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.sparkContext.getCheckpointDir()
     )
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = context.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="shopgrain-")
     return _own_dir[app]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate results."""
+    return f"{shared_dir(spark)}/shopgrain-scratch/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and go on from the files.
 
@@ -30,6 +44,16 @@ def materialize(df: DataFrame) -> DataFrame:
     the raw tables are then scanned once, the branches agree on the rows, and
     the planner knows the real size of what follows.
     """
-    path = f"{shared_dir(df.sparkSession)}/shopgrain-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession, everything: bool = False) -> None:
+    """Delete this application's intermediate results, or those of all applications.
+
+    Frames that were built from them and not yet written must not be used any
+    more, so this belongs at the end of a run.
+    """
+    path = scratch_dir(spark)
+    files.remove(spark, path.rsplit("/", 1)[0] if everything else path)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopgrain.functions.ordering import top_n
 from shopgrain.sources import files
-from shopgrain.sources.shared import materialize
+from shopgrain.sources.shared import clear_scratch, materialize
 
 SHOP_COLUMN = ["client_key"]
 
@@ -38,7 +40,7 @@ class TableStore:
                 [T.StructField("client_key", T.StringType())]
             ))
         if schema is None:
-            schema = self.spark.read.parquet(self.path(name)).schema
+            schema = self._schema(name) or self.spark.read.parquet(self.path(name)).schema
         # Shop keys are text even where every one of them looks like a number.
         fields = [
             T.StructField(f.name, T.StringType()) if f.name == "client_key" else f
@@ -46,9 +48,20 @@ class TableStore:
         ]
         return self.spark.read.schema(T.StructType(fields)).parquet(self.path(name))
 
+    def _schema(self, name: str) -> T.StructType | None:
+        """Columns of the last write, which may have brought no rows."""
+        path = f"{self.root}/_schemas/{name}"
+        if not files.exists(self.spark, f"{path}/_SUCCESS"):
+            return None
+        return T.StructType.fromJson(json.loads(self.spark.read.text(path).first()["value"]))
+
     def _swap(self, name: str, rows: DataFrame, partition_by: Sequence[str]) -> None:
+        """Replace the partitions that have rows, each written as a few files of the advised size."""
+        if self._schema(name) != rows.schema:
+            line = self.spark.createDataFrame([(rows.schema.json(),)], "value string")
+            line.coalesce(1).write.mode("overwrite").text(f"{self.root}/_schemas/{name}")
         (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            rows.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partition_by).parquet(self.path(name))
         )
 
@@ -89,14 +102,19 @@ class TableStore:
         files.remove(self.spark, staged)
 
     def _drop(self, name: str, values: Sequence[tuple[str, str]]) -> bool:
-        utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        leaf = "/".join(utils.getPartitionPathString(c, v) for c, v in values)
-        return files.remove(self.spark, f"{self.path(name)}/{leaf}")
+        return files.remove(self.spark, f"{self.path(name)}/{files.partition_leaf(self.spark, list(values))}")
 
     def names(self) -> list[str]:
         found = [p.rsplit("/", 1)[-1] for p in files.children(self.spark, self.root)]
         return [n for n in found if not n.startswith(("_", "."))]
 
     def erase_tenant(self, client_key: str) -> list[str]:
-        """Drop every partition of a shop from all tables; returns the tables it was in."""
+        """Drop every partition of a shop from all tables; returns the tables it was in.
+
+        Staged rows and the intermediate results of all applications go too,
+        whichever shops they hold: a merge that was cut short stages its rows
+        anew.  So no pull or analytics run may be under way.
+        """
+        files.remove(self.spark, f"{self.root}/_staging")
+        clear_scratch(self.spark, everything=True)
         return [n for n in self.names() if self._drop(n, [("client_key", client_key)])]

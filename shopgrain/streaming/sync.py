@@ -4,6 +4,11 @@ Layout of the inbox: ``<inbox>/<client_key>/<entity>/<file>.csv|.tsv`` with the
 entities clientes, produtos, vendas and itens_venda.  The stream only discovers
 files (the checkpoint remembers them); each batch then reads its files as
 ordinary CSV, one scan per header shape, and merges them into the tables.
+
+A file that cannot be read is set aside: the other files of its batch are
+merged, and it is tried again with every later batch and at the start of every
+run until it can be read.  Records that do not fit their header, and items
+whose sale is not known, go to the reject table.
 """
 
 from __future__ import annotations
@@ -32,6 +37,12 @@ REJECTS = T.StructType([
     T.StructField("_raw", T.MapType(T.StringType(), T.StringType())),
 ])
 # Only the path is read; unread content is never loaded.
+PENDING = "arquivos_pendentes"
+PENDING_SCHEMA = T.StructType([
+    T.StructField("client_key", T.StringType()), T.StructField("path", T.StringType()),
+    T.StructField("lote", T.StringType()), T.StructField("waits", T.BooleanType()),
+    T.StructField("error_message", T.StringType()),
+])
 FOUND = "path string, modificationTime timestamp, length bigint, content binary"
 _MONTH = T.StructField("mes", T.DateType())
 
@@ -60,16 +71,22 @@ class SyncBatch:
         self.spark = store.spark
         self.clock = clock
 
-    def _scan(self, entity: str, paths: list[str]) -> tuple[list[DataFrame], list[tuple[str, str]]]:
-        frames, failed = [], []
-        for sep, members in csv_files.scan_shapes(self.spark, paths):
-            try:
-                raw = csv_files.csv_scan(self.spark, members, sep)
-            except Exception as error:  # a shop's broken export must not stop the others
-                failed += [(p.split("/")[-3], str(error)[:500]) for p in members]
-                continue
-            frames.append(raw.withColumn("client_key", _from_path(3)))
-        return frames, failed
+    def _scan(self, paths: list[str]) -> tuple[list[DataFrame], list[DataFrame], list[tuple[str, str]]]:
+        """Rows and malformed records of the files that can be read, and (path, error) of the others.
+
+        When reading together fails, the files are halved until the ones that
+        fail stand alone, so k bad files cost about k times log n more scans.
+        """
+        try:
+            parts = [csv_files.scan_group(self.spark, s) for s in csv_files.scan_shapes(self.spark, paths)]
+        except Exception as error:  # a shop's broken export must not stop the others
+            if len(paths) == 1:
+                return [], [], [(paths[0], str(error))]
+            half = len(paths) // 2
+            a, b = self._scan(paths[:half]), self._scan(paths[half:])
+            return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+        shop = _from_path(3).alias("client_key")
+        return [r.select(shop, "*") for r, _ in parts], [b.select(shop, "*") for _, b in parts], []
 
     def _normalize(self, entity: str, frames: list[DataFrame]):
         def joined(parts: list[DataFrame]) -> DataFrame:
@@ -82,15 +99,17 @@ class SyncBatch:
         fn = normalize.normalize_produtos if entity == "produtos" else normalize.normalize_clientes
         return joined([fn(f) for f in frames]), None
 
-    def _merge(self, entity: str, rows: DataFrame, batch: str, now: datetime) -> DataFrame:
-        """Merge into the entity's table; returns the rows that were accepted."""
+    def _merge(
+        self, entity: str, rows: DataFrame, batch: str, now: datetime
+    ) -> tuple[DataFrame, DataFrame | None]:
+        """Merge into the entity's table; returns the rows that were accepted, and those without a sale."""
         store, want = self.store, table_schema(entity)
 
         def full(df: DataFrame) -> DataFrame:
             missing = [f for f in want.fields if f.name not in df.columns]
             return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
 
-        rows = full(rows)
+        rows, orphans = full(rows), None
         if entity == "clientes":
             fn, keys, parts = (
                 lambda old, new: load.upsert_clientes(old, new, now),
@@ -112,47 +131,104 @@ class SyncBatch:
             sales = store.read("vendas", table_schema("vendas")).select(
                 "client_key", "venda_key", "mes"
             )
-            rows = materialize(rows.drop("mes").join(sales, ["client_key", "venda_key"]))
+            found = materialize(rows.drop("mes").join(
+                sales.withColumn("_known", F.lit(True)), ["client_key", "venda_key"], "left"
+            ))
+            rows = found.filter("_known").drop("_known")
+            orphans = found.filter("_known IS NULL").select(
+                "client_key", "_file", "_line",
+                F.concat(F.lit("linha "), F.col("_line"), F.lit(": venda desconhecida")).alias("_reason"),
+                F.map_from_arrays(
+                    F.array(F.lit("venda_key"), F.lit("produto_key")), F.array("venda_key", "produto_key")
+                ).alias("_raw"),
+            )
             fn, keys, parts = (
                 lambda old, new: load.load_itens(old, new, sales),
                 ["client_key", "venda_key"], ["client_key", "mes"],
             )
         store.merge(entity, rows, keys, parts, fn, batch, want)
-        return rows
+        return rows, orphans
+
+    def _pending(self) -> list[str]:
+        """Files set aside by earlier batches: as many as failed and were not read since."""
+        rows = self.store.read(PENDING, PENDING_SCHEMA)
+        last = rows.groupBy("path").agg(F.max_by("waits", "lote").alias("waits")).filter("waits")
+        return [r["path"] for r in last.select("path").collect()]
+
+    def _note(self, failed: list[tuple[str, str]], read: list[str], batch: str) -> None:
+        """Write down which files wait from this batch on, and which have been read at last."""
+        lines = [(p.split("/")[-3], p, batch, True, e) for p, e in failed]
+        lines += [(p.split("/")[-3], p, batch, False, None) for p in read]
+        if lines:
+            self.store.save_result(
+                PENDING, self.spark.createDataFrame(lines, PENDING_SCHEMA), ["client_key", "lote"]
+            )
 
     def __call__(self, found: DataFrame, batch_id: int) -> None:
         # At most maxFilesPerTrigger names.
-        paths = sorted(r["path"] for r in found.select("path").collect())
+        self.load([r["path"] for r in found.select("path").collect()], f"{batch_id:012d}")
+
+    def retry(self) -> None:
+        """Try the files that earlier runs set aside."""
+        if self._pending():
+            # Sorts after the numbers of batches of this and earlier runs at the same time.
+            self.load([], f"r{self.clock():%Y%m%d%H%M%S%f}")
+
+    def load(self, new: list[str], number: str) -> None:
+        """Merge new files and those that wait."""
+        waiting = set(self._pending())
+        paths = sorted({*new, *waiting})
         # The names tell this batch from one of an earlier, abandoned checkpoint.
         mark = zlib.crc32("\n".join(paths).encode())
-        started, batch = self.clock(), f"{batch_id:012d}-{mark:08x}"
+        started, batch = self.clock(), f"{number}-{mark:08x}"
+        still: list[tuple[str, str]] = []
         for entity in ENTITIES:
             mine = [p for p in paths if p.split("/")[-2] == entity]
-            if not mine:
-                continue
-            frames, failed = self._scan(entity, mine)
-            errors = self.spark.createDataFrame(
-                failed, "client_key string, error_message string"
-            ).dropDuplicates(["client_key"])
-            if not frames:
-                read = written = self.spark.createDataFrame([], "client_key string")
-            else:
-                good, bad = self._normalize(entity, frames)
-                good = materialize(good)
-                written = self._merge(entity, good, f"{entity}-{batch}", started)
-                read = good.select("client_key")
-                if bad is not None:
-                    bad = materialize(bad.withColumn("entidade", F.lit(entity)))
-                    read = read.unionByName(bad.select("client_key"))
-                    self.store.save_result(
-                        "rejeitos", bad.withColumn("lote", F.lit(f"{entity}-{batch}")),
-                        ["client_key", "lote"],
-                    )
-            log = load.etl_run_log(read, written, started, self.clock(), "csv", errors)
+            if mine:
+                still += self._load_entity(entity, mine, batch, started)
+        failed = {p for p, _ in still}
+        stamp = f"{started:%Y%m%d%H%M%S%f}-{batch}"
+        self._note(still, sorted(waiting - failed), stamp)
+
+    def _load_entity(
+        self, entity: str, paths: list[str], batch: str, started: datetime
+    ) -> list[tuple[str, str]]:
+        frames, malformed, failed = self._scan(paths)
+        errors = self.spark.createDataFrame(
+            [(p.split("/")[-3], f"{p}: {e}") for p, e in failed], "client_key string, error_message string"
+        ).groupBy("client_key").agg(
+            F.array_join(F.sort_array(F.collect_set("error_message")), "\n").alias("error_message")
+        )
+        if not frames:
+            read = written = self.spark.createDataFrame([], "client_key string")
+        else:
+            good, bad = self._normalize(entity, frames)
+            good = materialize(good)
+            written, orphans = self._merge(entity, good, f"{entity}-{batch}", started)
+            rejects = [
+                m.select(
+                    "client_key", "_file", F.lit(None).cast("bigint").alias("_line"),
+                    F.lit(csv_files.MALFORMED).alias("_reason"),
+                    F.create_map(F.lit("texto"), F.col("_text")).alias("_raw"),
+                ) for m in malformed
+            ]
+            rejects += [x for x in (bad, orphans) if x is not None]
+            read = good.select("client_key")
+            if bad is not None:
+                read = read.unionByName(bad.select("client_key"))
+            columns = [f for f in REJECTS.fieldNames() if f != "entidade"]
+            log = reduce(DataFrame.unionByName, [r.select(*columns) for r in rejects])
             self.store.save_result(
-                "etl_logs", log.withColumn("lote", F.lit(f"{entity}-{batch}")),
-                ["client_key", "lote"],
+                "rejeitos", log.select(
+                    "client_key", F.lit(entity).alias("entidade"), *columns[1:],
+                    F.lit(f"{entity}-{batch}").alias("lote"),
+                ), ["client_key", "lote"],
             )
+        log = load.etl_run_log(read, written, started, self.clock(), "csv", errors)
+        self.store.save_result(
+            "etl_logs", log.withColumn("lote", F.lit(f"{entity}-{batch}")), ["client_key", "lote"],
+        )
+        return failed
 
 
 def incremental_sync(
@@ -160,12 +236,17 @@ def incremental_sync(
     interval: str | None = None, max_files: int = 1000,
     clock: Callable[[], datetime] = _utc_now,
 ) -> StreamingQuery:
-    """Merge new files of the inbox; once through by default, else every ``interval``."""
+    """Merge new files of the inbox; once through by default, else every ``interval``.
+
+    Files that earlier runs could not read are tried first.
+    """
+    batch = SyncBatch(store, clock)
+    batch.retry()
     found = (
         spark.readStream.format("binaryFile").schema(FOUND).option("maxFilesPerTrigger", max_files)
         .load(f"{inbox.rstrip('/')}/*/*/*").select("path")
     )
-    writer = found.writeStream.foreachBatch(SyncBatch(store, clock)).option(
+    writer = found.writeStream.foreachBatch(batch).option(
         "checkpointLocation", checkpoint
     )
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.operators import load, normalize
 from shopgrain.operators.publish import CACHE, HISTORY, publicar_insights
-from shopgrain.sources.csv_files import csv_scan
+from shopgrain.sources.csv_files import csv_parts, csv_scan, detect_separator
 from shopgrain.sources.tables import TableStore
 from shopgrain.streaming.sync import incremental_sync, table_schema
 
@@ -186,7 +186,9 @@ def test_stream_equals_batch_and_is_idempotent(spark, inbox):
     first = pick()
     assert first == of_a + [("b", "1", None, 1.5)]
     assert [(r.venda_key, float(r.total)) for r in store.read("itens_venda").collect()] == [("1", 10.0)]
-    assert [r._reason for r in store.read("rejeitos").collect()] == ["linha 2: data inválida 'x'"]
+    assert sorted(r._reason for r in store.read("rejeitos").collect()) == [
+        "linha 2: data inválida 'x'", "linha 2: venda desconhecida",
+    ]
     logs = {(r.client_key, r.lote.split("-")[0]): (r.records_read, r.records_written) for r in store.read("etl_logs").collect()}
     assert logs[("a", "vendas")] == (3, 2) and logs[("a", "itens_venda")] == (2, 1)
     pull(store, "cp")          # nothing new
@@ -198,3 +200,100 @@ def test_stream_equals_batch_and_is_idempotent(spark, inbox):
     assert ("a", "3", None, 8.0) in pick() and len(pick()) == len(first)
     store.erase_tenant("a")
     assert pick() == [("b", "1", None, 1.5)]
+
+
+def test_a_stray_quote_costs_its_own_line_only(spark, tmp_path):
+    put(tmp_path, "q.csv", 'a;b;c\n1;a"b;"c\n2;x;5\n3;y"z";6\n4;z;7\n')
+    assert sorted(r.a for r in csv_scan(spark, str(tmp_path / "q.csv")).collect()) == ["1", "2", "3", "4"]
+
+
+def test_every_file_keeps_its_own_header(spark, tmp_path):
+    put(tmp_path, "in/1.csv", "id;nome\nx;y\n")
+    put(tmp_path, "in/2.csv", "nome;id\ny2;x2\n")
+    put(tmp_path, "in/3.csv", "\nID,Outro\n7,8\nshort\n9,10\n")
+    put(tmp_path, "in/4.csv", "")
+    good, bad = csv_parts(spark, str(tmp_path / "in"))
+    got = sorted((r.id, r.nome, r.outro, r._line) for r in good.collect())
+    assert got == [("7", "", "8", 1), ("9", "", "10", 2), ("x", "y", "", 1), ("x2", "y2", "", 1)]
+    assert [r._text for r in bad.collect()] == ["short"]
+    assert detect_separator(spark, str(tmp_path / "in/1.csv")) == ";"
+
+
+def test_wide_headers_that_differ_late_are_told_apart(spark, tmp_path):
+    wide = ",".join(f"coluna_bem_comprida_{i:05d}" for i in range(3200))
+    put(tmp_path, "in/1.csv", f"{wide},fim\n" + "1," * 3200 + "2\n")
+    put(tmp_path, "in/2.csv", f"{wide},outro\n" + "1," * 3200 + "3\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    try:
+        rows = csv_scan(spark, str(tmp_path / "in")).select("fim", "outro").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.fim, r.outro) for r in rows) == [("", "3"), ("2", "")]
+
+
+def test_a_broken_file_waits_and_the_others_are_loaded(spark, tmp_path):
+    import gzip
+
+    rows = "".join(f"{i};2024-01-{1 + i % 28:02d};{i}\n" for i in range(1, 101))
+    put(tmp_path, "inbox/a/vendas/v.csv", "id;data;total\n" + rows)
+    put(tmp_path, "inbox/b/vendas/v0.csv", "id;data;total\n900;2024-02-01;5\n")
+    broken = tmp_path / "inbox/b/vendas/v1.csv.gz"
+    whole = gzip.compress(("id;data;total\n" + rows * 50).encode())
+    broken.write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "inbox/c/vendas").mkdir(parents=True)
+    (tmp_path / "inbox/c/vendas/v.csv.gz").write_bytes(b"no archive")
+    store = TableStore(spark, str(tmp_path / "tables"))
+
+    def pull():
+        incremental_sync(spark, str(tmp_path / "inbox"), store, str(tmp_path / "cp"), clock=lambda: NOW).awaitTermination()
+        return sorted((r.client_key, r.n) for r in store.read("vendas").groupBy("client_key").agg(F.count("*").alias("n")).collect())
+
+    assert pull() == [("a", 100), ("b", 1)]
+    log = {r.client_key: (r.status, r.records_written) for r in store.read("etl_logs").collect()}
+    assert log == {"a": ("success", 100), "b": ("partial", 1), "c": ("error", 0)}
+    assert pull() == [("a", 100), ("b", 1)]
+    broken.write_bytes(whole)
+    assert pull() == [("a", 100), ("b", 101)]
+    waiting = store.read("arquivos_pendentes").groupBy("path").agg(F.max_by("waits", "lote").alias("w")).filter("w").collect()
+    assert [r.path.split("/")[-3] for r in waiting] == ["c"]
+
+
+def test_an_empty_first_result_can_be_read_back(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([("001", 1)], "client_key string, v int")
+    store.save_result("r", df.limit(0))
+    assert store.load_result("r").schema == df.schema and store.load_result("r").count() == 0
+    store.save_result("r", df)
+    assert [tuple(r) for r in store.load_result("r").select("client_key", "v").collect()] == [("001", 1)]
+    assert store.names() == ["r"]
+
+
+def test_partitions_are_a_few_files_each(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"))
+    store.save_result("r", spark.range(2000, numPartitions=8).selectExpr("cast(id % 50 as string) AS client_key", "id AS v"))
+    assert len(list((tmp_path / "t/r").rglob("*.parquet"))) <= 2 * 50
+    assert store.load_result("r").count() == 2000
+
+
+def test_intermediate_results_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from shopgrain.sources import shared
+
+    context = SimpleNamespace(master="yarn", applicationId="x", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)
+
+
+def test_erasing_a_shop_leaves_no_copy(spark, tmp_path):
+    from shopgrain.sources import files, shared
+
+    store = TableStore(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "client_key string, v int")
+    store.save_result("r", df)
+    shared.materialize(df)
+    df.write.parquet(str(tmp_path / "t/_staging/r/1"))
+    store.erase_tenant("a")
+    assert not files.exists(spark, shared.scratch_dir(spark)) and not (tmp_path / "t/_staging").exists()
+    assert [r.client_key for r in store.load_result("r").collect()] == ["b"]

@@ -35,3 +35,13 @@ def test_full_run_over_two_shops_then_again(spark, make, tmp_path):
     assert second == {k: v + 10 for k, v in first.items()}
     run_analytics(tables, store, datetime(2024, 7, 9), min_lift=1.0)
     assert {(r.client_key, r.tipo): r.prioridade for r in store.read("insights_cache").collect()} == first
+
+
+def test_a_shop_without_rules_does_not_stop_the_run(spark, make, tmp_path):
+    sales = [("a", str(k), f"2024-01-{1 + k % 28:02d} 10:00:00", f"c{k % 5}", "v", 50 + k, 0) for k in range(60)]
+    items = [("a", str(k), f"p{k % 4}", 1, 10, 0, 10) for k in range(60)]
+    tables = ShopTables(make.vendas(sales), make.itens(items).drop("data_venda"), make.produtos([("a", "p1", "Um", "C", 3, 12)]))
+    store = TableStore(spark, str(tmp_path / "t"))
+    names = run_analytics(tables, store, datetime(2024, 7, 1))
+    assert store.load_result("basket_resultado").count() == 0
+    assert store.load_result("abc_resultado").count() == 4 and "insights_cache" in names
