@@ -37,20 +37,3 @@ def fmt_brl(col: Column) -> Column:
     """``R$ 1.234,56``."""
     text = F.format_number(col.cast("double"), 2)
     return F.concat(F.lit("R$ "), F.translate(text, ",.", ".,"))
-
-
-def moment_sums(col: Column, name: str) -> list[Column]:
-    """Exact sums for a mean and deviation that do not depend on row order."""
-    x = col.cast("decimal(18,10)")
-    return [
-        F.count(x).alias(f"{name}_n"),
-        F.sum(x).alias(f"{name}_s"),
-        F.sum((x * x).cast("decimal(28,10)")).alias(f"{name}_ss"),
-    ]
-
-
-def moments(name: str) -> tuple[Column, Column]:
-    """Mean and sample deviation from :func:`moment_sums`."""
-    n, s, ss = dbl(f"{name}_n"), dbl(f"{name}_s"), dbl(f"{name}_ss")
-    spread = F.greatest(ss - s * s / n, F.lit(0.0))
-    return s / n, F.when(n > 1, F.sqrt(spread / (n - 1.0)))

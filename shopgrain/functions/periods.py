@@ -131,6 +131,27 @@ def since(
     return df.filter(F.col("data_venda") >= at["start"])
 
 
+def items_since(
+    itens: DataFrame, clock: DataFrame, as_of: datetime | Column | None, start: Start
+) -> DataFrame:
+    """Items from the month of the period's start on, where the table is laid out by month.
+
+    With a given ``as_of`` the partitions are pruned before anything is read,
+    with a single shop once its last sale is known.  With several shops the
+    month in the join keys is left to prune.
+    """
+    if "mes" not in itens.columns or (as_of is None and tenant_bound(clock) != 1):
+        return itens
+    _, at = with_starts(clock, clock, as_of, start=start)
+    return itens.filter(F.col("mes") >= F.trunc(at["start"], "month"))
+
+
+def sale_keys(itens: DataFrame, vendas: DataFrame) -> list[str]:
+    """Columns that join items with sales: the month too, where both tables are laid out by it."""
+    keys = ["client_key", "venda_key"]
+    return [*keys, "mes"] if "mes" in itens.columns and "mes" in vendas.columns else keys
+
+
 def hours_before(col: Column, n: int) -> Column:
     return col.cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(n))
 

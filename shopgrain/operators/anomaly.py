@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopgrain.functions.numbers import dbl, div0, moment_sums, moments, money_sum, rint
+from shopgrain.functions.numbers import dbl, div0, money_sum, rint
 from shopgrain.functions.ordering import percentiles
 from shopgrain.functions.tenancy import attach, for_every_shop, keep_bound
 from shopgrain.schema import DONE, WIDE_MONEY
@@ -105,11 +105,15 @@ def _samples(rows: DataFrame, sizes: DataFrame, trees: int, seed: int) -> DataFr
     A row enters a tree's candidates with a chance of about 4 x SAMPLE / n, so
     what is ranked stays near 4 x SAMPLE rows per tree however large the shop.
     """
-    hashed = attach(rows, sizes).select(
-        "client_key", *FEATURES, "venda_key", "_n",
-        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"),
-    ).withColumn("_h", F.xxhash64("venda_key", "_tree", F.lit(seed)))
-    near = hashed.filter(F.pmod("_h", F.col("_n")) < 4 * SAMPLE)
+    def drawn(tree: Column) -> Column:
+        return F.xxhash64(F.col("venda_key"), tree, F.lit(seed))
+
+    # Only the trees that a sale is a candidate of become rows, a handful in a large shop.
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    mine = F.filter(every, lambda t: F.pmod(drawn(t), F.col("_n")) < 4 * SAMPLE)
+    near = attach(rows, sizes).select(
+        "client_key", *FEATURES, "venda_key", "_n", F.explode(mine).alias("_tree"),
+    ).withColumn("_h", drawn(F.col("_tree")))
     w = Window.partitionBy("client_key", "_tree").orderBy("_h", "venda_key")
     return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= SAMPLE).drop(
         "_rn", "_n"
@@ -188,14 +192,13 @@ def anomalias_desconto(vendas: DataFrame, limit: float = 2.0) -> DataFrame:
         "client_key", "venda_key", "data_venda", "vendedor_id", dbl("total").alias("total"),
         F.coalesce(dbl("desconto"), F.lit(0.0)).alias("desconto"),
     ).withColumn("pct_desconto", _pct(F.col("desconto"), F.col("total")))
-    mean, std = moments("_pct")
+    # Both are merged from partial means, so neither a huge share nor many sales lose digits.
     spread = rows.groupBy("client_key").agg(
-        *moment_sums(F.col("pct_desconto"), "_pct")
-    ).select("client_key", mean.alias("_mean"), std.alias("_std")).filter(F.col("_std") > 0)
+        F.avg("pct_desconto").alias("_mean"), F.stddev_samp("pct_desconto").alias("_std")
+    ).filter(F.col("_std") > 0)
     z = (F.col("pct_desconto") - F.col("_mean")) / F.col("_std")
-    return attach(rows, spread).select(*rows.columns, z.alias("z_score")).filter(
-        F.col("z_score") > limit
-    )
+    # Nine places do not depend on the order in which partitions arrive.
+    return attach(rows, spread).filter(z > limit).select(*rows.columns, rint(z, 9).alias("z_score"))
 
 
 def anomalias_vendedor(vendas: DataFrame) -> DataFrame:

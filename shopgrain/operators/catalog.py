@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import dbl, div0, money_sum
 from shopgrain.functions.ordering import ranked, top_n
-from shopgrain.functions.periods import days_before, with_starts
+from shopgrain.functions.periods import days_before, items_since, sale_keys, with_starts
 from shopgrain.functions.tenancy import attach
 from shopgrain.schema import WIDE_MONEY
 from shopgrain.sources.shared import materialize
@@ -89,12 +89,11 @@ def dead_stock(
 ) -> DataFrame:
     """Stocked products without a sale in the last ``days`` days."""
     recent_sales, at = with_starts(vendas, vendas, as_of, start=days_before(days))
-    recent = recent_sales.filter(F.col("data_venda") >= at["start"]).select(
-        "client_key", "venda_key"
-    )
+    keys = sale_keys(itens, vendas)
+    recent = recent_sales.filter(F.col("data_venda") >= at["start"]).select(*keys)
     sold = (
-        itens.select("client_key", "venda_key", "produto_key")
-        .join(recent, ["client_key", "venda_key"], "left_semi")
+        items_since(itens, vendas, as_of, days_before(days)).select(*keys, "produto_key")
+        .join(recent, keys, "left_semi")
         .select(*KEY).distinct()
     )
     idle = (
@@ -154,12 +153,13 @@ def ranking_produtos(
     sales, at = with_starts(
         vendas, vendas, as_of, now=days_before(28), before=days_before(56)
     )
+    keys = sale_keys(itens, vendas)
     window = sales.filter(F.col("data_venda") >= at["before"]).select(
-        "client_key", "venda_key", (F.col("data_venda") >= at["now"]).alias("_now")
+        *keys, (F.col("data_venda") >= at["now"]).alias("_now")
     )
     revenue = (
-        itens.select("client_key", "venda_key", "produto_key", "total")
-        .join(window, ["client_key", "venda_key"])
+        items_since(itens, vendas, as_of, days_before(56)).select(*keys, "produto_key", "total")
+        .join(window, keys)
         .groupBy(*KEY)
         .agg(
             F.sum(F.when(F.col("_now"), F.col("total").cast(WIDE_MONEY))).alias("_cur"),

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import dbl, rint
-from shopgrain.functions.ordering import top_n
 from shopgrain.functions.tenancy import attach
 from shopgrain.sources.shared import materialize
 
@@ -122,12 +121,22 @@ def forecast(itens: DataFrame, horizon: int = 90, produto: str | None = None) ->
     return forecast_media_movel(few, horizon).unionByName(forecast_sazonal(enough, horizon))
 
 
-def forecast_resumo(predictions: DataFrame, days: int = 30) -> DataFrame:
-    """Totals per product from the shop's first forecast day to ``days`` later, inclusive."""
-    first = predictions.groupBy("client_key").agg(F.min("data").alias("_from"))
-    near = attach(predictions, first).filter(
-        F.col("data") <= F.date_add("_from", days)
-    )
+def forecast_resumo(
+    predictions: DataFrame, days: int = 30, per_shop: bool = False
+) -> DataFrame:
+    """Totals per product from its first forecast day to ``days`` later, inclusive.
+
+    With ``per_shop`` all windows begin at the shop's first forecast day, which
+    leaves out products whose sales end later.
+    """
+    if per_shop:
+        first = predictions.groupBy("client_key").agg(F.min("data").alias("_from"))
+        dated = attach(predictions, first)
+    else:
+        # One row per forecast day: the sums below read the same partitions.
+        own = Window.partitionBy(*KEY)
+        dated = predictions.withColumn("_from", F.min("data").over(own))
+    near = dated.filter(F.col("data") <= F.date_add("_from", days))
 
     def total(col: str) -> Column:
         return rint(F.sum(F.col(col).cast("decimal(18,2)")), 2).alias(col)
@@ -136,7 +145,3 @@ def forecast_resumo(predictions: DataFrame, days: int = 30) -> DataFrame:
         total("quantidade_prevista"), total("quantidade_min"), total("quantidade_max"),
         F.min_by("metodo", "data").alias("metodo"),
     )
-
-
-def maiores(summary: DataFrame, n: int) -> DataFrame:
-    return top_n(summary, n, F.desc("quantidade_prevista"), F.asc("produto_key"))

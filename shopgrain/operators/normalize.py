@@ -187,21 +187,23 @@ def normalize_itens(
     ])
 
 
-def normalize_produtos(raw: DataFrame, client_key: str | None = None) -> DataFrame:
-    """Products; a row without a key is dropped."""
+def normalize_produtos(
+    raw: DataFrame, client_key: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Products, and those refused for a price over the limit; a row without a key is dropped."""
     f = _pick(raw, PRODUTO)
-    return raw.filter(f["produto_key"] != "").select(
-        _shop(raw, client_key),
-        f["produto_key"].alias("produto_key"),
-        F.coalesce(_blank(f["nome"]), f["produto_key"]).alias("nome"),
-        _blank(f["categoria"]).alias("categoria"),
-        _blank(f["subcategoria"]).alias("subcategoria"),
-        _or(f["unidade"], "UN").alias("unidade"),
-        _money(f["preco_custo"]).alias("preco_custo"),
-        _money(f["preco_venda"]).alias("preco_venda"),
-        parse_bool_br(f["ativo"]).alias("ativo"),
-        F.lit("{}").alias("atributos"), *_place(raw),
+    prices = ("preco_custo", "preco_venda")
+    rows = _parsed(
+        raw.filter(f["produto_key"] != ""), client_key,
+        produto_key=f["produto_key"], nome=F.coalesce(_blank(f["nome"]), f["produto_key"]),
+        categoria=_blank(f["categoria"]), subcategoria=_blank(f["subcategoria"]),
+        unidade=_or(f["unidade"], "UN"), **{n: _money(f[n]) for n in prices},
+        ativo=parse_bool_br(f["ativo"]), atributos=F.lit("{}"),
     )
+    why = F.when(reduce(or_, [F.col(n).isNull() for n in prices]), F.lit(TOO_LARGE))
+    return _split(rows, why, [
+        "produto_key", "nome", "categoria", "subcategoria", "unidade", *prices, "ativo", "atributos",
+    ])
 
 
 def normalize_clientes(raw: DataFrame, client_key: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import dbl, div0, money_sum
 from shopgrain.functions.ordering import top_n
-from shopgrain.functions.periods import since, starting, with_starts
+from shopgrain.functions.periods import items_since, sale_keys, since, starting, with_starts
 from shopgrain.functions.tenancy import attach, for_every_shop
 from shopgrain.schema import DONE, WIDE_MONEY
 
@@ -40,20 +40,26 @@ def _name_of(names: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), index.cast("int"))
 
 
-def home_kpis(vendas: DataFrame, itens: DataFrame, as_of=None) -> DataFrame:
-    """Month-to-date revenue, ticket, count and items per sale."""
+def home_kpis(
+    vendas: DataFrame, itens: DataFrame, as_of=None, shops: DataFrame | None = None
+) -> DataFrame:
+    """Month-to-date revenue, ticket, count and items per sale.
+
+    ``shops`` lists the shops that get a row; without it the sales are asked.
+    """
     sales = _done_since(vendas, "month", "to_date", as_of)
+    keys = sale_keys(itens, vendas)
     kpis = sales.groupBy("client_key").agg(
         money_sum("total").alias("_sum"), F.count(F.lit(1)).alias("total_vendas")
     )
     pieces = (
-        itens.select("client_key", "venda_key", "quantidade")
-        .join(sales.select("client_key", "venda_key"), ["client_key", "venda_key"], "left_semi")
+        items_since(itens, vendas, as_of, starting("month", "to_date")).select(*keys, "quantidade")
+        .join(sales.select(*keys), keys, "left_semi")
         .groupBy("client_key")
         .agg(F.sum("quantidade").alias("_pieces"))
     )
     both = for_every_shop(
-        attach(kpis, pieces, how="left"), vendas, ["total_vendas"]
+        attach(kpis, pieces, how="left"), vendas if shops is None else shops, ["total_vendas"]
     )
     return both.select(
         "client_key",
@@ -65,13 +71,14 @@ def home_kpis(vendas: DataFrame, itens: DataFrame, as_of=None) -> DataFrame:
 
 
 def vendas_resumo(vendas: DataFrame) -> DataFrame:
-    """All-time totals of finished sales."""
-    sums = _done(vendas).groupBy("client_key").agg(
-        money_sum("total").alias("_sum"),
-        F.count(F.lit(1)).alias("total_vendas"),
-        money_sum("desconto").alias("_disc"),
+    """All-time totals of finished sales; a shop without any gets zeros, in the same pass."""
+    done = F.col("status") == DONE
+    sums = vendas.groupBy("client_key").agg(
+        money_sum(F.when(done, F.col("total"))).alias("_sum"),
+        F.count(F.when(done, 1)).alias("total_vendas"),
+        money_sum(F.when(done, F.col("desconto"))).alias("_disc"),
     )
-    return for_every_shop(sums, vendas, ["total_vendas"]).select(
+    return sums.select(
         "client_key",
         _zero("_sum").alias("faturamento"),
         "total_vendas",
@@ -139,11 +146,12 @@ def mix_categorias(
     as_of=None, n: int = 5,
 ) -> DataFrame:
     """Best categories by revenue."""
-    sales = _done_since(vendas, period, "rolling", as_of).select("client_key", "venda_key")
+    keys = sale_keys(itens, vendas)
+    sales = _done_since(vendas, period, "rolling", as_of).select(*keys)
     # Sum per product first: what meets the catalogue is one row per product.
     per_product = (
-        itens.select("client_key", "venda_key", "produto_key", "total")
-        .join(sales, ["client_key", "venda_key"])
+        items_since(itens, vendas, as_of, starting(period, "rolling"))
+        .select(*keys, "produto_key", "total").join(sales, keys)
         .groupBy("client_key", "produto_key")
         .agg(money_sum("total").alias("_fat"))
     )
@@ -166,8 +174,13 @@ def _change(now: Column, before: Column) -> Column:
     )
 
 
-def vendas_kpis_trend(vendas: DataFrame, period: str = "month", as_of=None) -> DataFrame:
-    """Revenue, ticket, count and discount share of two periods in one pass."""
+def vendas_kpis_trend(
+    vendas: DataFrame, period: str = "month", as_of=None, shops: DataFrame | None = None
+) -> DataFrame:
+    """Revenue, ticket, count and discount share of two periods in one pass.
+
+    ``shops`` lists the shops that get rows; without it the sales are asked.
+    """
     sales, at = with_starts(
         _done(vendas), vendas, as_of,
         now=starting(period, "current"), before=starting(period, "previous"),
@@ -187,7 +200,7 @@ def vendas_kpis_trend(vendas: DataFrame, period: str = "month", as_of=None) -> D
             )
         ]
     )
-    sums = for_every_shop(sums, vendas, [c for c in sums.columns if c != "client_key"])
+    sums = for_every_shop(sums, vendas if shops is None else shops, [c for c in sums.columns if c != "client_key"])
     fat = (F.col("fat_a"), F.col("fat_p"))
     n = (F.col("n_a"), F.col("n_p"))
     ticket = tuple(div0(f, c) for f, c in zip(fat, n))
@@ -214,16 +227,16 @@ def ranking_vendedores(
     vendas: DataFrame, itens: DataFrame, period: str = "month", as_of=None
 ) -> DataFrame:
     """Sellers by revenue with ticket, pieces per sale and discount share."""
+    keys = sale_keys(itens, vendas)
     sales = _done_since(vendas, period, "to_date", as_of).select(
-        "client_key", "venda_key", "vendedor_id", "total", "desconto"
+        *keys, "vendedor_id", "total", "desconto"
     )
     # Items of the period only; summed per sale so that the join keeps one row each.
-    keys = ["client_key", "venda_key"]
     pieces = (
-        itens.select(*keys, "quantidade").join(sales.select(*keys), keys, "left_semi")
+        items_since(itens, vendas, as_of, starting(period, "to_date")).select(*keys, "quantidade").join(sales.select(*keys), keys, "left_semi")
         .groupBy(*keys).agg(F.sum("quantidade").alias("_pieces"))
     )
-    per_seller = sales.join(pieces, ["client_key", "venda_key"], "left").groupBy(
+    per_seller = sales.join(pieces, keys, "left").groupBy(
         "client_key", "vendedor_id"
     ).agg(
         F.count(F.lit(1)).alias("vendas"),

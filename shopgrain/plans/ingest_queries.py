@@ -131,7 +131,9 @@ def sync(s: DriverShop) -> DataFrame:
 
 def saved_result(s: DriverShop, result: DataFrame) -> DataFrame:
     store = fresh_store(s)
-    store.save_result("resultado", result)
+    # The first result of a quiet algorithm is empty.
+    store.save_result("resultado", result.limit(0))
+    store.save_result("resultado", store.load_result("resultado").unionByName(result))
     # An empty result leaves what is there.
     store.save_result("resultado", result.limit(0))
     return store.load_result("resultado")
@@ -159,7 +161,22 @@ def published(s: DriverShop, home: DataFrame, page: DataFrame) -> DataFrame:
     return store.read(CACHE).select("client_key", *COLUMNS, "gerado_em", "top3")
 
 
+def separators(s: DriverShop) -> DataFrame:
+    """Exports of three entities, and the separator and header found in them."""
+    root = fresh_dir(s)
+    for name, rows, sep in (
+        ("clientes", raw_exports.raw_clientes(s), ","), ("vendas", raw_exports.raw_vendas(s), ";"),
+        ("produtos", raw_exports.raw_produtos(s), "\t"),
+    ):
+        export(rows, f"{root}/{name}", sep)
+    heads = csv_files.file_heads(s.spark, [f"{root}/{n}" for n in ("clientes", "vendas", "produtos")])
+    return heads.select(
+        F.element_at(F.split("path", "/"), -2).alias("entidade"), "sep", "header"
+    ).distinct()
+
+
 INGEST = {
+    "detect_separator": separators,
     "csv_scan": csv_roundtrip,
     "normalize_vendas": lambda s: _good(normalize.normalize_vendas(raw_exports.raw_vendas(s))[0]),
     "reject_log_vendas": lambda s: _rejects(
@@ -170,7 +187,7 @@ INGEST = {
         normalize.normalize_itens(raw_exports.raw_itens(s))[1]
     ),
     "normalize_produtos": lambda s: _good(
-        normalize.normalize_produtos(raw_exports.raw_produtos(s))
+        normalize.normalize_produtos(raw_exports.raw_produtos(s))[0]
     ),
     "normalize_clientes": lambda s: _good(
         normalize.normalize_clientes(raw_exports.raw_clientes(s))

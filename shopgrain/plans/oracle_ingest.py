@@ -22,6 +22,12 @@ PIECES.update({
 })
 
 SQL = {
+    "detect_separator": """
+        SELECT 'clientes' AS entidade, ',' AS sep, 'codigo,razao_social,perfil,active' AS header
+        UNION ALL SELECT 'vendas', ';',
+            'numero;dt_venda;id_cliente;vendedor;codigo_vendedor;valor_total;situacao'
+        UNION ALL SELECT 'produtos', chr(9),
+            array_to_string(['codigo', 'descricao', 'grupo', 'unidade', 'preco', 'situacao'], chr(9))""",
     "csv_scan": sql(f"""
         SELECT CASE WHEN {NO_ID} THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS numero,
                CASE WHEN {NO_DATE} THEN 'sem data' ELSE CASE o_orderkey % 4

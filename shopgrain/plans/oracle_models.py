@@ -82,12 +82,17 @@ def forecast_ctes(key: str, prefix: str) -> str:
                  {r('greatest(v - s * 1.96::DOUBLE, 0)', 2)} AS quantidade_min, {r('v + s * 1.96::DOUBLE', 2)} AS quantidade_max,
                  'sazonal' AS metodo FROM {p}y),
         {p}fc AS (SELECT * FROM {p}f1 UNION ALL SELECT * FROM {p}f2),
-        {p}res AS (SELECT 'loja' AS client_key, produto_key,
+        {p}ini AS (SELECT *, min(data) OVER (PARTITION BY produto_key) AS ini, min(data) OVER () AS ini_loja FROM {p}fc),
+        {_summary(p, "res", "ini")}, {_summary(p, "res_loja", "ini_loja")}"""
+
+
+def _summary(p: str, name: str, start: str) -> str:
+    return f"""{p}{name} AS (SELECT 'loja' AS client_key, produto_key,
                  {r('CAST(sum(CAST(quantidade_prevista AS DECIMAL(18,2))) AS DOUBLE)', 2)} AS quantidade_prevista,
                  {r('CAST(sum(CAST(quantidade_min AS DECIMAL(18,2))) AS DOUBLE)', 2)} AS quantidade_min,
                  {r('CAST(sum(CAST(quantidade_max AS DECIMAL(18,2))) AS DOUBLE)', 2)} AS quantidade_max,
                  min(metodo) AS metodo
-                 FROM {p}fc WHERE data <= (SELECT min(data) FROM {p}fc) + 30 GROUP BY 2)"""
+                 FROM {p}ini WHERE data <= {start} + 30 GROUP BY 2)"""
 
 
 FC = forecast_ctes("i.produto_key", "p")
@@ -98,13 +103,9 @@ PIECES.update({
         SELECT venda_key, data_venda, vendedor_id, CAST(total AS DOUBLE) AS total, CAST(desconto AS DOUBLE) AS desconto,
                coalesce(CAST(desconto AS DOUBLE) / nullif(CAST(total AS DOUBLE), 0), 0) * 100.0::DOUBLE AS pct_desconto
         FROM vendas_desc WHERE status = 'concluida'""",
-    "desc_mom": """
-        SELECT s / n AS media, sqrt((ss - s * s / n) / (n - 1.0::DOUBLE)) AS desvio FROM (
-            SELECT count(*)::DOUBLE AS n, CAST(sum(CAST(pct_desconto AS DECIMAL(18,10))) AS DOUBLE) AS s,
-                   CAST(sum(CAST(CAST(pct_desconto AS DECIMAL(18,10)) * CAST(pct_desconto AS DECIMAL(18,10))
-                        AS DECIMAL(28,10))) AS DOUBLE) AS ss FROM desc_pct)""",
-    "desc_an": """
-        SELECT 'loja' AS client_key, d.*, (pct_desconto - media) / desvio AS z_score
+    "desc_mom": "SELECT avg(pct_desconto) AS media, stddev_samp(pct_desconto) AS desvio FROM desc_pct",
+    "desc_an": f"""
+        SELECT 'loja' AS client_key, d.*, {r('(pct_desconto - media) / desvio', 9)} AS z_score
         FROM desc_pct d, desc_mom WHERE (pct_desconto - media) / desvio > 2""",
     "vend_an": f"""
         WITH v AS (SELECT vendedor_id, count(*) AS total_vendas,
@@ -140,6 +141,7 @@ SQL = {
     "forecast": sql(f"WITH {FC} SELECT * FROM pfc"),
     "forecast_categoria": sql(f"WITH {FC_CAT} SELECT * FROM cfc"),
     "forecast_resumo": sql(f"WITH {FC} SELECT * FROM pres"),
+    "forecast_resumo_loja": sql(f"WITH {FC} SELECT * FROM pres_loja"),
     "forecast_resumo_categoria": sql(f"WITH {FC_CAT} SELECT * FROM cres"),
     "sugestao_reposicao": sql(f"""
         WITH {FC}

@@ -12,6 +12,12 @@ def _start(kind: str, period: str, d: str) -> str:
         ("rolling", "week"): f"{eod} - INTERVAL 7 DAY",
         ("rolling", "month"): f"{month} - INTERVAL 1 MONTH + ({eod} - {month})",
         ("rolling", "year"): f"{month} - INTERVAL 1 YEAR + ({eod} - {month})",
+        ("double", "week"): f"{eod} - INTERVAL 14 DAY",
+        ("double", "month"): f"{month} - INTERVAL 2 MONTH + ({eod} - {month})",
+        ("double", "year"): f"{month} - INTERVAL 2 YEAR + ({eod} - {month})",
+        ("calendar", "week"): f"date_trunc('week', {d})",
+        ("calendar", "month"): month,
+        ("calendar", "year"): year,
         ("to_date", "week"): f"{eod} - INTERVAL 7 DAY",
         ("to_date", "month"): month,
         ("to_date", "year"): year,
@@ -180,7 +186,7 @@ SQL = {
     "period_starts": sql("SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT 'loja' AS client_key, '{p}' AS periodo, '{k}' AS tipo, "
         f"CAST({_start(k, p, '(SELECT d FROM hoje)')} AS TIMESTAMP) AS inicio"
-        for k in ("rolling", "to_date", "current", "previous", "compare", "trend")
+        for k in ("rolling", "double", "to_date", "calendar", "current", "previous", "compare", "trend")
         for p in ("week", "month", "year")
     ) + ")"),
     "comparativo_week": _comparativo("week"),

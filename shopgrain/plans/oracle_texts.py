@@ -137,6 +137,22 @@ SQL = {
     "ler_insights": sql(f"""
         {_VENDAS} SELECT client_key, tipo, prioridade, titulo, mensagem, acao, href, categoria, icone,
             '2024-01-01 00:00:00' AS gerado_em FROM ins ORDER BY prioridade, tipo LIMIT 3"""),
+    "ler_insights_home": sql(f"""
+        {_HOME} SELECT client_key, tipo, prioridade, titulo, mensagem, acao, href, categoria, icone,
+            '2024-01-01 00:00:00' AS gerado_em FROM ins ORDER BY prioridade, tipo LIMIT 10"""),
+    "filtro_cascata": sql(f"""
+        WITH {RULES}, pk AS (SELECT categoria, min(produto_key) AS k FROM produtos GROUP BY 1),
+        esc AS (SELECT id FROM rank_prod WHERE categoria = 'Brand#7'),
+        rp AS (SELECT a.k AS an, c.k AS co, lift FROM regra JOIN pk a ON a.categoria = antecedents
+               JOIN pk c ON c.categoria = consequents)
+        SELECT 'loja' AS client_key, 'ranking' AS bloco, id AS item, '' AS par, faturamento AS valor
+        FROM rank_prod WHERE id IN (SELECT id FROM esc)
+        UNION ALL SELECT 'loja', 'elasticidade', produto_key, '', elasticidade FROM el_res
+        WHERE produto_key IN (SELECT id FROM esc)
+        UNION ALL SELECT 'loja', 'basket', an, co, lift FROM rp
+        WHERE an IN (SELECT id FROM esc) OR co IN (SELECT id FROM esc)
+        UNION ALL SELECT 'loja', 'dead_stock', produto_key, '', CAST(capital AS DOUBLE) FROM parado
+        WHERE produto_key IN (SELECT id FROM esc)"""),
     "relatorio_semanal": sql(f"""
         WITH k AS (SELECT CAST(sum(total) AS DOUBLE) AS f, count(*) AS n, CAST(sum(desconto) AS DOUBLE) AS d
                    FROM vendas_desc WHERE status = 'concluida')

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,9 @@ def on_shop(build: Callable[[DriverShop], DataFrame]) -> Query:
 
 
 def _starts(shop: DriverShop) -> DataFrame:
-    kinds = ("rolling", "to_date", "current", "previous", "compare", "trend")
+    kinds = (
+        "rolling", "double", "to_date", "calendar", "current", "previous", "compare", "trend",
+    )
     last = shop.vendas.groupBy("client_key").agg(F.max("data_venda").alias("_last"))
     end = periods.end_of_day(F.col("_last"))
     cells = F.array(*[
@@ -262,6 +264,7 @@ MODELS = {
     "forecast": _forecast,
     "forecast_categoria": lambda s: forecast.forecast(_by_category(s)),
     "forecast_resumo": _summary,
+    "forecast_resumo_loja": lambda s: forecast.forecast_resumo(_forecast(s), per_shop=True),
     "forecast_resumo_categoria": lambda s: forecast.forecast_resumo(
         forecast.forecast(_by_category(s))
     ),
@@ -323,6 +326,37 @@ def _sales_page(s: DriverShop, history: bool) -> DataFrame:
     )
 
 
+def _cascade(s: DriverShop) -> DataFrame:
+    """The four blocks of the page for one category, in long form.
+
+    Rules are over categories here; each category stands for its first product.
+    """
+    firsts = s.produtos.groupBy("client_key", "categoria").agg(
+        F.min("produto_key").alias("_first")
+    )
+
+    def by_product(rules: DataFrame, side: str) -> DataFrame:
+        names = firsts.withColumnRenamed("categoria", side)
+        return rules.join(names, ["client_key", side]).withColumn(side, F.col("_first")).drop("_first")
+
+    rules = by_product(by_product(_rules(s), "antecedents"), "consequents")
+    blocks = catalog.filtro_cascata(_ranking(s), _elast(s), rules, _idle(s), categoria="Brand#7")
+
+    def lines(name: str, item: str, other: Column, value: str) -> DataFrame:
+        return blocks[name].select(
+            "client_key", F.lit(name).alias("bloco"), F.col(item).alias("item"),
+            other.alias("par"), F.col(value).cast("double").alias("valor"),
+        )
+
+    none = F.lit("")
+    return (
+        lines("ranking", "id", none, "faturamento")
+        .unionByName(lines("elasticidade", "produto_key", none, "elasticidade"))
+        .unionByName(lines("basket", "antecedents", F.col("consequents"), "lift"))
+        .unionByName(lines("dead_stock", "produto_key", none, "capital_parado"))
+    )
+
+
 TEXTS = {
     "ins_estoque_critico": lambda s: insights.ins_estoque_critico(
         _summary(s), _abc(s)
@@ -348,6 +382,10 @@ TEXTS = {
             "gerado_em", F.lit("2024-01-01").cast("timestamp_ntz")
         ), "vendas",
     ),
+    "ler_insights_home": lambda s: insights.ler_insights(
+        _home(s, False).withColumn("gerado_em", F.lit("2024-01-01").cast("timestamp_ntz"))
+    ),
+    "filtro_cascata": _cascade,
     "relatorio_semanal": lambda s: report.relatorio_semanal(
         _resumo(s), _abc(s), _rfm(s),
         catalog.estoque_alertas(s.estoque, s.produtos),

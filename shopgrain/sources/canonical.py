@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopgrain.functions.periods import sale_keys
 from shopgrain.schema import DONE
 
 
-def read_vendas(vendas: DataFrame) -> DataFrame:
-    """Finished sales by date."""
-    return (
+def read_vendas(vendas: DataFrame, ordered: bool = True) -> DataFrame:
+    """Finished sales, by date unless the reader needs no order."""
+    rows = (
         vendas.filter(F.col("status") == DONE)
         .select(
             "client_key", "venda_key", "data_venda", "cliente_key", "vendedor_id", "total",
             "desconto", "status",
         )
-        .orderBy("client_key", "data_venda")
     )
+    return rows.orderBy("client_key", "data_venda") if ordered else rows
 
 
 def read_itens_venda(itens: DataFrame, vendas: DataFrame) -> DataFrame:
@@ -25,13 +26,11 @@ def read_itens_venda(itens: DataFrame, vendas: DataFrame) -> DataFrame:
 
     Tables bucketed on (client_key, venda_key) join here without a shuffle.
     """
-    done = vendas.filter(F.col("status") == DONE).select(
-        "client_key", "venda_key", "data_venda", "cliente_key"
-    )
+    keys = sale_keys(itens, vendas)
+    done = vendas.filter(F.col("status") == DONE).select(*keys, "data_venda", "cliente_key")
     return itens.select(
-        "client_key", "venda_key", "produto_key", "quantidade", "total", "preco_unitario",
-        "desconto",
-    ).join(done, ["client_key", "venda_key"])
+        *keys, "produto_key", "quantidade", "total", "preco_unitario", "desconto",
+    ).join(done, keys).drop("mes")
 
 
 def read_clientes_ativos(clientes: DataFrame) -> DataFrame:

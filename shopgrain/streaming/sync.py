@@ -92,12 +92,14 @@ class SyncBatch:
         def joined(parts: list[DataFrame]) -> DataFrame:
             return reduce(DataFrame.unionByName, parts)
 
-        if entity in ("vendas", "itens_venda"):
-            fn = normalize.normalize_vendas if entity == "vendas" else normalize.normalize_itens
-            pairs = [fn(f) for f in frames]
-            return joined([g for g, _ in pairs]), joined([b for _, b in pairs])
-        fn = normalize.normalize_produtos if entity == "produtos" else normalize.normalize_clientes
-        return joined([fn(f) for f in frames]), None
+        if entity == "clientes":
+            return joined([normalize.normalize_clientes(f) for f in frames]), None
+        fn = {
+            "vendas": normalize.normalize_vendas, "itens_venda": normalize.normalize_itens,
+            "produtos": normalize.normalize_produtos,
+        }[entity]
+        pairs = [fn(f) for f in frames]
+        return joined([g for g, _ in pairs]), joined([b for _, b in pairs])
 
     def _merge(
         self, entity: str, rows: DataFrame, batch: str, now: datetime

@@ -176,8 +176,28 @@ def test_forecast_summary_covers_31_days_from_the_first(spark):
     days += [("a", "late", date(2024, 3, 1), 9.0, 9.0, 9.0, "m")]
     df = spark.createDataFrame(days, "client_key string, produto_key string, data date, quantidade_prevista double, "
                                      "quantidade_min double, quantidade_max double, metodo string")
-    got = rows(forecast.forecast_resumo(df), "produto_key", "quantidade_prevista", "quantidade_min", "quantidade_max")
-    assert got == [("p", 31.0, 15.5, 62.0)]
+    cols = ("produto_key", "quantidade_prevista", "quantidade_min", "quantidade_max")
+    assert rows(forecast.forecast_resumo(df), *cols) == [("late", 9.0, 9.0, 9.0), ("p", 31.0, 15.5, 62.0)]
+    assert rows(forecast.forecast_resumo(df, per_shop=True), *cols) == [("p", 31.0, 15.5, 62.0)]
+
+
+def test_one_cent_sale_with_a_huge_discount_stops_nothing(make):
+    v = make.vendas(
+        [("a", str(k), "2024-01-01 10:00:00", "c", "v1", 100, 5) for k in range(30)]
+        + [("a", "cent", "2024-01-01 10:00:00", "c", "v1", "0.01", 20000)]
+    )
+    got = anomaly.anomalias_desconto(v).collect()
+    assert [r.venda_key for r in got] == ["cent"] and got[0].pct_desconto == 2e8
+
+
+def test_default_thresholds_find_planted_rules(make):
+    """40 of 100 baskets hold a and b together; the rest hold one article of many."""
+    items = [("s", str(k), p, 1, 10, 0, 10) for k in range(40) for p in ("a", "b")]
+    items += [("s", str(k), f"x{k % 30}", 1, 10, 0, 10) for k in range(40, 100)]
+    found = basket.regras(basket.itemsets(make.itens(items))).collect()
+    assert sorted((r.antecedents, r.consequents, r.support, r.confidence, r.lift) for r in found) == [
+        ("a", "b", 40.0, 100.0, 2.5), ("b", "a", 40.0, 100.0, 2.5),
+    ]
 
 
 def test_odd_discounts(make):

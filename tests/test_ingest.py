@@ -60,7 +60,7 @@ def test_normalize_itens_fills_total(spark):
 def test_normalize_produtos_and_clientes_drop_rows_without_key(spark):
     p = normalize.normalize_produtos(raw(spark, ["codigo", "nome", "custo", "ativo"], [
         ("p1", "", "1,25", "SIM"), ("", "x", "1", "sim"), ("p2", "Dois", "", "0"),
-    ]), "a")
+    ]), "a")[0]
     assert sorted((r.produto_key, r.nome, float(r.preco_custo), r.ativo, r.unidade) for r in p.collect()) == [
         ("p1", "p1", 1.25, True, "UN"), ("p2", "Dois", 0.0, False, "UN"),
     ]

@@ -130,3 +130,38 @@ def test_dead_stock_and_cascade(spark, make):
     assert rows(parts["basket"], "antecedents") == [("p1",), ("p2",)]
     only = catalog.filtro_cascata(ranking, p, rules, idle, produto="p3")
     assert rows(only["basket"], "antecedents") == [("p4",)] and rows(only["elasticidade"], "produto_key") == [("p3",)]
+
+
+def test_items_are_pruned_by_month(spark, make, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from shopgrain.operators import catalog
+    from shopgrain.sources.tables import TableStore
+
+    v = make.vendas([
+        (shop, f"{m}", f"2024-{m:02d}-15 10:00:00", "c", "v", 10 * m, 0) for shop in ("a", "b") for m in range(1, 13)
+    ])
+    i = make.itens([(shop, f"{m}", "p", m, 10, 0, 10 * m, f"2024-{m:02d}-15 10:00:00") for shop in ("a", "b") for m in range(1, 13)])
+    store = TableStore(spark, str(tmp_path / "t"))
+    for name, df in (("vendas", v), ("itens_venda", i)):
+        store.save_result(name, df.withColumn("mes", F.trunc("data_venda", "month")), ["client_key", "mes"])
+    sales_table, items = store.read("vendas"), store.read("itens_venda").drop("data_venda")
+    p = make.produtos([(s, "p", "P", "Cat", 3, 12) for s in ("a", "b")])
+    stock = p.select("client_key", "produto_key", F.lit(5).alias("quantidade"))
+    at = datetime(2024, 12, 20)
+    for df in (
+        sales.home_kpis(sales_table, items, at, shops=p), sales.mix_categorias(items, sales_table, p, "month", at),
+        sales.ranking_vendedores(sales_table, items, "month", at), catalog.dead_stock(stock, p, items, sales_table, at),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Scans with articles or quantities are those of the items; stock and catalogue are no files here.
+        scans = [x for x in plan.splitlines() if "FileScan" in x and ("quantidade#" in x or "produto_key#" in x)]
+        assert scans and all("mes#" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
+    got = {r.client_key: (r.faturamento, r.itens_por_venda) for r in sales.home_kpis(sales_table, items, at).collect()}
+    assert got == {"a": (120.0, 12.0), "b": (120.0, 12.0)}
+    assert [r.faturamento for r in sales.mix_categorias(items, sales_table, p, "month", datetime(2024, 12, 10)).collect()] == [230.0, 230.0]
+    # Known shops: the sales are scanned once for the answer.
+    plan = sales.vendas_kpis_trend(sales_table.drop("mes"), "month", at, shops=p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
