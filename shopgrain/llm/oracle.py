@@ -1,5 +1,7 @@
 """SQL that gives the same rows as the registered queries."""
 
+from shopgrain.llm import quality_rules as q
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op10_exact_dedup"] = r"""
@@ -40,3 +42,92 @@ SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
+
+
+def _weak_supervision() -> str:
+    """The signals, the votes, and the steps of the estimation one after the other."""
+    rules = list(q.RULES)
+    first = q.RuleModel()
+    share = {
+        "symbols": "n_symbols / nullif(n_words, 0)", "word_length": "word_chars / nullif(n_words, 0)",
+        "line_copies": "n_dup_lines / nullif(n_lines, 0)", "window_copies": "n_repeat_words / nullif(n_words, 0)",
+        "capitals": "n_capitals / nullif(word_chars, 0)",
+        "line_ends": "CASE WHEN n_lines > 1 THEN n_ended / n_lines END",
+        "stop_words": "n_stops / nullif(n_words, 0)", "variety": "n_distinct / nullif(sqrt(n_words), 0)",
+    }
+    bounds = {
+        "symbols": ("< 0.02", "> 0.1"), "word_length": ("BETWEEN 4 AND 7", "NOT BETWEEN 3 AND 9"),
+        "line_copies": ("< 0.1", "> 0.4"), "window_copies": ("< 0.05", "> 0.3"), "capitals": ("< 0.15", "> 0.3"),
+        "line_ends": (">= 0.8", "< 0.3"), "stop_words": (">= 0.06", "< 0.02"), "variety": (">= 3", "< 2"),
+    }
+    votes = ", ".join(
+        f"CASE WHEN x_{k} {bounds[k][1]} THEN -1 WHEN x_{k} {bounds[k][0]} THEN 1 ELSE 0 END AS {k}" for k in rules
+    )
+    odds = "ln(good) - ln(1 - good)" + "".join(
+        f" + CASE {k} WHEN 1 THEN ln(g_{k} / (1 - b_{k})) WHEN -1 THEN ln((1 - g_{k}) / b_{k}) ELSE 0 END" for k in rules
+    )
+    post = f"1 / (1 + exp(-({odds})))"
+
+    def belief(right: str, of: str, guess: float, least: float, name: str) -> str:
+        return (f"least({q.MOST}::DOUBLE, greatest({least}::DOUBLE, (coalesce({right}, 0) + {q.FIRST_GUESS * guess}::DOUBLE)"
+                f" / (coalesce({of}, 0) + {q.FIRST_GUESS}::DOUBLE))) AS {name}")
+
+    def total(of: str, when: str) -> str:
+        return f"sum(CASE WHEN {when} THEN {of} ELSE 0 END)"
+
+    step = ", ".join(
+        [belief("sum(p)", "sum(n)", first.good, q.LEAST, "good")]
+        + [belief(total("p", f"{k} = 1"), total("p", f"{k} <> 0"), first.right_good[k], 0.5, f"g_{k}") for k in rules]
+        + [belief(total("n - p", f"{k} = -1"), total("n - p", f"{k} <> 0"), first.right_bad[k], q.LEAST, f"b_{k}")
+           for k in rules]
+    )
+    start = ", ".join(
+        [f"{first.good}::DOUBLE AS good"] + [f"{first.right_good[k]}::DOUBLE AS g_{k}" for k in rules]
+        + [f"{first.right_bad[k]}::DOUBLE AS b_{k}" for k in rules]
+    )
+    steps = f"m0 AS (SELECT {start})" + "".join(
+        f", m{i} AS MATERIALIZED (SELECT {step} FROM (SELECT t.*, n * ({post}) AS p FROM patterns t, m{i - 1}))"
+        for i in range(1, q.STEPS + 1)
+    )
+    stops = ", ".join(f"'{w}'" for w in q.STOP_WORDS)
+    return rf"""
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+    FROM documents
+), grams AS (
+    SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g
+    FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)
+), again AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM grams) WHERE k > 1
+), covered AS (
+    SELECT r, sum(least(8, coalesce(next - i, 8))) AS n
+    FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM again) GROUP BY r
+), s AS MATERIALIZED (
+    SELECT d.doc_id, d.r, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+           (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+           len(l)::DOUBLE AS n_lines,
+           len([x FOR x IN l IF regexp_matches(x, '[.!?:;"”»…][\x20\x09-\x0D]*$')])::DOUBLE AS n_ended,
+           len(regexp_extract_all(t, '\p{{Lu}}'))::DOUBLE AS n_capitals,
+           len([x FOR x IN w IF x IN ({stops})])::DOUBLE AS n_stops, len(list_distinct(w))::DOUBLE AS n_distinct
+    FROM d LEFT JOIN covered c ON d.r = c.r
+), x AS (
+    SELECT *, {", ".join(f"({v}) AS x_{k}" for k, v in share.items())} FROM s
+), v AS MATERIALIZED (
+    SELECT *, {votes} FROM x
+), patterns AS MATERIALIZED (
+    SELECT {", ".join(rules)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL
+), {steps}, judged AS (
+    SELECT v.*, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED_PERCENT} * n_words AS base_failed,
+           {post} AS posterior
+    FROM v, m{q.STEPS}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND posterior >= 0.5 AS kept
+FROM judged
+"""
+
+
+ORACLE["op5_quality_rules"] = _weak_supervision()

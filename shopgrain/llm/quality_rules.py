@@ -73,6 +73,9 @@ def repeated_words(words: Column) -> Column:
 
 #: Signals that are reported, and those that only the rules use.
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RULES = (
+    "symbols", "word_length", "line_copies", "window_copies", "capitals", "line_ends", "stop_words", "variety",
+)
 EXTRA = ("n_lines", "n_ended_lines", "n_capitals", "n_stop_words", "n_distinct_words")
 
 
@@ -105,7 +108,7 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def votes(prefix: str = "") -> dict[str, Column]:
-    """Each rule's vote from the signals."""
+    """Each rule's vote from the signals, in the order of RULES."""
     c = {k: F.col(f"{prefix}{k}").cast("double") for k in (*BASE, *EXTRA)}
 
     def vote(value: Column, good: Column, bad: Column) -> Column:
@@ -140,8 +143,8 @@ class RuleModel:
     #: Share of good documents.
     good: float = 0.85
     #: How often a rule that votes is right on good documents, and on bad ones.
-    right_good: dict[str, float] = field(default_factory=lambda: dict.fromkeys(votes(), 0.95))
-    right_bad: dict[str, float] = field(default_factory=lambda: dict.fromkeys(votes(), 0.4))
+    right_good: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.95))
+    right_bad: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.4))
 
     def posterior(self, voted: dict[str, Column]) -> Column:
         """Probability that a document with these votes is good."""
@@ -154,15 +157,16 @@ class RuleModel:
 
 #: The smallest and largest belief, and how many documents' worth the first guess counts.
 LEAST, MOST, FIRST_GUESS = 0.02, 0.9995, 10.0
+STEPS = 15
 
 
-def fit(voted: DataFrame, steps: int = 25, until: float = 1e-4) -> RuleModel:
+def fit(voted: DataFrame, steps: int = STEPS) -> RuleModel:
     """Estimate the rules' accuracies from a frame of votes, all documents counted.
 
     A rule is held to be right on good documents more often than not, which
     keeps good and bad from changing places.
     """
-    rules = list(votes())
+    rules = list(RULES)
     patterns = materialize(voted.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")))
     first = model = RuleModel()
     for _ in range(steps):
@@ -184,18 +188,11 @@ def fit(voted: DataFrame, steps: int = 25, until: float = 1e-4) -> RuleModel:
         def belief(right: float, of: float, guess: float, least: float) -> float:
             return min(MOST, max(least, (right + FIRST_GUESS * guess) / (of + FIRST_GUESS)))
 
-        new = RuleModel(
+        model = RuleModel(
             belief(sums["good"], sums["n"], first.good, LEAST),
             {k: belief(sums[f"gr_{k}"], sums[f"gv_{k}"], first.right_good[k], 0.5) for k in rules},
             {k: belief(sums[f"br_{k}"], sums[f"bv_{k}"], first.right_bad[k], LEAST) for k in rules},
         )
-        moved = max(abs(a - b) for a, b in zip(
-            [new.good, *new.right_good.values(), *new.right_bad.values()],
-            [model.good, *model.right_good.values(), *model.right_bad.values()], strict=True,
-        ))
-        model = new
-        if moved < until:
-            break
     return model
 
 

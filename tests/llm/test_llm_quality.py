@@ -83,7 +83,7 @@ def test_estimation_matches_plain_python(spark):
             {k: belief(sums["gr", k], sums["gv", k], 0.95, 0.5) for k in rules},
             {k: belief(sums["br", k], sums["bv", k], 0.4, op.LEAST) for k in rules},
         )
-    got = op.fit(voted, steps=4, until=0.0)
+    got = op.fit(voted, steps=4)
     assert abs(got.good - model.good) < 1e-9
     assert all(abs(got.right_bad[k] - model.right_bad[k]) < 1e-9 for k in rules)
 
