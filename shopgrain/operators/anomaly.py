@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -19,6 +20,12 @@ FEATURES = ["_total", "_desconto", "hora", "_dia"]
 SAMPLE = 256
 EULER = 0.5772156649015329
 ROWS_PER_BATCH = 200_000
+#: A prime; a sale's draw for a tree is a linear function of its hash modulo this.
+PRIME = 2_147_483_647
+
+
+def _hashed(text: str, digits: int) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
 
 
 def _done(vendas: DataFrame) -> DataFrame:
@@ -48,12 +55,16 @@ def _path_tail(m: int) -> float:
     return 2.0 * (math.log(m - 1) + EULER) - 2.0 * (m - 1) / m
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
-    """One isolation tree as flat arrays: feature (-1 leaf), cut, children, depth."""
+def _grow(x: np.ndarray, seed: int, tree: int, limit: int):
+    """One isolation tree as flat arrays: feature (-1 leaf), cut, children, depth.
+
+    Feature and cut follow from digests of seed, tree and the node's place
+    (children of place i are 2i and 2i + 1), so any engine grows the same tree.
+    """
     feature, cut, left, right, depth = [], [], [], [], []
-    todo = [(np.arange(len(x)), 0, -1, False)]
+    todo = [(np.arange(len(x)), 0, -1, False, 1)]
     while todo:
-        rows, level, parent, is_right = todo.pop()
+        rows, level, parent, is_right, place = todo.pop()
         node = len(feature)
         if parent >= 0:
             (right if is_right else left)[parent] = node
@@ -67,14 +78,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
             cut.append(0.0)
             depth.append(level + _path_tail(len(rows)))
             continue
-        f = int(rng.choice(usable))
-        at = float(rng.uniform(lo[f], hi[f]))
+        f = int(usable[_hashed(f"{seed}:{tree}:{place}:f", 8) % len(usable)])
+        at = float(lo[f] + _hashed(f"{seed}:{tree}:{place}:c", 13) / float(1 << 52) * (hi[f] - lo[f]))
         feature.append(f)
         cut.append(at)
         depth.append(0.0)
         goes_left = part[:, f] <= at
-        todo.append((rows[~goes_left], level + 1, node, True))
-        todo.append((rows[goes_left], level + 1, node, False))
+        todo.append((rows[~goes_left], level + 1, node, True, 2 * place + 1))
+        todo.append((rows[goes_left], level + 1, node, False, 2 * place))
     return feature, cut, left, right, depth
 
 
@@ -85,11 +96,10 @@ def _trees(samples: DataFrame, seed: int) -> DataFrame:
     )
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_h")
         tree = int(pdf["_tree"].iloc[0])
         limit = max(1, math.ceil(math.log2(len(pdf))))
         x = pdf[FEATURES].to_numpy(dtype=float)
-        arrays = _grow(x, np.random.default_rng([seed, tree]), limit)
+        arrays = _grow(x, seed, tree, limit)
         return pd.DataFrame([[pdf["client_key"].iloc[0], tree, len(pdf), *arrays]], columns=[
             "client_key", "_tree", "_psi", "_feature", "_cut", "_left", "_right", "_depth",
         ])
@@ -105,15 +115,19 @@ def _samples(rows: DataFrame, sizes: DataFrame, trees: int, seed: int) -> DataFr
     A row enters a tree's candidates with a chance of about 4 x SAMPLE / n, so
     what is ranked stays near 4 x SAMPLE rows per tree however large the shop.
     """
-    def drawn(tree: Column) -> Column:
-        return F.xxhash64(F.col("venda_key"), tree, F.lit(seed))
-
+    key = F.concat(F.lit(f"{seed}:"), F.col("venda_key"))
+    digest = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % PRIME
+    draws = F.array(*[
+        F.struct(F.lit(t).alias("_tree"), (
+            (F.col("_d") * (1 + _hashed(f"{seed}:{t}:a", 8) % (PRIME - 1)) + _hashed(f"{seed}:{t}:b", 8) % PRIME) % PRIME
+        ).alias("_h"))
+        for t in range(trees)
+    ])
     # Only the trees that a sale is a candidate of become rows, a handful in a large shop.
-    every = F.sequence(F.lit(0), F.lit(trees - 1))
-    mine = F.filter(every, lambda t: F.pmod(drawn(t), F.col("_n")) < 4 * SAMPLE)
-    near = attach(rows, sizes).select(
-        "client_key", *FEATURES, "venda_key", "_n", F.explode(mine).alias("_tree"),
-    ).withColumn("_h", drawn(F.col("_tree")))
+    below = F.lit(4.0 * SAMPLE * PRIME) / F.col("_n")
+    near = attach(rows, sizes).withColumn("_d", digest).select(
+        "client_key", *FEATURES, "venda_key", "_n", F.inline(F.filter(draws, lambda d: d["_h"] < below)),
+    )
     w = Window.partitionBy("client_key", "_tree").orderBy("_h", "venda_key")
     return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= SAMPLE).drop(
         "_rn", "_n"
@@ -138,7 +152,8 @@ def _score(left: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         total += depth[node]
     psi = int(forest["_psi"].max()) if len(forest) else 1
     tail = _path_tail(psi) or 1.0
-    score = -np.power(2.0, -(total / max(len(forest), 1)) / tail)
+    # Nine places do not depend on the order of the sum.
+    score = np.round(-np.power(2.0, -(total / max(len(forest), 1)) / tail), 9)
     return left.assign(anomalia_score=score).drop(columns=["_salt"])
 
 

@@ -98,6 +98,63 @@ def _summary(p: str, name: str, start: str) -> str:
 FC = forecast_ctes("i.produto_key", "p")
 FC_CAT = forecast_ctes("p.categoria", "c")
 
+def _md5(text: str, digits: int) -> str:
+    return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
+
+
+def _tail(m: str) -> str:
+    return (f"CASE WHEN {m} <= 1 THEN 0.0 WHEN {m} = 2 THEN 1.0 "
+            f"ELSE 2.0::DOUBLE * (ln({m} - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({m} - 1) / {m} END")
+
+
+def _forest(sales: str, trees: int = 100, sample: int = 256, seed: int = 42, levels: int = 8) -> str:
+    """Isolation forest: samples, one split of every node per level, then every sale's way down."""
+    f = ("a", "b", "c", "d")
+    prime = 2_147_483_647
+    pick = "CASE f " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(f)) + " END"
+    out = f"""
+        fx AS (SELECT venda_key, data_venda, coalesce(total::DOUBLE, 0) AS a, coalesce(desconto::DOUBLE, 0) AS b,
+               hour(data_venda)::DOUBLE AS c, (isodow(data_venda) - 1)::DOUBLE AS d,
+               {_md5(f"'{seed}:' || venda_key", 8)} % {prime} AS h FROM {sales} WHERE status = 'concluida'),
+        ft AS (SELECT i AS tree, 1 + {_md5(f"'{seed}:' || i || ':a'", 8)} % {prime - 1} AS ma,
+               {_md5(f"'{seed}:' || i || ':b'", 8)} % {prime} AS mb FROM range({trees}) t(i)),
+        fn AS (SELECT least(count(*), {sample}) AS psi FROM fx),
+        r0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, a, b, c, d FROM fx, ft
+            QUALIFY row_number() OVER (PARTITION BY tree ORDER BY (h * ma + mb) % {prime}, venda_key) <= {sample})"""
+    for k in range(levels + 1):
+        lo, hi = (", ".join(f"{g}({x})" for x in f) for g in ("min", "max"))
+        out += f""",
+        g{k} AS MATERIALIZED (SELECT tree, node, count(*) AS m, [{lo}] AS lo, [{hi}] AS hi FROM r{k} GROUP BY 1, 2),
+        u{k} AS (SELECT *, CASE WHEN {k} < (SELECT greatest(1, ceil(log2(psi))) FROM fn)
+                 THEN [i FOR i IN [0, 1, 2, 3] IF hi[i + 1] > lo[i + 1]] ELSE [] END AS ok FROM g{k}),
+        s{k} AS MATERIALIZED (SELECT tree, node, f, lo[f + 1] + u * (hi[f + 1] - lo[f + 1]) AS cut FROM (
+            SELECT *, ok[1 + {_md5(f"'{seed}:' || tree || ':' || node || ':f'", 8)} % len(ok)]::INT AS f,
+                   {_md5(f"'{seed}:' || tree || ':' || node || ':c'", 13)}::DOUBLE / 4503599627370496.0::DOUBLE AS u
+            FROM u{k} WHERE len(ok) > 0)),
+        e{k} AS (SELECT tree, node, {k} + {_tail('m')} AS depth FROM u{k} WHERE len(ok) = 0)"""
+        if k < levels:
+            out += f""",
+        r{k + 1} AS MATERIALIZED (SELECT tree, 2 * node + CASE WHEN {pick} <= cut THEN 0 ELSE 1 END AS node, a, b, c, d
+            FROM r{k} JOIN s{k} USING (tree, node))"""
+    out += """,
+        w0 AS (SELECT venda_key, tree, 1::BIGINT AS node, a, b, c, d FROM fx, ft)"""
+    for k in range(levels):
+        out += f""",
+        w{k + 1} AS MATERIALIZED (SELECT venda_key, tree, a, b, c, d,
+            CASE WHEN cut IS NULL THEN node WHEN {pick} <= cut THEN 2 * node ELSE 2 * node + 1 END AS node
+            FROM w{k} LEFT JOIN s{k} USING (tree, node))"""
+    ends = " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(levels + 1))
+    return out + f""",
+        fe AS ({ends}),
+        fs AS (SELECT venda_key, round(-pow(2.0::DOUBLE, -(sum(depth) / {trees}) / (SELECT {_tail('psi')} FROM fn)), 9)
+               AS anomalia_score FROM w{levels} JOIN fe USING (tree, node) GROUP BY 1),
+        anom AS (SELECT 'loja' AS client_key, venda_key, data_venda, a AS total, b AS desconto, c::INT AS hora, anomalia_score
+                 FROM fx JOIN fs USING (venda_key)
+                 WHERE anomalia_score < (SELECT quantile_cont(anomalia_score, 0.05) FROM fs))"""
+
+
+FOREST = _forest("eventos")
+
 PIECES.update({
     "desc_pct": """
         SELECT venda_key, data_venda, vendedor_id, CAST(total AS DOUBLE) AS total, CAST(desconto AS DOUBLE) AS desconto,
@@ -156,6 +213,15 @@ SQL = {
         SELECT t.client_key, t.produto_key, nome, categoria, quantidade_prevista,
                quantidade_max - quantidade_prevista AS erro_superior
         FROM t LEFT JOIN est USING (produto_key)"""),
+    "anomalias_vendas": sql(f"WITH {FOREST} SELECT * FROM anom"),
+    "anomalias_por_hora": sql(f"""
+        WITH {FOREST} SELECT client_key, hora, count(*) AS ocorrencias FROM anom GROUP BY 1, 2"""),
+    "resumo_anomalias": sql(f"""
+        WITH {FOREST},
+        va AS (SELECT count(*) AS n, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS v FROM anom),
+        vd AS (SELECT count(*) AS n, CAST(sum(CAST(desconto AS DECIMAL(18,2))) AS DOUBLE) AS v FROM desc_an)
+        SELECT 'loja' AS client_key, va.n AS total_anomalias_venda, va.v AS valor_anomalias,
+               vd.n AS total_descontos_anomalos, vd.v AS valor_descontos FROM va, vd"""),
     "anomalias_desconto": sql("SELECT * FROM desc_an"),
     "anomalias_vendedor": sql("SELECT * FROM vend_an"),
     "descontos_por_vendedor": sql("""
