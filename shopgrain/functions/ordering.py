@@ -1,11 +1,9 @@
 """Positions, running totals and exact percentiles in very large groups.
 
 A window partitioned by shop alone sends the whole of the largest shop to one
-task.  :func:`ranked` cuts each group into ordered slices first.  The cut
-points are rows picked by a hash of their own sort key, so they are a function
-of the data alone: every branch of the plan that computes them gets the same
-ones, however often it runs.  Slice totals give the offset of each slice and
-the window then runs inside one slice.
+task.  :func:`ranked` sorts by ranges of (group, key) instead: Spark cuts the
+ranges to the size of the data, a large group spans many of them, and a row's
+place in its range plus the rows of earlier ranges is its place in the group.
 """
 
 from __future__ import annotations
@@ -18,22 +16,8 @@ from pyspark.sql import functions as F
 from shopgrain.functions.tenancy import attach
 from shopgrain.sources.shared import materialize
 
-SLICES = 512
-_SAMPLE_EVERY = 1024
-
-
-def _cut_points(base: DataFrame, by: list[str], slices: int, every: int) -> DataFrame:
-    picked = base.select(*by, "_k", F.xxhash64("_k").alias("_h")).filter(
-        F.pmod("_h", F.lit(every)) == 0
-    )
-    # At most one pick per hash lane bounds the list per group.
-    lane = F.pmod(F.shiftright("_h", 20), F.lit(slices))
-    lanes = picked.groupBy(*by, lane.alias("_lane")).agg(
-        F.min(F.struct("_h", "_k")).alias("_pick")
-    )
-    return lanes.groupBy(*by).agg(
-        F.array_sort(F.collect_list("_pick._k")).alias("_cuts")
-    )
+#: Bits of a running id that hold the place in its partition.
+_PLACE_BITS = 33
 
 
 def ranked(
@@ -42,9 +26,6 @@ def ranked(
     order: Sequence[Column],
     totals: Mapping[str, Column] | None = None,
     groups_per_tenant: int = 1,
-    slices: int = SLICES,
-    sample_every: int = _SAMPLE_EVERY,
-    write_once: bool = True,
 ) -> DataFrame:
     """Add ``_pos`` (1-based place), ``_n`` (group size) and running totals.
 
@@ -53,49 +34,48 @@ def ranked(
     of ``totals`` the result has ``_cum_name`` (sum up to and including this
     row) and ``_sum_name`` (sum of the group).
 
-    The rows are read three times (cut points, slice totals, result), so they
-    are written first unless ``write_once`` says they already come from files.
+    The sorted rows are written once, with a running id that holds their range
+    and their place in it; range totals and the result read the files.  Places
+    need no further shuffle, running totals one by range.
     """
     by = list(by)
-    if write_once:
-        df = materialize(df)
     totals = dict(totals or {})
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    base = df.select("*", key.alias("_k"), *[c.alias(f"_v_{n}") for n, c in totals.items()])
-    cuts = _cut_points(base, by, slices, sample_every)
-    sliced = attach(
-        base, cuts, by, "left", groups_per_tenant, slices * 64
-    ).withColumn(
-        "_slice",
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c < F.col("_k")))
-        ),
-    ).drop("_cuts")
-
-    per_slice = sliced.groupBy(*by, "_slice").agg(
-        F.count(F.lit(1)).alias("_rows"),
+    keys = {f"_k{i}": c for i, c in enumerate(order)}
+    base = df.select(
+        "*", *[c.alias(k) for k, c in keys.items()], *[c.alias(f"_v_{n}") for n, c in totals.items()]
+    )
+    placed = materialize(
+        base.repartitionByRange(*by, *keys).sortWithinPartitions(*by, *keys)
+        .withColumn("_id", F.monotonically_increasing_id())
+    )
+    placed = placed.withColumn("_slice", F.shiftright("_id", _PLACE_BITS))
+
+    per_slice = placed.groupBy(*by, "_slice").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_start"),
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals],
     )
+    # One row per range of a group.
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     whole = Window.partitionBy(*by)
     offsets = per_slice.select(
-        *by,
-        "_slice",
+        *by, "_slice", "_start",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"),
         F.sum("_rows").over(whole).alias("_n"),
         *[F.sum(f"_t_{n}").over(before).alias(f"_off_{n}") for n in totals],
         *[F.sum(f"_t_{n}").over(whole).alias(f"_sum_{n}") for n in totals],
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy("_k")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined = attach(
-        sliced, offsets, [*by, "_slice"], "inner", groups_per_tenant * slices, 128
+        placed, offsets, [*by, "_slice"], "inner", groups_per_tenant + ranges, 128
+    )
+    upto = Window.partitionBy(*by, "_slice").orderBy("_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
     return joined.select(
         *df.columns,
-        (F.col("_off") + F.row_number().over(inside)).alias("_pos"),
+        (F.col("_off") + F.col("_id") - F.col("_start") + 1).alias("_pos"),
         "_n",
         *[
             (F.sum(f"_v_{n}").over(upto) + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(
@@ -114,7 +94,6 @@ def percentiles(
     tie: str,
     points: Mapping[str, float],
     groups_per_tenant: int = 1,
-    write_once: bool = True,
 ) -> DataFrame:
     """Exact interpolated percentiles, one row per group.
 
@@ -123,7 +102,6 @@ def percentiles(
     rows = ranked(
         df.select(*by, value, tie).filter(F.col(value).isNotNull()),
         by, [F.col(value), F.col(tie)], groups_per_tenant=groups_per_tenant,
-        write_once=write_once,
     )
 
     def at(offset: int, p: float) -> Column:

@@ -193,7 +193,6 @@ def anomalias_vendas(
     scores = materialize(pontuar_vendas(vendas, trees, seed))
     limit = percentiles(
         scores, ["client_key"], "anomalia_score", "venda_key", {"_limit": contamination},
-        write_once=False,
     )
     return attach(scores, limit).filter(F.col("anomalia_score") < F.col("_limit")).select(
         "client_key", "venda_key", "data_venda", F.col("_total").alias("total"),
