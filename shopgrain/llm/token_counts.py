@@ -80,9 +80,11 @@ def count_tokens(
     text = whole(named(text_column))
     keyed = docs.select(named(id_column).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
     rows = materialize(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
-    # Copies are merged before the shuffle, then one text of each digest goes on.
+    # Copies are merged before the shuffle, then one text of each digest meets the cache.  An anti-join would be
+    # moved below the aggregation and send every copy.
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    cache.add(distinct.hint("merge").join(cache.counts(), "digest", "left_anti"))
+    met = distinct.hint("merge").join(cache.counts(), "digest", "left")
+    cache.add(met.filter("n_tokens IS NULL").select("digest", "text"))
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("size"))
     groups = materialize(sizes.join(cache.counts(), "digest"))
     return join_groups(rows, groups, "digest", "size").select(
