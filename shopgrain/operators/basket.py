@@ -21,11 +21,6 @@ from shopgrain.sources.shared import materialize
 MIN_BASKETS = 10
 
 
-def _total(pairs: DataFrame) -> DataFrame:
-    sales = pairs.select("client_key", "venda_key").distinct()
-    return sales.groupBy("client_key").agg(F.count(F.lit(1)).alias("_n"))
-
-
 def _frequent(counts: DataFrame, n: DataFrame, min_support: float) -> DataFrame:
     share = F.col("_count").cast("double") / F.col("_n").cast("double")
     return attach(counts, n).filter((F.col("_n") >= MIN_BASKETS) & (share >= min_support))
@@ -42,24 +37,25 @@ def itemsets(
 
     Fewer than ten sales give no sets.  A product repeated in a sale counts once.
     """
-    # Three steps read the distinct pairs: write them once, scan the items once.
-    pairs = materialize(
-        itens.select("client_key", "venda_key", F.col(item).alias("_item")).distinct()
+    # One row per distinct basket, the only thing written: every level reads it.
+    whole = materialize(
+        itens.groupBy("client_key", "venda_key").agg(F.array_sort(F.collect_set(item)).alias("_basket"))
+        .groupBy("client_key", "_basket").agg(F.count(F.lit(1)).alias("_weight"))
     )
-    n = materialize(_total(pairs))
-    single = materialize(_frequent(
-        pairs.groupBy("client_key", "_item").agg(F.count(F.lit(1)).alias("_count")),
+    n = whole.groupBy("client_key").agg(F.sum("_weight").alias("_n"))
+    single = _frequent(
+        whole.select("client_key", "_weight", F.explode("_basket").alias("_item"))
+        .groupBy("client_key", "_item").agg(F.sum("_weight").alias("_count")),
         n, min_support,
-    ))
+    )
     levels = [single.select("client_key", F.array("_item").alias("itens"), "_count", "_n")]
-    # A basket is the sorted list of its frequent products; equal ones are merged.
-    # They are read by two levels, so they are written once.
-    baskets = materialize(
-        pairs.join(single.select("client_key", "_item"), ["client_key", "_item"])
-        .groupBy("client_key", "venda_key")
-        .agg(F.array_sort(F.collect_list("_item")).alias("_basket"))
+    # Baskets keep their frequent products, of which a shop has at most mean basket size / min_support.
+    kept = single.groupBy("client_key").agg(F.collect_list("_item").alias("_kept"))
+    baskets = (
+        attach(whole, kept, row_bytes=64 * 1024)
+        .select("client_key", F.array_intersect("_basket", "_kept").alias("_basket"), "_weight")
         .filter(F.size("_basket") > 1)
-        .groupBy("client_key", "_basket").agg(F.count(F.lit(1)).alias("_weight"))
+        .groupBy("client_key", "_basket").agg(F.sum("_weight").alias("_weight"))
     )
     if max_len >= 2:
         two = baskets.select(
@@ -69,10 +65,10 @@ def itemsets(
             "client_key", "_weight", "_a",
             F.explode(_after(F.col("_basket"), F.col("_i"))).alias("_b"),
         )
-        pair_counts = materialize(_frequent(
+        pair_counts = _frequent(
             two.groupBy("client_key", "_a", "_b").agg(F.sum("_weight").alias("_count")),
             n, min_support,
-        ))
+        )
         levels.append(
             pair_counts.select("client_key", F.array("_a", "_b").alias("itens"), "_count", "_n")
         )

@@ -38,6 +38,7 @@ def clientes_rfm_base(clientes: DataFrame, vendas: DataFrame) -> DataFrame:
     )
 
 
+# The two ordered lists of segment rules, here and in ``segmento_rfm``.
 def _segment3(r: Column, f: Column, m: Column) -> Column:
     return (
         F.when((r == 3) & (f == 3) & (m == 3), "campeon")
@@ -93,9 +94,17 @@ def resumo_segmentos_sql(clientes: DataFrame, vendas: DataFrame) -> DataFrame:
     )
 
 
-def clientes_inativos(base: DataFrame, dias: int = 45, n: int = 10) -> DataFrame:
-    """Most valuable customers without a purchase for ``dias`` days."""
+def clientes_inativos(
+    base: DataFrame, dias: int = 45, n: int = 10, limits: DataFrame | None = None
+) -> DataFrame:
+    """Most valuable customers without a purchase for ``dias`` days.
+
+    ``limits`` (client_key, churn_days) gives shops a number of days of their own.
+    """
     late = base.filter(F.col("recencia") > dias)
+    if limits is not None:
+        days = attach(base, limits.select("client_key", F.col("churn_days").alias("_dias")), how="left")
+        late = days.filter(F.col("recencia") > F.coalesce("_dias", F.lit(dias))).drop("_dias")
     return top_n(late, n, F.desc("valor_total"), F.asc("cliente_id"))
 
 

@@ -1,4 +1,7 @@
-"""Comparison SQL for insights, the report, masking and monitoring."""
+"""Comparison SQL for insights, the report, masking and monitoring.
+
+Fixed values: the wording of insights must be the one that the pages show.
+"""
 
 from shopgrain.plans.oracle_base import sql
 from shopgrain.plans.oracle_models import FC, RULES

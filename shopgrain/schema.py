@@ -74,18 +74,6 @@ INSIGHTS = _struct(
     ("categoria", _S, True), ("icone", _S, True), ("gerado_em", _TS, True),
 )
 
-# Schema only: no operator reads these two.
-MOVIMENTOS_ESTOQUE = _struct(
-    ("client_key", _S, False), ("produto_key", _S, False), ("tipo", _S, False),
-    ("quantidade", QUANTITY, False), ("motivo", _S, True), ("referencia", _S, True),
-    ("atributos", _S, True), ("created_at", _TS, True),
-)
-FORNECEDORES = _struct(
-    ("client_key", _S, False), ("fornecedor_key", _S, False), ("nome", _S, False),
-    ("documento", _S, True), ("telefone", _S, True), ("ativo", _B, False),
-    ("atributos", _S, True), ("created_at", _TS, True),
-)
-
 TABLES = {
     "vendas": VENDAS,
     "itens_venda": ITENS_VENDA,
@@ -105,7 +93,3 @@ class Segment:
 
 
 SEGMENTS = {"construcao": Segment(churn_days=45, abc_a=0.80, abc_b=0.95)}
-
-
-def segment_defaults(name: str | None) -> Segment:
-    return SEGMENTS.get(name or "", Segment())

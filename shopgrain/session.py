@@ -18,13 +18,14 @@ SETTINGS = {
 
 
 def build_session(
-    app: str = "shopgrain", master: str | None = None, shuffle_partitions: int | None = None
+    app: str = "shopgrain", master: str | None = None, shuffle_partitions: int | None = None,
+    more: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A session with these settings; on a cluster the submit options name the rest."""
+    """A session with these settings and ``more``; on a cluster the submit options name the rest."""
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(more or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
