@@ -18,7 +18,7 @@ from shopgrain.operators import (
 )
 from shopgrain.plans import ingest_queries
 from shopgrain.sources import canonical
-from shopgrain.sources.driver_tables import SHOP, DriverShop
+from shopgrain.sources.driver_tables import SHOP, DriverShop, DriverShops
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -416,9 +416,27 @@ STORED = {
 }
 
 
+# The same operators over many shops, one of which has half of the sales.
+SHOPS = {
+    "vendas_resumo_lojas": lambda s: sales.vendas_resumo(s.vendas_com_desconto),
+    "home_kpis_lojas": lambda s: sales.home_kpis(s.vendas, s.itens),
+    "ranking_vendedores_lojas": lambda s: sales.ranking_vendedores(
+        s.vendas_com_desconto, s.itens, "year"
+    ),
+    "abc_lojas": _abc,
+    "rfm_lojas": _rfm,
+    "anomalias_desconto_lojas": _odd_discounts,
+}
+
+
 def all_queries() -> dict[str, Query]:
     groups = {
         **SALES, **CATALOG, **CUSTOMERS, **ALGORITHMS, **MODELS, **TEXTS,
         **ingest_queries.INGEST, **STORED,
     }
-    return {name: on_shop(build) for name, build in groups.items()}
+    queries = {name: on_shop(build) for name, build in groups.items()}
+    many = {
+        name: lambda spark, path, build=build: floats(build(DriverShops(spark, path)))
+        for name, build in SHOPS.items()
+    }
+    return {**queries, **many}

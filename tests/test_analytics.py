@@ -254,3 +254,14 @@ def test_isolation_batches_do_not_change_scores(make, monkeypatch):
     monkeypatch.setattr(anomaly, "ROWS_PER_BATCH", 25)
     many = {r.venda_key: r.anomalia_score for r in anomaly.pontuar_vendas(v, trees=10).collect()}
     assert one == many and len(one) == 120
+
+
+def test_shops_may_have_their_own_churn_days(spark):
+    base = spark.createDataFrame(
+        [("a", "x", 1, 10.0, 50), ("a", "y", 1, 5.0, 20), ("b", "z", 1, 7.0, 50)],
+        "client_key string, cliente_id string, frequencia int, valor_total double, recencia int",
+    )
+    limits = spark.createDataFrame([("a", 10), ("c", 1)], "client_key string, churn_days int")
+    assert rows(customers.clientes_inativos(base), "client_key", "cliente_id") == [("a", "x"), ("b", "z")]
+    assert rows(customers.clientes_inativos(base, limits=limits), "client_key", "cliente_id") == [
+        ("a", "x"), ("a", "y"), ("b", "z")]

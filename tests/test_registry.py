@@ -17,7 +17,7 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 SOME = (
     "home_kpis", "vendas_tendencia_year", "mix_categorias", "comparativo_year", "produtos_abc_sql", "dead_stock",
     "resumo_segmentos_sql", "abc_xyz", "rfm", "elasticidade", "regras", "forecast_categoria", "anomalias_desconto",
-    "ins_margem_alta", "relatorio_semanal", "detect_separator", "filtro_cascata", "ler_insights_home", "period_starts",
+    "ins_margem_alta", "relatorio_semanal", "home_kpis_lojas", "abc_lojas", "detect_separator", "filtro_cascata", "ler_insights_home", "period_starts",
     "forecast_resumo", "forecast_resumo_loja", "forecast_por_produto", "save_result", "vendas_resumo", "mascarar_pii_documentos", "etl_ultimas", "anomalias_vendas", "resumo_anomalias", "csv_scan", "upsert_vendas",
 )
 NAMES = list(QUERIES) if os.environ.get("CHECK_ALL") else [n for n in SOME if n in QUERIES]
