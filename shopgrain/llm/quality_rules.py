@@ -217,6 +217,10 @@ def good_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
         prefix = f"_{prefix}"
     seen = docs.select(named(text_column).alias("text"))
     model = fit(signals(seen, "text").select(*[v.alias(k) for k, v in votes().items()]))
-    rows = signals(docs, text_column, prefix)
-    kept = rows.filter(~base_failed(prefix) & (model.posterior(votes(prefix)) >= 0.5))
+    # Spark would move the filter below the signals and compute each once more for every use.  A filter that
+    # reads a running id stays above.
+    seen_once = f"{prefix}seen"
+    rows = signals(docs, text_column, prefix).withColumn(seen_once, F.monotonically_increasing_id())
+    good = ~base_failed(prefix) & (model.posterior(votes(prefix)) >= 0.5)
+    kept = rows.filter((F.col(seen_once) >= 0) & good)
     return kept.select(*[named(c) for c in docs.columns])
