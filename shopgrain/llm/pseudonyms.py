@@ -10,6 +10,11 @@ valid again, has the same punctuation, and equal values get equal pseudonyms
 in every document, however they are punctuated.  The letters and digits of the
 local part of a mail address are permuted the same way, each within its kind.
 
+Every place where a format starts is looked at from left to right: the first
+format with a valid value there, the longest of several, is replaced and the
+search goes on behind it.  What is not valid is passed over by its first
+character only, so values that stand next to each other do not hide each other.
+
 Everything is an expression on one row, and nothing is shuffled.  A null text
 stays null.  Invalid look-alikes and all other text stay as they are.
 Repeated rows get equal results.  The key is a literal of the plan, so plans
@@ -39,6 +44,43 @@ FORMATS = {
 }
 ANY = "|".join(FORMATS.values())
 
+# What a telephone number with a country code does not run into: addresses and dates, and if it is valid without them
+# the other numbers too.
+_MONTH, _DAY = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+_STOPS = (
+    rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.\d)|(?:\d{{4}}-{_MONTH}-{_DAY}"
+    rf"|(?:{_MONTH}/{_DAY}|{_DAY}/{_MONTH}|{_DAY}\.{_MONTH}|{_MONTH}\.{_DAY})[/.]\d{{4}})(?![\p{{L}}\p{{N}}]|[/.-]\d)"
+)
+_NUMBERS = (
+    r"(?:\d{3}-\d{2}-\d{4}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"
+    r"|\(?\d{3}\)?[ .-]?\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
+)
+
+
+def _numbers(stops: str) -> list[str]:
+    """Formats of numbers with a country code from four further groups down to none."""
+    return [
+        r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,12}"
+        rf"(?:[ .-](?!{stops})\d{{2,8}}){{{n}}}(?![\p{{L}}\p{{N}}])" for n in range(4, -1, -1)
+    ]
+
+
+#: Of a format with several possible ends, the formats of one end each, in the order in which they are tried.
+ENDS = {
+    "phone": [
+        r"\+1[ .-]?(?:\(\d{3}\)[ .-]?\d{3}|\d{3}[ .-]?\d{3})[ .-]?\d{4}(?![\p{L}\p{N}])",
+        *_numbers(f"{_STOPS}|{_NUMBERS}"), *_numbers(_STOPS), r"(?!\+)" + FORMATS["phone"],
+    ],
+}
+
+#: Places one character before a value, which the text behind is cut at; the group is the longest that a value can
+#: reach, a mail address in full.
+REACH = 96
+STARTS = rf"(?=(?s:.)(?:{ANY}))(?=((?s:.)(?:{FORMATS['mail']}|(?s:.{{1,{REACH}}}))))"
+_REACH_GROUP = 3  # behind the two groups for gaps
+#: Pieces of a text that are put together at a time.
+PIECES = 128
+
 
 def keyed_number(key: str, kind: Column | str, i: Column, value: Column) -> Column:
     """60 bits that depend on the key and on all arguments: a digest within a digest, each keyed."""
@@ -299,27 +341,69 @@ MAKERS = {
 }
 
 
-def pseudonym(key: str, value: Column) -> Column:
-    """The pseudonym of a found value, null if it is not valid."""
-    out = F.when(value.contains("@"), mail(key, value))
-    for kind, make in MAKERS.items():
-        if kind != "mail":
-            out = out.when(value.rlike(f"^(?:{FORMATS[kind]})$"), make(key, value))
-    return out
+def candidates(kind: str, reach: Column) -> Column:
+    """The texts behind the first character of ``reach`` that a format fits, in the order in which they are tried."""
+    found = [F.regexp_extract(reach, f"^(?s:.)({end})", 1) for end in ENDS.get(kind, [FORMATS[kind]])]
+    return F.filter(F.array(*found), lambda c: c != "")
+
+
+def pseudonym(key: str, reach: Column) -> Column:
+    """The first valid value behind the first character of ``reach`` and its pseudonym, null if there is none."""
+    none = F.lit(None).cast("struct<old:string,new:string>")
+
+    def first(kind: str) -> Column:
+        def attempt(old: Column) -> Column:
+            return let(MAKERS[kind](key, old), lambda new: F.when(
+                new.isNotNull(), F.struct(old.alias("old"), new.alias("new"))
+            ))
+
+        return F.aggregate(candidates(kind, reach), none, lambda s, old: F.coalesce(s, attempt(old)))
+
+    return F.coalesce(*[F.when(reach.rlike(f"^(?s:.)(?:{FORMATS[kind]})"), first(kind)) for kind in MAKERS])
+
+
+def put_together(items: Column) -> Column:
+    """Pieces of a text with their values replaced, and the number of these, from structs (piece, found).
+
+    A value may reach into the pieces behind its own; those characters are left out there.
+    """
+    def add(s: Column, x: Column) -> Column:
+        taken = (s["over"] == 0) & x["found"].isNotNull()
+        over = F.when(taken, F.length(x["found"]["old"]) + 1).otherwise(s["over"])
+        new = F.when(taken, F.concat(_part(x["piece"], 1, 1), x["found"]["new"])).otherwise("")
+        return F.struct(
+            F.greatest(over - F.length(x["piece"]), F.lit(0)).alias("over"),
+            (s["n"] + taken.cast("int")).alias("n"),
+            F.concat(s["text"], new, F.substring(x["piece"], over + 1, F.length(x["piece"]))).alias("text"),
+        )
+
+    def start(over: Column, n: Column) -> Column:
+        return F.struct(over.alias("over"), n.alias("n"), F.lit("").alias("text"))
+
+    def add_some(s: Column, i: Column) -> Column:
+        some = F.aggregate(F.slice(items, i * PIECES + 1, F.lit(PIECES)), start(s["over"], s["n"]), add)
+        return let(some, lambda x: F.struct(x["over"].alias("over"), x["n"].alias("n"),
+                                            F.concat(s["text"], x["text"]).alias("text")))
+
+    # Long texts grow by some pieces at a time and not by each.
+    last = F.floor((F.size(items) - 1) / PIECES).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), last), start(F.lit(0), F.lit(0)), add_some)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_column: str = "text", count: str = "n_pseudonyms") -> DataFrame:
     """``docs`` with the text's valid private values replaced, and a count of them in a column ``count``."""
-    found, count = own(docs, "found", count)
+    found, out, count = own(docs, "found", "whole", count)
     text = named(text_column)
+    # Every value has a character before it, and the text is never cut before its first character.
+    fenced = F.concat(F.lit("\n\n"), text)
     rows = docs.withColumn(found, F.when(text.rlike(r"@|\d"), F.transform(
-        F.regexp_extract_all(text, F.lit(ANY), 0), lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new"))
+        F.regexp_extract_all(fenced, F.lit(STARTS), _REACH_GROUP), lambda r: pseudonym(key, r)
     )))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.col(found), lambda gap, f: F.concat(
-        F.coalesce(gap, F.lit("")), F.coalesce(f["new"], f["old"], F.lit("")),
-    ))
-    some = F.size(F.col(found)) > 0
-    whole_text = F.when(some, F.array_join(pieces, "")).otherwise(text)
-    n = F.when(some, F.size(F.filter(F.col(found), lambda f: f["new"].isNotNull()))).otherwise(0)
+    some = F.exists(F.col(found), lambda f: f.isNotNull())
+    none = F.lit(None).cast("struct<old:string,new:string>")
+    items = F.zip_with(F.split(fenced, STARTS, -1), F.concat(F.array(none), F.col(found)),
+                       lambda piece, f: F.struct(piece.alias("piece"), f.alias("found")))
+    rows = rows.withColumn(out, F.when(some, let(items, put_together)))
+    whole_text = F.when(F.col(out).isNull(), text).otherwise(F.substring(F.col(out)["text"], F.lit(3), F.length(F.col(out)["text"])))
     kept = [whole_text.alias(c) if c == text_column else named(c) for c in docs.columns]
-    return rows.select(*kept, n.cast("long").alias(count))
+    return rows.select(*kept, F.coalesce(F.col(out)["n"], F.lit(0)).cast("long").alias(count))

@@ -87,6 +87,26 @@ def test_phone_formats(spark):
     assert n == [1, 1, 1, 1, 0, 0]
 
 
+def test_values_next_to_each_other(spark):
+    """A phone does not take what stands behind it, and what is not valid hides nothing."""
+    phones = ["+1 (826) 555-4081", "+49 30 901820", "(743) 555-3824"]
+    others = ["190.137.223.204", "2024-05-17", "17.05.2024", "123-45-6789", with_check("478538059239113"),
+              "4111 1111 1111 1111", "743-555-3825", "a@b.co"]
+    alone = dict(zip(phones + others, one(spark, phones + others)[0], strict=True))
+    assert all(k != v for k, v in alone.items())
+    both = [(p, o) for p in phones for o in others]
+    out, n = one(spark, [f"{p} {o}" for p, o in both])
+    assert out == [f"{alone[p]} {alone[o]}" for p, o in both] and set(n) == {2}
+    new = alone[phones[0]]
+    out, n = one(spark, ["+1 (826) 555-4081 20 euros", "+49 30 901820 20 euros", "12 34 +1 (826) 555-4081.",
+                         "+12345678901234567 190.137.223.204", "1234 4111 1111 1111 1111", "\n+1 (826) 555-4081\n"])
+    assert out[0] == f"{new} 20 euros" and out[2] == f"12 34 {new}." and out[5] == f"\n{new}\n"
+    assert out[3] == f"+12345678901234567 {alone['190.137.223.204']}"
+    assert out[4] == f"1234 {alone['4111 1111 1111 1111']}" and n == [1] * 6
+    out, n = one(spark, [f"{phones[0]} x ß😀 {others[0]}; " * 500])
+    assert out == [f"{new} x ß😀 {alone[others[0]]}; " * 500] and n == [1000]
+
+
 def test_awkward_rows(clashing, awkward_rows):
     out = op.pseudonymised(clashing, "k")
     assert out.columns == [*clashing.columns, "_n_pseudonyms"]
