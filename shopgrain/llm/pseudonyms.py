@@ -67,12 +67,26 @@ def _numbers(stops: str) -> list[str]:
 
 #: Of a format with several possible ends, the formats of one end each, in the order in which they are tried.
 ENDS = {
+    "iban": [
+        rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{k}}}" + (rf" ?[A-Z0-9]{{{r}}}" if r else "") + r"(?![\p{L}\p{N}])"
+        for k in range(7, 1, -1) for r in (3, 2, 1, 0)
+    ],
     "phone": [
         r"\+1[ .-]?(?:\(\d{3}\)[ .-]?\d{3}|\d{3}[ .-]?\d{3})[ .-]?\d{4}(?![\p{L}\p{N}])",
         *_numbers(f"{_STOPS}|{_NUMBERS}"), *_numbers(_STOPS), r"(?!\+)" + FORMATS["phone"],
     ],
 }
 
+#: Length of an account number by its country.
+IBAN_LENGTHS = {
+    c: n for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for c in countries.split()
+}
+
 #: Places one character before a value, which the text behind is cut at; the group is the longest that a value can
 #: reach, a mail address in full.
 REACH = 96
@@ -344,7 +358,16 @@ MAKERS = {
 def candidates(kind: str, reach: Column) -> Column:
     """The texts behind the first character of ``reach`` that a format fits, in the order in which they are tried."""
     found = [F.regexp_extract(reach, f"^(?s:.)({end})", 1) for end in ENDS.get(kind, [FORMATS[kind]])]
-    return F.filter(F.array(*found), lambda c: c != "")
+    fit = F.filter(F.array(*found), lambda c: c != "")
+    return let(fit, own_length_first) if kind == "iban" else fit
+
+
+def own_length_first(fit: Column) -> Column:
+    """Of accounts with different ends: that of the country's length, then the longest; all if the country is not known."""
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    want = F.try_element_at(lengths, _part(F.get(fit, F.lit(0)), 1, 2))
+    right = F.filter(fit, lambda c: F.length(F.replace(c, F.lit(" "), F.lit(""))) == want)
+    return F.when(want.isNull(), fit).otherwise(F.concat(right, F.slice(fit, 1, 1)))
 
 
 def pseudonym(key: str, reach: Column) -> Column:

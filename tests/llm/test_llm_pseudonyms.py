@@ -67,6 +67,24 @@ def test_bank_accounts(spark):
         assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def test_bank_accounts_before_other_words(spark):
+    def account(country, body):
+        moved = "".join(str(int(c, 36)) for c in body + country + "00")
+        return f"{country}{98 - int(moved) % 97:02d}{body}"
+
+    accounts = ["ES9121000418450200051332", "AT611904300234573201", "DE89370400440532013000", "NO9386011117947",
+                "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332", account("XY", "12345678901234567890")]
+    behind = ["12 May", "BIC ABCD", "2024", "2024 1999 ABCD", "A", "4111 1111 1111 1111", "17.05.2024"]
+    alone = dict(zip(accounts, one(spark, accounts)[0], strict=True))
+    extra = dict(zip(behind, one(spark, behind)[0], strict=True))
+    assert all(k != v for k, v in alone.items())
+    both = [(a, b) for a in accounts for b in behind]
+    out, _ = one(spark, [f"{a} {b}" for a, b in both])
+    assert out == [f"{alone[a]} {extra[b]}" for a, b in both]
+    out, n = one(spark, ["AB12 4111 1111 1111 1111", "DE88370400440532013000 12 May"])
+    assert out == [f"AB12 {extra['4111 1111 1111 1111']}", "DE88370400440532013000 12 May"] and n == [1, 0]
+
+
 def test_mail_addresses(spark):
     values = [f"Ann.{i}-x@mail.example.com" for i in range(200)] + ["a@b.co", "ANN.7-X@mail.example.com"]
     out, n = one(spark, values)
