@@ -2,7 +2,7 @@
 
 A value is found by its format and replaced only if it is valid: payment cards
 and bank accounts by their check digits, telephone and social security numbers
-and network addresses by their ranges, dates by the calendar.  Its digits are
+and network addresses by their ranges, dates by the calendar, also in a time stamp.  Its digits are
 taken as a pair of numbers and permuted by a keyed Feistel network, in which
 each round adds a keyed digest of one half to the other half, modulo that
 half's range.  So the permutation stays inside the format: the pseudonym is
@@ -36,7 +36,8 @@ FORMATS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "address": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.\d)",
-    "date": r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}]|[/.-]\d)",
+    "date": r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:)|"
+            r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}]|[/.-]\d))",
     "social": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}(?<cardgap>[ -])\d{4}\k<cardgap>\d{4}\k<cardgap>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,12}(?:[ .-]\d{2,8}){0,4}"
@@ -48,7 +49,7 @@ ANY = "|".join(FORMATS.values())
 # the other numbers too.
 _MONTH, _DAY = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
 _STOPS = (
-    rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.\d)|(?:\d{{4}}-{_MONTH}-{_DAY}"
+    rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.\d)|\d{{4}}-{_MONTH}-{_DAY}(?=T\d{{2}}:)|(?:\d{{4}}-{_MONTH}-{_DAY}"
     rf"|(?:{_MONTH}/{_DAY}|{_DAY}/{_MONTH}|{_DAY}\.{_MONTH}|{_MONTH}\.{_DAY})[/.]\d{{4}})(?![\p{{L}}\p{{N}}]|[/.-]\d)"
 )
 _NUMBERS = (

@@ -58,6 +58,12 @@ def test_dates_keep_their_notation(spark):
     assert month <= 12 < day and n == [1, 1, 1, 1, 0, 0, 0] and out[4] == "31.02.1999"
 
 
+def test_dates_of_time_stamps(spark):
+    out, n = one(spark, ["2024-05-01", "2024-05-01T12:00:00Z", "+49 30 901820 2024-05-01T12:00", "2024-05-01Temp", "2024-05-01T1"])
+    assert out[1] == f"{out[0]}T12:00:00Z" and out[0] != "2024-05-01" and out[2].endswith(f" {out[0]}T12:00")
+    assert n == [1, 1, 2, 0, 0]
+
+
 def test_bank_accounts(spark):
     out, n = one(spark, ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432", "DE88370400440532013000"])
     plain = out[0].replace(" ", "")
