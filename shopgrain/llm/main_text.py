@@ -44,6 +44,8 @@ DROPPED_TAGS = frozenset(
     "audio button canvas datalist head iframe map math noframes noscript object option progress script select style "
     "svg template textarea title video".split()
 )
+#: Elements that may stand in a head; anything else ends it, as its end tag may be left out.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that one of these ends if it is still open, up to the nearest container.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -111,7 +113,21 @@ class Blocks(HTMLParser):
             self.common = at.depth
         self.text, self.linked = [], 0
 
+    def end_dropped(self, tag: str) -> None:
+        """Close what is still open before this tag (text if empty) and may go without an end tag: heads and options."""
+        while self.dropped:
+            i = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag in DROPPED_TAGS)
+            at = self.open[i].tag
+            if tag == "body" and at != "head":  # nothing inside a head reaches into the body
+                i = next((i for i, x in enumerate(self.open) if x.tag == "head"), -1)
+                if i < 0:
+                    return
+            elif not (at == "head" and tag not in HEAD_TAGS or at == "option" and tag in BLOCK_TAGS):
+                return
+            self.pop(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.end_dropped(tag)
         if tag in BLOCK_TAGS:
             self.cut()
             ends = CLOSES.get(tag) or ({"p"} if tag != "html" else None)
@@ -166,6 +182,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self.end_dropped("")
         if not self.dropped:
             self.text.append(data)
             if self.links:

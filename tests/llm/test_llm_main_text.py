@@ -32,6 +32,18 @@ def test_broken_and_deep_markup():
     assert op.main_text("<div>" * 3000 + deep) == deep
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>No</title><body><p>{}</html>", "<html><head><meta charset=x><link rel=y><title>No</title><p>{}</p>",
+    "<head><script>var a = '<p>x';</script>\n{}", "<head><style>p{{}}</style><noscript><p>No scripts here.</p></noscript><body>{}",
+    "<head><noscript><img src=x><body><p>{}", "<head><body><option>A<option>B<p>{}", "<body><select><option>A</select><p>{}",
+    "<head><object><param></object></head><body><p>{}", "<head><title>No</title></head><body><p>{}",
+])
+def test_end_tags_left_out(page):
+    body = "This text stands in the body of the page, and all of it is kept."
+    assert op.main_text(page.format(body)) == body
+    assert op.main_text("<head><title>A title that is no text.</title>\n <script>x</script>") == ""
+
+
 def test_cut_is_minimal():
     """Against every labelling of small random graphs."""
     rng = random.Random(2)
