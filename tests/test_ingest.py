@@ -259,6 +259,26 @@ def test_a_broken_file_waits_and_the_others_are_loaded(spark, tmp_path):
     assert [r.path.split("/")[-3] for r in waiting] == ["c"]
 
 
+def test_quoted_line_ends_of_the_shops_that_have_them(spark, tmp_path):
+    """A record over two lines is one record where multiline says so."""
+    for shop in ("a", "b"):
+        put(tmp_path, f"inbox/{shop}/clientes/c.csv", 'id,nome,email\nc1,"Ana\nMaria",a@b.co\nc2,Rui,\n')
+        put(tmp_path, f"inbox/{shop}/vendas/v.csv", 'id,vendedor,data,total\n1,"Jo\nao",2024-01-02,5\n2,Rui,2024-01-03,7\n')
+
+    def pull(name, multiline):
+        store = TableStore(spark, str(tmp_path / name / "tables"))
+        incremental_sync(
+            spark, str(tmp_path / "inbox"), store, str(tmp_path / name / "cp"), clock=lambda: NOW, multiline=multiline,
+        ).awaitTermination()
+        keys = {(r.client_key, r.venda_key) for r in store.read("vendas").collect()}
+        return keys, {(r.client_key, r.cliente_key) for r in store.read("clientes").collect()}
+
+    every = {(s, v) for s in "ab" for v in "12"}, {(s, c) for s in "ab" for c in ("c1", "c2")}
+    assert pull("all", True) == every
+    sales, _ = pull("one", lambda shop, entity: (shop, entity) == ("a", "vendas"))
+    assert sales == every[0] - {("b", "1")}
+
+
 def test_an_empty_first_result_can_be_read_back(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "t"))
     df = spark.createDataFrame([("001", 1)], "client_key string, v int")
