@@ -30,7 +30,7 @@ def tenant_column(value: str, max_tenants: int = 1) -> Column:
 
 
 def tenant_bound(df: DataFrame) -> int | None:
-    return df.schema["client_key"].metadata.get(_BOUND)
+    return df.schema["client_key"].metadata.get(_BOUND) if "client_key" in df.columns else None
 
 
 def keep_bound(df: DataFrame, like: DataFrame) -> DataFrame:
