@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgrain.llm import (
-    binary_output, exact_dedup, main_text, mixing, near_join, packing, pseudonyms, quality_rules, sharding, token_counts,
+    binary_output, conversation_trie, exact_dedup, main_text, mixing, near_join, packing, pseudonyms, quality_rules,
+    sharding, spelling_variants, token_counts, toxicity,
 )
 from shopgrain.sources.shared import shared_dir
 
@@ -84,6 +85,18 @@ def op10_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     return exact_dedup.verdicts(_table(spark, path, "documents"), index, "documents")
 
 
+def op11_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    return toxicity.judge(_table(spark, path, "documents"), _table(spark, path, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, path: str) -> DataFrame:
+    return spelling_variants.variants(_table(spark, path, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, path: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, path, "conversations"))
+
+
 QUERIES = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_main_text": op2_main_text,
@@ -95,4 +108,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_binary_output": op9_binary_output,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_toxicity": op11_toxicity,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_trie": op13_conversation_trie,
 }
