@@ -80,10 +80,3 @@ def make(spark):
     m = Make()
     m.vendas, m.itens, m.produtos = vendas, itens, produtos
     return m
-
-
-def rows(df, *cols, by=None):
-    """Rows as tuples, sorted, of the given columns."""
-    names = cols or df.columns
-    out = [tuple(r[c] for c in names) for r in df.collect()]
-    return sorted(out, key=str) if by is None else sorted(out, key=by)

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import rows
+from frames import rows
 
 from shopgrain.operators import abcxyz, anomaly, basket, customers, forecast, pricing
 
