@@ -8,7 +8,10 @@ each round adds a keyed digest of one half to the other half, modulo that
 half's range.  So the permutation stays inside the format: the pseudonym is
 valid again, has the same punctuation, and equal values get equal pseudonyms
 in every document, however they are punctuated.  The letters and digits of the
-local part of a mail address are permuted the same way, each within its kind.
+local part of a mail address are permuted the same way, each within its
+alphabet; letters of alphabets that ALPHABETS does not list stay.  Not looked
+for are national telephone numbers outside the American plan, addresses of
+IP version 6 and mail domains of more than 127 labels or other than ASCII.
 
 Every place where a format starts is looked at from left to right: the first
 format with a valid value there, the longest of several, is replaced and the
@@ -16,8 +19,11 @@ search goes on behind it.  What is not valid is passed over by its first
 character only, so values that stand next to each other do not hide each other.
 
 Everything is an expression on one row, and nothing is shuffled.  A null text
-stays null.  Invalid look-alikes and all other text stay as they are.
-Repeated rows get equal results.  The key is a literal of the plan, so plans
+stays null, an empty text empty, an empty table gives no rows.  Invalid
+look-alikes and all other text stay as they are.  Texts are read whole, however
+long; the formats have bounded repetitions, so that no text is too deep for
+them.  Repeated rows get equal results, and working columns get names that the
+table does not have.  The key is a literal of the plan, so plans
 and event logs must be kept as the key is.
 """
 
@@ -33,7 +39,7 @@ ROUNDS = 10
 # The formats, in the order in which they are tried.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FORMATS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "address": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.\d)",
     "date": r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:)|"
@@ -323,13 +329,27 @@ def phone(key: str, value: Column) -> Column:
     return let(F.struct(code.alias("cc"), own_digits.alias("own")), make)
 
 
+# Alphabets of letters and digits, first code point and length.
+ALPHABETS = (
+    (0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x3B1, 25),
+    (0x410, 32), (0x430, 32), (0x5D0, 27), (0x621, 26), (0x905, 53), (0x3041, 86), (0x30A1, 90), (0x4E00, 20902),
+    (0xAC00, 11172),
+)
+
+
 def mail(key: str, value: Column) -> Column:
     """The local part: even and odd places are the halves, each place moves within its own alphabet."""
+    alphabets = F.array(*[F.struct(F.lit(a).alias("base"), F.lit(n).alias("size")) for a, n in ALPHABETS])
+
     def place(c: Column) -> Column:
-        code = F.ascii(c)
-        base = F.when(c.rlike("[a-z]"), 97).when(c.rlike("[A-Z]"), 65).when(c.rlike(r"\d"), 48).otherwise(code)
-        size = F.when(c.rlike("[A-Za-z]"), 26).when(c.rlike(r"\d"), 10).otherwise(1)
-        return F.struct((code - base).alias("v"), base.alias("base"), size.alias("size"))
+        def within(code: Column) -> Column:
+            found = F.filter(alphabets, lambda a: (code >= a["base"]) & (code < a["base"] + a["size"]))
+            return let(F.get(found, F.lit(0)), lambda a: F.struct(
+                (code - F.coalesce(a["base"], code)).alias("v"), F.coalesce(a["base"], code).alias("base"),
+                F.coalesce(a["size"], F.lit(1)).alias("size"), c.alias("c"),
+            ))
+
+        return let(F.ascii(c), within)
 
     def turn(s: Column, i: Column) -> Column:
         still = F.array_join(F.transform(F.filter(s, lambda x, j: j % 2 != i % 2), lambda x: x["v"].cast("string")), ",")
@@ -339,7 +359,7 @@ def mail(key: str, value: Column) -> Column:
             def moved(x: Column, j: Column) -> Column:
                 number = F.conv(F.substring(h, (F.floor(j / 2) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
                 v = F.when(j % 2 == i % 2, (x["v"] + number) % x["size"]).otherwise(x["v"])
-                return F.struct(v.cast("int").alias("v"), x["base"].alias("base"), x["size"].alias("size"))
+                return F.struct(v.cast("int").alias("v"), x["base"].alias("base"), x["size"].alias("size"), x["c"].alias("c"))
 
             return F.transform(s, moved)
 
@@ -347,7 +367,9 @@ def mail(key: str, value: Column) -> Column:
 
     local = F.substring_index(value, "@", 1)
     turned = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.transform(_chars(local), place), turn)
-    text = F.array_join(F.transform(turned, lambda x: F.chr(x["base"] + x["v"])), "")
+    text = F.array_join(F.transform(turned, lambda x: F.when(x["size"] == 1, x["c"]).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(x["base"] + x["v"]), 4, "0")), "UTF-16BE")
+    )), "")
     return F.concat(text, F.substring(value, F.length(local) + 1, F.length(value)))
 
 

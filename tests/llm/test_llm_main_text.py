@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -79,3 +80,109 @@ def test_frame_keeps_other_columns(spark):
 
 def test_empty_table(spark):
     assert op.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+TEXT = [
+    f"This is paragraph number {i}, and it has quite some words in it. " + "It goes on and on with plain sentences, as texts do. " * 5
+    for i in range(3)
+]
+BODY = "".join(f"<p>{t}</p>" for t in TEXT)
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/x>News</a></li></ul></nav>"
+WANT = "\n".join(t.strip() for t in TEXT)
+
+
+@pytest.mark.parametrize("page", [
+    '<article class="post type-post tag-politics">{}</article>', '<div class="content with-sidebar">{}</div>',
+    '<div id="wrap" class="no-sidebar">{}</div>', "<form action=x><input type=hidden><input type=submit>{}</form>",
+    '<article><section id="discussion">{}</section></article>', '<section id="search-methods">{}</section>',
+    '<section id="social-effects">{}</section>', '<div class="content-sidebar-wrap">{}</div>',
+    '<article>{}</article><section id=comments><h3>Comments</h3><p>I liked this a lot, thank you. It was long.</p></section>',
+    '<main><article>{}</article><div class="comment-list"><p>I liked this a lot, thank you. It was long.</p></div></main>',
+    '<article>{}</article><div class="post-comments"><p>I liked this a lot, thank you. It was long.</p></div>',
+    '<article>{}<span class="advert">Buy our shoes now!</span><span hidden>not shown</span></article>',
+    '<article>{}<p style="display: none">This is not shown to anybody who reads the page, ever.</p></article>',
+])
+@pytest.mark.parametrize("before", ["", NAV])
+def test_names_do_not_decide_over_the_text(page, before):
+    assert op.main_text(f"<html><body>{before}{page.format(BODY)}<footer>(c) X</footer>") == WANT
+
+
+def test_headings_and_heads_of_articles_stay():
+    page = f'<div class="entry-header"><h1>A title of words</h1></div><h2 id="search-methods">Search methods</h2>{BODY}'
+    assert op.main_text(page) == "A title of words\nSearch methods\n" + WANT
+
+
+@pytest.mark.parametrize("name, bad", [
+    ("comments", True), ("comment-list", True), ("site-header", True), ("cookie-banner", True), ("ad-slot", True), ("ad2", True),
+    ("related-posts", True), ("post-comments", True), ("sidebar", True), ("tag-politics", False), ("with-sidebar", False),
+    ("entry-header", False), ("shadow", False), ("header-image-credit", False), ("adwords", False), ("", False), ("42", False),
+])
+def test_names_of_boilerplate(name, bad):
+    assert op.marks_boilerplate(name) == bad
+
+
+@pytest.mark.parametrize("odd", [
+    "<![foo[ x ]]>", "<![CDATA[ x > y ]]>", "<![if !IE]>", "<![endif]-->", "<!foo>", "<!>", "<![", "<?xml x?>", "<!-->", "<!--->",
+    "<!-- x -- y --!>", "<!ELEMENT a>", "<![temp[", "</>", "<!ATTLIST x>",
+])
+def test_odd_markup_is_passed_over(odd):
+    one, two = "One long sentence stands here, as it should.", "Two long sentences stand here, as they should."
+    assert op.main_text(f"<p>{one}</p>{odd}<p>{two}") == f"{one}\n{two}"
+
+
+@pytest.mark.parametrize("reference, char", [
+    ("&#" + "9" * 5000 + ";", "�"), ("&#000000000065;", "A"), ("&#x" + "f" * 5000 + ";", "�"), ("&#X0000000041;", "A"),
+    ("&#00000000;", "�"), ("&amp;#65;", "&#65;"),
+])
+def test_long_references(reference, char):
+    assert op.main_text(f"<p>A sentence of words, {reference} and more of them.") == f"A sentence of words, {char} and more of them."
+
+
+@pytest.mark.parametrize("page", [
+    "<span>" * 30_000 + "</i>" * 30_000, "<i><div>" + "<span>" * 30_000 + "</i>" * 30_000, "<div>" * 30_000 + "</div>" * 30_000,
+    "<!--" * 30_000, "<![" * 30_000, "<a x='" * 20_000, "</a" * 30_000, "<?" * 30_000, "<select>" + "<option>x" * 30_000,
+    "<table><tr><td>" * 10_000 + "x", "<span hidden>" * 30_000 + "x", "<div><p>Some words are here, and more.</p></div>" * 10_000,
+])
+def test_time_grows_with_the_page(page):
+    start = time.monotonic()
+    op.main_text(page)
+    assert time.monotonic() - start < 10
+
+
+def test_labels_of_whole_small_pages_against_all_labellings():
+    """Costs, ties and cut of pages of few blocks, each tried in every labelling."""
+    rng = random.Random(5)
+    parts = [
+        "<p>Some words of a text, which goes on here.</p>", "<p><a href=x>Link</a></p>", "<div class=ad><p>Buy it now, or be sad.</p></div>",
+        "<article><p>One sentence is here, with a few words.</p></article>", "<li>item", "<h2>Heading</h2>", "<p>Short.</p>",
+        "<div><p>Deep <b>text</b> in a part of its own, of many words and more.</p></div>",
+    ]
+    for _ in range(60):
+        parser = op.Blocks()
+        parser.feed("".join(rng.choice(parts) for _ in range(rng.randint(1, 7))))
+        parser.close()
+        blocks = parser.blocks()
+        ties, last = [], {}
+        for i, b in enumerate(blocks):
+            if i:
+                ties.append((i - 1, i, op.ADJACENT * 0.5 ** ((b.depth + blocks[i - 1].depth - 2 * b.common) / 2)))
+            if b.parent in last:
+                ties.append((last[b.parent], i, op.SIBLING))
+            last[b.parent] = i
+
+        def loss(labels, blocks=blocks, ties=ties):
+            own = sum(max(c, 0) if not good else max(-c, 0) for c, good in zip(map(op.block_cost, blocks), labels, strict=True))
+            return own + sum(w for a, b, w in ties if labels[a] != labels[b])
+
+        best = min(loss(x) for x in itertools.product((False, True), repeat=len(blocks)))
+        assert loss(op.content(blocks)) == pytest.approx(best)
+
+
+def test_rows_of_pages(spark):
+    rows = [(1, "u", BODY, 7), (1, "u", BODY, 7), (None, None, None, 8), (2, "v", "", 9), (3, "w", "<p>" + "Words of a text, and more. " * 40_000, 1)]
+    got = op.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, `odd.name` int")).collect()
+    assert [(r["page_id"], r["odd.name"], r["n_chars"]) for r in got[:4]] == [(1, 7, len(WANT)), (1, 7, len(WANT)), (None, 8, 0), (2, 9, 0)]
+    assert got[4]["n_chars"] == 27 * 40_000 - 1
+    clash = op.extracted(spark.createDataFrame([(1, "x", BODY, 5)], "page_id int, text string, html string, n_chars int")).first()
+    assert clash["text"] == WANT and clash["n_chars"] == len(WANT)
+    assert op.extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0

@@ -149,3 +149,21 @@ def test_network_is_a_permutation(spark, m, n):
     big = lambda x: F.lit(x).cast("bigint")
     out = pairs.select(op.permuted("k", "t", F.col("a"), F.col("b"), big(m), big(n)).alias("p")).collect()
     assert {(r.p.a, r.p.b) for r in out} == {(a, b) for a in range(m) for b in range(n)}
+
+
+def test_very_long_mail_like_texts(spark):
+    rows = [("x a@" + "b." * 100_000 + "1",), ("x a@" + "bb." * 100_000 + "com y",), ("a@" * 100_000,), ("x a@" + "b" * 200_000 + ".com",)]
+    got = op.pseudonymised(spark.createDataFrame(rows, "text string"), "k").collect()
+    assert [r["n_pseudonyms"] for r in got] == [0, 1, 0, 0]
+    assert [r["text"] == t for r, (t,) in zip(got, rows, strict=True)] == [True, False, True, True]
+
+
+def test_local_parts_of_other_alphabets(spark):
+    names = ["müller@example.org", "łukasz@x.pl", "иван@mail.ru", "李雷@ex.cn", "δοκιμή@x.gr"]
+    got = [r["text"] for r in op.pseudonymised(spark.createDataFrame([(n,) for n in names], "text string"), "k").collect()]
+    for old, new in zip(names, got, strict=True):
+        a, b = old.split("@"), new.split("@")
+        assert a[1] == b[1] and len(a[0]) == len(b[0]) and a[0] != b[0]
+        assert all(x != "�" and x.isalpha() for x in b[0])
+    twice = [r["text"] for r in op.pseudonymised(spark.createDataFrame([(n,) for n in names], "text string"), "k").collect()]
+    assert twice == got
