@@ -10,8 +10,7 @@ merged, and it is tried again with every later batch and at the start of every
 run until it can be read.  Records that do not fit their header, and items
 whose sale is not known, go to the reject table.
 
-One line is one record unless ``multiline`` says of a shop's entity that its
-exports have line ends inside quotes; it holds for files of every size.
+Records go on over line ends inside quotes, in files of every size.
 """
 
 from __future__ import annotations
@@ -46,8 +45,6 @@ PENDING_SCHEMA = T.StructType([
     T.StructField("lote", T.StringType()), T.StructField("waits", T.BooleanType()),
     T.StructField("error_message", T.StringType()),
 ])
-#: For all files, or by shop and entity.
-Multiline = bool | Callable[[str, str], bool]
 FOUND = "path string, modificationTime timestamp, length bigint, content binary"
 _MONTH = T.StructField("mes", T.DateType())
 
@@ -71,42 +68,24 @@ def _from_path(part: int) -> Column:
 class SyncBatch:
     """One batch of files merged into the tables of a store."""
 
-    def __init__(
-        self, store: TableStore, clock: Callable[[], datetime] = _utc_now, multiline: Multiline = False,
-    ):
+    def __init__(self, store: TableStore, clock: Callable[[], datetime] = _utc_now):
         self.store = store
         self.spark = store.spark
         self.clock = clock
-        self.multiline = multiline
-
-    def _joins_lines(self, path: str) -> bool:
-        """Whether the records of a file may go over several lines."""
-        shop, entity = path.split("/")[-3:-1]
-        return self.multiline if isinstance(self.multiline, bool) else bool(self.multiline(shop, entity))
 
     def _scan(self, paths: list[str]) -> tuple[list[DataFrame], list[DataFrame], list[tuple[str, str]]]:
-        """What ``_scan_alike`` finds in the files of one line a record, and in the others."""
-        kinds = [[p for p in paths if self._joins_lines(p) == kind] for kind in (False, True)]
-        rows, malformed, failed = zip(*[
-            self._scan_alike(some, kind) for some, kind in zip(kinds, (False, True), strict=True) if some
-        ], strict=True)
-        return sum(rows, []), sum(malformed, []), sum(failed, [])
-
-    def _scan_alike(
-        self, paths: list[str], multiline: bool
-    ) -> tuple[list[DataFrame], list[DataFrame], list[tuple[str, str]]]:
         """Rows and malformed records of the files that can be read, and (path, error) of the others.
 
         When reading together fails, the files are halved until the ones that
         fail stand alone, so k bad files cost about k times log n more scans.
         """
         try:
-            parts = [csv_files.scan_group(self.spark, s, multiline) for s in csv_files.scan_shapes(self.spark, paths)]
+            parts = [csv_files.scan_group(self.spark, s) for s in csv_files.scan_shapes(self.spark, paths)]
         except Exception as error:  # a shop's broken export must not stop the others
             if len(paths) == 1:
                 return [], [], [(paths[0], str(error))]
             half = len(paths) // 2
-            a, b = self._scan_alike(paths[:half], multiline), self._scan_alike(paths[half:], multiline)
+            a, b = self._scan(paths[:half]), self._scan(paths[half:])
             return a[0] + b[0], a[1] + b[1], a[2] + b[2]
         shop = _from_path(3).alias("client_key")
         return [r.select(shop, "*") for r, _ in parts], [b.select(shop, "*") for _, b in parts], []
@@ -259,14 +238,13 @@ class SyncBatch:
 def incremental_sync(
     spark: SparkSession, inbox: str, store: TableStore, checkpoint: str,
     interval: str | None = None, max_files: int = 1000,
-    clock: Callable[[], datetime] = _utc_now, multiline: Multiline = False,
+    clock: Callable[[], datetime] = _utc_now,
 ) -> StreamingQuery:
     """Merge new files of the inbox; once through by default, else every ``interval``.
 
     Files that earlier runs could not read are tried first.
-    ``multiline`` says, for all or by shop and entity, whether records may go over several lines inside quotes.
     """
-    batch = SyncBatch(store, clock, multiline)
+    batch = SyncBatch(store, clock)
     batch.retry()
     found = (
         spark.readStream.format("binaryFile").schema(FOUND).option("maxFilesPerTrigger", max_files)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from shopgrain.operators import load, normalize
 from shopgrain.operators.publish import CACHE, HISTORY, publicar_insights
-from shopgrain.sources.csv_files import csv_parts, csv_scan, detect_separator
+from shopgrain.sources import csv_files
+from shopgrain.sources.csv_files import csv_parts, csv_scan, detect_separator, inside_after
 from shopgrain.sources.tables import TableStore
 from shopgrain.streaming.sync import incremental_sync, table_schema
 
@@ -259,24 +260,65 @@ def test_a_broken_file_waits_and_the_others_are_loaded(spark, tmp_path):
     assert [r.path.split("/")[-3] for r in waiting] == ["c"]
 
 
-def test_quoted_line_ends_of_the_shops_that_have_them(spark, tmp_path):
-    """A record over two lines is one record where multiline says so."""
+def test_quoted_line_ends_of_all_shops(spark, tmp_path):
+    """A record over two lines is one record."""
     for shop in ("a", "b"):
         put(tmp_path, f"inbox/{shop}/clientes/c.csv", 'id,nome,email\nc1,"Ana\nMaria",a@b.co\nc2,Rui,\n')
         put(tmp_path, f"inbox/{shop}/vendas/v.csv", 'id,vendedor,data,total\n1,"Jo\nao",2024-01-02,5\n2,Rui,2024-01-03,7\n')
-
-    def pull(name, multiline):
-        store = TableStore(spark, str(tmp_path / name / "tables"))
-        incremental_sync(
-            spark, str(tmp_path / "inbox"), store, str(tmp_path / name / "cp"), clock=lambda: NOW, multiline=multiline,
-        ).awaitTermination()
-        keys = {(r.client_key, r.venda_key) for r in store.read("vendas").collect()}
-        return keys, {(r.client_key, r.cliente_key) for r in store.read("clientes").collect()}
-
-    every = {(s, v) for s in "ab" for v in "12"}, {(s, c) for s in "ab" for c in ("c1", "c2")}
-    assert pull("all", True) == every
-    sales, _ = pull("one", lambda shop, entity: (shop, entity) == ("a", "vendas"))
-    assert sales == every[0] - {("b", "1")}
+    store = TableStore(spark, str(tmp_path / "tables"))
+    incremental_sync(spark, str(tmp_path / "inbox"), store, str(tmp_path / "cp"), clock=lambda: NOW).awaitTermination()
+    assert {(r.client_key, r.venda_key) for r in store.read("vendas").collect()} == {(s, v) for s in "ab" for v in "12"}
+    names = {(r.client_key, r.cliente_key, r.nome) for r in store.read("clientes").collect()}
+    assert names == {(s, c, n) for s in "ab" for c, n in (("c1", "Ana\nMaria"), ("c2", "Rui"))}
+
+
+@pytest.mark.parametrize("line, sep, outside, inside", [
+    ("a;b", ";", False, True), ('"a";"b"', ";", False, False), ('"a', ";", True, True), ('a"', ";", False, False), ('a"b;c', ";", False, True),
+    ('"a""', ";", True, True), ('x";"y', ";", True, True), ('"a""";b', ";", False, False), ('"a"b";c', ";", False, False),
+    ('  "a', ";", True, True), ('"a"  ;b', ";", False, False), ('""', ";", False, True), ('"', ";", True, False), ("", ",", False, True),
+    ('\t"a', "\t", True, True), ('a,"b,c', ",", True, True), ('a,"b",""', ",", False, False), ('"a" b', ",", True, True),
+])
+def test_states_at_line_ends(line, sep, outside, inside):
+    assert (inside_after(line, sep, False), inside_after(line, sep, True)) == (outside, inside)
+
+
+@pytest.mark.parametrize("block", ["128m", "37", "64", "200"])
+def test_quoted_line_ends_on_block_borders(spark, tmp_path, block):
+    """Records of several lines, blank lines in them, doubled quotes and long texts, in blocks of few bytes."""
+    records = []
+    for i in range(60):
+        text = ["plain", "two\nlines", 'a ""b"" c\n\nlast', "x;y\n;z\n" * (i % 7) + "end", "", 'word"inside'][i % 6]
+        records.append((str(i), text))
+    body = "".join(f'{k};{t};z\n' if t in ("plain", "", 'word"inside') else f'{k};"{t}";z\n' for k, t in records)
+    put(tmp_path, "in/1.csv", "k;t;u\n" + body)
+    put(tmp_path, "in/2.csv", "k;t;u\r\n" + body.replace("\n", "\r\n"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows, bad = csv_parts(spark, str(tmp_path / "in"))
+        got = sorted((r._file[-5], r._line, r.k, r.t) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(k, t.replace('""', '"').strip()) for k, t in records]
+    assert got == [(f, n, k, t) for f in "12" for n, (k, t) in enumerate(want, 1)]
+    assert bad.count() == 0
+
+
+def test_a_quote_that_never_closes_costs_a_logged_stretch(spark, tmp_path, monkeypatch):
+    lines = [f"{i};n{i};x" for i in range(50)]
+    lines[10] = '10;"open;x'
+    put(tmp_path, "1.csv", "a;b;c\n" + "\n".join(lines) + "\n")
+    lines[20] = '20;"two\nlines";x'
+    put(tmp_path, "2.csv", "a;b;c\n" + "\n".join(lines) + "\n")
+    monkeypatch.setattr(csv_files, "MAX_LINES", 8)
+    rows, bad = csv_parts(spark, str(tmp_path / "1.csv"))
+    assert {r.a for r in rows.collect()} == {str(i) for i in range(50)} - {"10"} | {r.a for r in rows.collect() if r.a == "10"}
+    assert rows.count() + bad.count() == 50
+    rows, bad = csv_parts(spark, str(tmp_path / "2.csv"))
+    kept = {r.a for r in rows.collect()}
+    assert kept >= {str(i) for i in range(50)} - {"10", "20"}
+    assert rows.count() + bad.count() == 51
 
 
 def test_an_empty_first_result_can_be_read_back(spark, tmp_path):
