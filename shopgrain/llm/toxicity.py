@@ -34,9 +34,9 @@ from shopgrain.sources.shared import materialize
 SIZES = (3, 4, 5)
 #: n-grams are told apart by this many bits of a hash.
 BITS = 20
-FEATURES = 4096
+FEATURES = 4096  # at most 2**16
 #: Bound of the sample of labelled rows that the regression is fitted on; ratios are counted over all of them.
-SAMPLE = 40_000
+SAMPLE = 20_000
 HOLD_OUT = 5
 #: Up to this many labelled ids are broadcast; beyond that labels and texts are shuffled by id.
 BROADCAST_LABELS = 1_000_000
@@ -146,8 +146,11 @@ def ratios(counts: DataFrame, n_toxic: int, n_clean: int, features: int = FEATUR
     return rows.orderBy(F.desc(F.abs("ratio") / error), "bucket").limit(features).select("bucket", "ratio")
 
 
-def sample(train: DataFrame, n_rows: int, buckets: np.ndarray, size: int = SAMPLE) -> list[tuple[int, list[int]]]:
-    """(toxic, places of its features) of at most ``size`` labelled rows, chosen by a hash and so the same each time."""
+def sample(train: DataFrame, n_rows: int, buckets: np.ndarray, size: int = SAMPLE) -> pa.Table:
+    """toxic and found (places of its features as 16-bit numbers) of at most ``size`` labelled rows.
+
+    The rows are chosen by a hash and so the same each time.
+    """
     place = F.xxhash64("doc_id", "text")
     limit = min(2**64 * size // max(n_rows, 1), 2**64 - 1) - 2**63
     chosen = train.select("toxic", "text", place.alias("place")).filter(F.col("place") <= limit)
@@ -159,30 +162,30 @@ def sample(train: DataFrame, n_rows: int, buckets: np.ndarray, size: int = SAMPL
             found = []
             for text in batch.column("text").to_pylist():
                 hit = feature[gram_set(text)]
-                found.append(hit[hit >= 0])
+                found.append(hit[hit >= 0].astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))],
-                ["place", "toxic", "found"],
+                [batch.column("place"), batch.column("toxic"), pa.array(found, pa.binary())], ["place", "toxic", "found"]
             )
 
-    rows = chosen.mapInArrow(look_up, "place long, toxic int, found array<int>")
+    rows = chosen.mapInArrow(look_up, "place long, toxic int, found binary")
     # The filter leaves about ``size`` rows; the limit makes that a bound.
-    return [(r["toxic"], r["found"]) for r in rows.orderBy("place", "toxic").limit(size).collect()]
+    return rows.orderBy("place", "toxic").limit(size).select("toxic", "found").toArrow()
 
 
-def fitted(rows: list[tuple[int, list[int]]], values: np.ndarray) -> tuple[np.ndarray, float]:
+def fitted(rows: pa.Table, values: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a penalised logistic regression; a feature's value is its log-count ratio."""
-    y = np.array([t for t, _ in rows], float)
-    cols = np.array([c for _, found in rows for c in found], np.int64)
-    at = np.repeat(np.arange(len(rows)), [len(found) for _, found in rows])
+    y = rows.column("toxic").to_numpy().astype(float)
+    found = [np.frombuffer(f, np.uint16) for f in rows.column("found").to_pylist()]
+    cols = np.concatenate(found).astype(np.int32)
+    at = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in found])
     x = values[cols]
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     w = np.append(np.zeros(len(values)), np.log(share / (1 - share)))
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        odds = np.bincount(at, weights=x * w[cols], minlength=len(rows)) + w[-1]
+        odds = np.bincount(at, weights=x * w[cols], minlength=len(y)) + w[-1]
         miss = (0.5 + 0.5 * np.tanh(0.5 * odds)) - y
-        slope = np.bincount(cols, weights=x * miss[at], minlength=len(values)) / len(rows) + PENALTY * w[:-1]
+        slope = np.bincount(cols, weights=x * miss[at], minlength=len(values)) / len(y) + PENALTY * w[:-1]
         slope = np.append(slope, miss.mean())
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
         w = w - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
