@@ -131,3 +131,97 @@ FROM judged
 
 
 ORACLE["op5_quality_rules"] = _weak_supervision()
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of an expression; the query has the table ``crc`` with its column ``steps``."""
+    size, byte = f"octet_length(encode({text}))", f"('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, {size}), lambda i: {byte})), "
+            "lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295)")
+
+
+_CRC_TABLE = """crc AS (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce(
+        [i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) AS steps
+)"""
+
+
+def _spelling() -> str:
+    """Near words share the word without one letter, at the same place or as a word; a way to the root has few steps."""
+    steps = 8
+    ways = "".join(
+        f", w{i} AS (SELECT w.word, coalesce(f.form, w.root) AS root FROM w{i - 1} w LEFT JOIN f ON f.word = w.root)"
+        for i in range(1, steps + 1)
+    )
+    return rf"""
+WITH {_CRC_TABLE}, found AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents
+), hashed AS (
+    SELECT run, k, {_crc32("doc || ':' || run")} AS h
+    FROM (SELECT doc, run, count(*) AS k FROM found WHERE length(run) >= 7 GROUP BY ALL), crc
+), words AS MATERIALIZED (
+    SELECT word, sum(k)::BIGINT AS n
+    FROM (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                    ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cut AS MATERIALIZED (
+    SELECT word, n, length(word) AS l, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+    SELECT DISTINCT * FROM (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n
+        FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+        UNION ALL SELECT c.word, c.n, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest
+        UNION ALL SELECT w.word, w.n, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest)
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n
+    FROM pairs GROUP BY word
+), forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+           CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), f AS (
+    SELECT word, form FROM forms WHERE form IS NOT NULL
+), w0 AS (
+    SELECT word, word AS root FROM words
+){ways}
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN w{steps} USING (word)
+"""
+
+
+ORACLE["op12_spelling_variants"] = _spelling()
+
+ORACLE["op13_conversation_trie"] = rf"""
+WITH {_CRC_TABLE}, t AS (
+    SELECT conv_id, turn, length(coalesce(text, '')) AS n,
+           sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS MATERIALIZED (
+    SELECT conv_id, list({{'g': g, 'n': n}} ORDER BY turn NULLS FIRST, g) AS l FROM t GROUP BY conv_id
+), h AS MATERIALIZED (
+    SELECT conv_id, l, ({_crc32("conv_id::VARCHAR")} % 6)::INT AS h FROM c, crc
+), f AS MATERIALIZED (
+    SELECT h.conv_id, list_concat(coalesce(list_slice(b.l, 1, h.h), []), list_slice(h.l, h.h + 1, len(h.l))) AS l
+    FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100
+), p AS MATERIALIZED (
+    SELECT conv_id, d, d = len(l) AS last, CASE WHEN d > 0 THEN l[d].n ELSE 0 END AS chars,
+           sha256(array_to_string(list_transform(list_slice(l, 1, d), lambda x: x.g), ',')) AS k,
+           CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(list_slice(l, 1, d - 1), lambda x: x.g), ',')) END AS up
+    FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1))::INT AS d FROM f)
+), n AS MATERIALIZED (
+    SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+    FROM p GROUP BY d, k
+), kids AS (
+    SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), m AS MATERIALIZED (
+    SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, k)
+), sums AS (
+    SELECT p.d, p.k, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.chars)::BIGINT AS saved_tokens
+    FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY p.d, p.k
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN sums USING (d, k) LEFT JOIN m o ON o.d = m.d - 1 AND o.k = m.up
+"""

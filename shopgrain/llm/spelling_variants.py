@@ -42,6 +42,8 @@ FACTOR = 10
 PLANTED = 31
 
 WORDS_PER_TASK = 20_000
+#: Words of more code points are compared without the built-in distance.
+LONG = 256
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,21 +73,27 @@ def word_counts(words: DataFrame, min_length: int = MIN_LENGTH, min_count: int =
     return counted.filter(F.col("n") >= min_count)
 
 
-def dealt_letters(word: Column, parts: int) -> Column:
-    """The (letter, how manieth, part) of a word in the order of the letters.
+def part_digests(word: Column, parts: int) -> Column:
+    """For each part the exclusive or of the digests of the (letter, how manieth) that are dealt to it.
 
-    Equal letters stand together, so a letter is numbered by its distance from the first one.
+    Equal letters stand together in the sorted word, so one walk numbers them,
+    in time that grows with the word.
     """
-    letters = F.transform(F.array_sort(F.split(word, "")), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    none = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("c"), F.lit(0).alias("nth"), *[none.alias(f"part{q}") for q in range(parts)])
 
-    def number(every: Column) -> Column:
-        alone = F.transform(every, lambda x: x["c"])
-        nth = F.transform(every, lambda x: F.struct(x["c"].alias("c"), (x["i"] - F.array_position(alone, x["c"])).alias("nth")))
-        return F.transform(nth, lambda x: F.struct(
-            x["c"].alias("c"), x["nth"].alias("nth"), F.pmod(F.hash(x["c"], x["nth"]), F.lit(parts)).alias("part"),
-        ))
+    def step(s: Column, c: Column) -> Column:
+        def add(at: Column) -> Column:
+            part = F.pmod(at["digest"], F.lit(parts))
+            return F.struct(c.alias("c"), at["nth"].alias("nth"), *[
+                F.when(part == q, s[f"part{q}"].bitwiseXOR(at["digest"])).otherwise(s[f"part{q}"]).alias(f"part{q}")
+                for q in range(parts)
+            ])
 
-    return let(letters, number)
+        nth = F.when(s["c"] == c, s["nth"] + 1).otherwise(F.lit(0))
+        return let(let(nth, lambda n: F.struct(n.alias("nth"), F.xxhash64(c, n).alias("digest"))), add)
+
+    return F.aggregate(F.array_sort(F.split(word, "")), start, step)
 
 
 def signatures(words: DataFrame, parts: int, left_out: int, shorter: Column) -> DataFrame:
@@ -96,21 +104,36 @@ def signatures(words: DataFrame, parts: int, left_out: int, shorter: Column) ->
     half = F.floor(shorter / 2).cast("int")
     rest = (shorter - half).cast("int")
     rows = words.withColumns({
-        "length": shorter.cast("int"), "dealt": dealt_letters(F.col("word"), parts),
+        "length": shorter.cast("int"), "dealt": part_digests(F.col("word"), parts),
         "front": F.substring(F.col("word"), F.lit(1), half),
         "back": F.substring(F.col("word"), F.char_length("word") - rest + 1, rest),
     })
-    def part(q: int) -> Column:
-        return F.xxhash64(F.filter("dealt", lambda x: x["part"] == q))
-
-    rows = rows.withColumns({f"part{q}": part(q) for q in range(parts)})
     keys = [
-        F.xxhash64(F.lit(f"{side} {out}"), "length", side, *[f"part{q}" for q in range(parts) if q not in out])
+        F.xxhash64(F.lit(f"{side} {out}"), "length", side, *[f"dealt.part{q}" for q in range(parts) if q not in out])
         for side in ("front", "back") for out in combinations(range(parts), left_out)
     ]
     return rows.select("word", "n", F.explode(F.array(*keys)).alias("signature"))
 
 
+def one_edit(word: Column, other: Column) -> Column:
+    """Whether the words, ``other`` not shorter, differ by one inserted, deleted or replaced code point.
+
+    The built-in distance takes time by the square of the length, so words
+    over LONG are compared letter by letter: what follows the first difference
+    has to be equal.
+    """
+    def compared(first: Column) -> Column:
+        behind = first + (F.char_length(word) == F.char_length(other)).cast("int")
+        rest, other_rest = F.substring(word, behind, F.char_length(word)), F.substring(other, first + 1, F.char_length(other))
+        return (first > 0) & (rest == other_rest)
+
+    unequal = F.zip_with(F.split(word, ""), F.split(other, ""), lambda a, b: ~a.eqNullSafe(b))
+    slow = let(F.array_position(unequal, True).cast("int"), compared)
+    return F.when(F.char_length(other) <= LONG, F.levenshtein(word, other, 1) == 1).otherwise(
+        (F.char_length(other) - F.char_length(word) <= 1) & slow
+    )
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, other, other_n of all pairs one edit apart, each pair once; ``words`` has word (distinct) and n."""
     length = F.char_length("word")
@@ -123,7 +146,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     def met(left: DataFrame, right: DataFrame, more: Column | None = None) -> DataFrame:
         right = right.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "signature")
-        near = F.levenshtein("word", "other", 1) == 1
+        near = one_edit(F.col("word"), F.col("other"))
         rows = left.hint("merge").join(right, "signature").filter(near if more is None else more & near)
         return rows.select("word", "n", "other", "other_n")
 
