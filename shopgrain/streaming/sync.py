@@ -7,8 +7,10 @@ ordinary CSV, one scan per header shape, and merges them into the tables.
 
 A file that cannot be read is set aside: the other files of its batch are
 merged, and it is tried again with every later batch and at the start of every
-run until it can be read.  Records that do not fit their header, and items
-whose sale is not known, go to the reject table.
+run until it can be read.  Records that do not fit their header go to the
+reject table.  So do items whose sale is not known, which wait as well: the
+batch that brings the sale merges them, so the order in which the two arrive
+does not matter.  The wait ends after ``max_wait``.
 
 Records go on over line ends inside quotes, in files of every size.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,10 @@ PENDING_SCHEMA = T.StructType([
     T.StructField("lote", T.StringType()), T.StructField("waits", T.BooleanType()),
     T.StructField("error_message", T.StringType()),
 ])
+#: Items whose sale has not come yet, laid out so that a batch reads the parts of its sales only.
+WAITING = "itens_espera"
+WAITING_PARTS = 64
+MAX_WAIT = timedelta(days=30)
 FOUND = "path string, modificationTime timestamp, length bigint, content binary"
 _MONTH = T.StructField("mes", T.DateType())
 
@@ -57,6 +63,15 @@ def table_schema(name: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
 
+def waiting_schema() -> T.StructType:
+    items = [f for f in table_schema("itens_venda").fields if f.name != "mes"]
+    return T.StructType([*items, T.StructField("desde", T.TimestampNTZType()), T.StructField("parte", T.IntegerType())])
+
+
+def _waiting_part() -> Column:
+    return F.pmod(F.xxhash64("venda_key"), F.lit(WAITING_PARTS)).cast("int").alias("parte")
+
+
 def _utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -68,8 +83,11 @@ def _from_path(part: int) -> Column:
 class SyncBatch:
     """One batch of files merged into the tables of a store."""
 
-    def __init__(self, store: TableStore, clock: Callable[[], datetime] = _utc_now):
+    def __init__(
+        self, store: TableStore, clock: Callable[[], datetime] = _utc_now, max_wait: timedelta = MAX_WAIT,
+    ):
         self.store = store
+        self.max_wait = max_wait
         self.spark = store.spark
         self.clock = clock
 
@@ -139,6 +157,7 @@ class SyncBatch:
                 sales.withColumn("_known", F.lit(True)), ["client_key", "venda_key"], "left"
             ))
             rows = found.filter("_known").drop("_known")
+            self._keep_waiting(found.filter("_known IS NULL"), batch, now)
             orphans = found.filter("_known IS NULL").select(
                 "client_key", "_file", "_line",
                 F.concat(F.lit("linha "), F.col("_line"), F.lit(": venda desconhecida")).alias("_reason"),
@@ -153,6 +172,52 @@ class SyncBatch:
         store.merge(entity, rows, keys, parts, fn, batch, want)
         return rows, orphans
 
+    def _keep_waiting(self, items: DataFrame, batch: str, now: datetime) -> None:
+        """Let items wait for their sale; those of a later batch take the place of earlier ones, as in the table."""
+        want = waiting_schema()
+        rows = items.withColumn("desde", F.lit(now).cast("timestamp_ntz")).withColumn("parte", _waiting_part())
+        rows = materialize(rows.select(*want.fieldNames()))
+        if rows.limit(1).count():
+            self._change_waiting(rows, f"{batch}-espera", lambda kept, new: kept.unionByName(new))
+
+    def _change_waiting(
+        self, rows: DataFrame, batch: str, then: Callable[[DataFrame, DataFrame], DataFrame]
+    ) -> None:
+        """Take the waiting items of the sales of ``rows`` out; ``then`` says what stays in their parts."""
+        keys = ["client_key", "venda_key"]
+
+        def fn(old: DataFrame, new: DataFrame) -> DataFrame:
+            return then(old.join(new.select(*keys).distinct(), keys, "left_anti"), new)
+
+        self.store.merge(WAITING, rows, keys, ["client_key", "parte"], fn, batch, waiting_schema())
+
+    def _waiting_of(self, sales: DataFrame) -> DataFrame:
+        """Waiting items of these sales (client_key, venda_key); only the parts of the sales are read."""
+        keys = sales.select("client_key", "venda_key").distinct().withColumn("parte", _waiting_part())
+        return self.store.read(WAITING, waiting_schema()).join(keys, ["client_key", "parte", "venda_key"], "left_semi")
+
+    def _end_waits(self, sales: DataFrame | None, batch: str, now: datetime) -> None:
+        """Merge the waiting items of sales that have come, then let go of those that wait for too long.
+
+        It comes before the batch's own items, which take the place of earlier
+        ones, and may be repeated: what was merged already is merged again.
+        """
+        if not self.store.exists(WAITING):
+            return
+        want = waiting_schema().fieldNames()
+        if sales is not None:
+            come = materialize(self._waiting_of(sales).select(*want))
+            if come.limit(1).count():
+                items = come.drop("desde", "parte").withColumns({
+                    "_file": F.lit(None).cast("string"), "_line": F.lit(None).cast("bigint"),
+                })
+                self._merge("itens_venda", items, f"{batch}-vindos", now)
+                self._change_waiting(come, f"{batch}-vindos", lambda kept, _: kept)
+        old = self.store.read(WAITING, waiting_schema()).filter(F.col("desde") < F.lit(now - self.max_wait).cast("timestamp_ntz"))
+        old = materialize(old.select(*want))
+        if old.limit(1).count():
+            self._change_waiting(old, f"{batch}-velhos", lambda kept, _: kept)
+
     def _pending(self) -> list[str]:
         """Files set aside by earlier batches: as many as failed and were not read since."""
         rows = self.store.read(PENDING, PENDING_SCHEMA)
@@ -186,23 +251,30 @@ class SyncBatch:
         mark = zlib.crc32("\n".join(paths).encode())
         started, batch = self.clock(), f"{number}-{mark:08x}"
         still: list[tuple[str, str]] = []
+        sales = None
         for entity in ENTITIES:
             mine = [p for p in paths if p.split("/")[-2] == entity]
+            if entity == "itens_venda":
+                self._end_waits(sales, f"itens_venda-{batch}", started)
             if mine:
-                still += self._load_entity(entity, mine, batch, started)
+                failed_here, rows = self._load_entity(entity, mine, batch, started)
+                still += failed_here
+                sales = rows if entity == "vendas" else sales
         failed = {p for p, _ in still}
         stamp = f"{started:%Y%m%d%H%M%S%f}-{batch}"
         self._note(still, sorted(waiting - failed), stamp)
 
     def _load_entity(
         self, entity: str, paths: list[str], batch: str, started: datetime
-    ) -> list[tuple[str, str]]:
+    ) -> tuple[list[tuple[str, str]], DataFrame | None]:
+        """The files that could not be read, and the rows of the others."""
         frames, malformed, failed = self._scan(paths)
         errors = self.spark.createDataFrame(
             [(p.split("/")[-3], f"{p}: {e}") for p, e in failed], "client_key string, error_message string"
         ).groupBy("client_key").agg(
             F.array_join(F.sort_array(F.collect_set("error_message")), "\n").alias("error_message")
         )
+        good = None
         if not frames:
             read = written = self.spark.createDataFrame([], "client_key string")
         else:
@@ -232,19 +304,19 @@ class SyncBatch:
         self.store.save_result(
             "etl_logs", log.withColumn("lote", F.lit(f"{entity}-{batch}")), ["client_key", "lote"],
         )
-        return failed
+        return failed, good
 
 
 def incremental_sync(
     spark: SparkSession, inbox: str, store: TableStore, checkpoint: str,
     interval: str | None = None, max_files: int = 1000,
-    clock: Callable[[], datetime] = _utc_now,
+    clock: Callable[[], datetime] = _utc_now, max_wait: timedelta = MAX_WAIT,
 ) -> StreamingQuery:
     """Merge new files of the inbox; once through by default, else every ``interval``.
 
-    Files that earlier runs could not read are tried first.
+    Files that earlier runs could not read are tried first.  Items wait up to ``max_wait`` for their sale.
     """
-    batch = SyncBatch(store, clock)
+    batch = SyncBatch(store, clock, max_wait)
     batch.retry()
     found = (
         spark.readStream.format("binaryFile").schema(FOUND).option("maxFilesPerTrigger", max_files)

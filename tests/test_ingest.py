@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +8,7 @@ from shopgrain.operators.publish import CACHE, HISTORY, publicar_insights
 from shopgrain.sources import csv_files
 from shopgrain.sources.csv_files import csv_parts, csv_scan, detect_separator, inside_after
 from shopgrain.sources.tables import TableStore
-from shopgrain.streaming.sync import incremental_sync, table_schema
+from shopgrain.streaming.sync import WAITING, incremental_sync, table_schema
 
 NOW = datetime(2024, 6, 1, 12)
 
@@ -203,6 +203,32 @@ def test_stream_equals_batch_and_is_idempotent(spark, inbox):
     assert pick() == [("b", "1", None, 1.5)]
 
 
+SALES = "id,data,total\n1,2024-01-05,10\n2,2024-02-05,20\n3,2024-02-06,30\n"
+ITEMS = ["venda_id,produto_key,quantidade,preco\n1,p1,2,5\n2,p2,1,20\n9,p9,1,1\n", "venda_id,produto_key,quantidade,preco\n2,p3,4,5\n3,p1,3,10\n"]
+
+
+@pytest.mark.parametrize("order", ["0v1", "0 1v", "0 v 1"])
+def test_order_of_sales_and_items_does_not_matter(spark, tmp_path, order):
+    """Each word is a batch of files: the sales, the items, later items of one of the sales."""
+    store, now = TableStore(spark, str(tmp_path / "tables")), [NOW]
+    for n, names in enumerate(order.split()):
+        for name in names:
+            put(tmp_path, f"inbox/a/{'vendas' if name == 'v' else 'itens_venda'}/f{n}{name}.csv", SALES if name == "v" else ITEMS[int(name)])
+        incremental_sync(spark, str(tmp_path / "inbox"), store, str(tmp_path / "cp"), clock=lambda: now[0]).awaitTermination()
+    got = sorted((r.venda_key, r.produto_key, str(r.mes)) for r in store.read("itens_venda").collect())
+    together = any("0" in w and "1" in w for w in order.split())
+    second = [("2", "p2", "2024-02-01")] * together + [("2", "p3", "2024-02-01")]
+    assert got == [("1", "p1", "2024-01-01"), *second, ("3", "p1", "2024-02-01")]
+    waits = lambda: [(r.venda_key, r.produto_key) for r in store.read(WAITING).collect()]
+    assert waits() == [("9", "p9")]
+    if order == "0 v 1":
+        # The wait of an item whose sale never comes ends at last; a sale that comes later has none.
+        now[0] = NOW + timedelta(days=31)
+        put(tmp_path, "inbox/a/clientes/c.csv", "id,nome,ativo\nc1,Ana,sim\n")
+        incremental_sync(spark, str(tmp_path / "inbox"), store, str(tmp_path / "cp"), clock=lambda: now[0]).awaitTermination()
+        assert waits() == []
+
+
 def test_a_stray_quote_costs_its_own_line_only(spark, tmp_path):
     put(tmp_path, "q.csv", 'a;b;c\n1;a"b;"c\n2;x;5\n3;y"z";6\n4;z;7\n')
     assert sorted(r.a for r in csv_scan(spark, str(tmp_path / "q.csv")).collect()) == ["1", "2", "3", "4"]
