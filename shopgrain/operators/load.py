@@ -40,13 +40,14 @@ def _replace(current: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame
 def upsert_vendas(current: DataFrame, incoming: DataFrame, clientes: DataFrame) -> DataFrame:
     """Replace sales by key; an unknown customer becomes null."""
     keys = ["client_key", "venda_key"]
-    known = clientes.select("client_key", "cliente_key", F.lit(True).alias("_known"))
-    last = _last_rows(incoming, keys)
-    # Sales without a customer, often most of them, stay out of the join: they are one key of it.
-    named = last.filter(F.col("cliente_key").isNotNull()).join(
-        known, ["client_key", "cliente_key"], "left"
-    ).withColumn("cliente_key", F.when(F.col("_known"), F.col("cliente_key"))).drop("_known")
-    fresh = named.unionByName(last.filter(F.col("cliente_key").isNull()))
+    known = clientes.select("client_key", F.col("cliente_key").alias("_customer"), F.lit(True).alias("_known"))
+    # Sales without a customer, often most of them, would be one key of the join; under a key of their own, which no
+    # customer has, they are dealt evenly.
+    own = F.concat(F.lit("\0"), F.col("venda_key"))
+    last = _last_rows(incoming, keys).withColumn("_customer", F.coalesce("cliente_key", own))
+    fresh = last.join(known, ["client_key", "_customer"], "left").withColumn(
+        "cliente_key", F.when(F.col("_known"), F.col("cliente_key"))
+    )
     return _replace(current, fresh, keys)
 
 
