@@ -8,7 +8,9 @@ readers can follow records from one version to the next.
 
 The size of a record is the UTF-8 bytes of its text plus one; a null text has
 none.  Records without an id are dealt by their text.  Repeated rows share a
-slot and get places of their own.  An empty table gives no rows.
+slot and get places of their own, which follow the order of the files.  Texts
+are measured whole where they lie.  Columns are taken by name, so further ones
+never clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shopgrain.llm.columns import named, whole
+from shopgrain.llm.columns import named, own, whole
 from shopgrain.sources import files
 from shopgrain.sources.shared import materialize
 
 SLOTS = 4096
+#: Parts of a slot that are numbered apart, as one id may hold a large share of all rows.
+PARTS = 16
 
 
 def measured(docs: DataFrame, slots: int = SLOTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -118,29 +122,31 @@ def rebalance(maps: SlotMaps, sizes: DataFrame, shards: int, slots: int = SLOTS)
     return maps.store(edited_map(sizes, maps.read().select("virtual_slot", "shard"), shards))
 
 
-def placed(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """``rows`` with shard and slot, the record's place in its shard, gapless from 0.
 
-    Places are counted inside each virtual slot and shifted by the slots that
-    come before it in the shard, so no task holds a shard.
+    Places are counted inside each part of a virtual slot and shifted by the
+    parts that come before it in the shard, so no task holds a shard, nor all
+    rows of one id.
     """
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.join(slot_map.select("virtual_slot", "shard"), "virtual_slot").select(
-        "virtual_slot", "shard", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("start")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("records"))
+    starts = counted.join(slot_map.select("virtual_slot", "shard"), "virtual_slot").select(
+        "virtual_slot", "part", "shard", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("start")
     )
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    # One row for each virtual slot.
-    return rows.join(F.broadcast(starts), "virtual_slot").withColumn(
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size"))
+    # At most PARTS rows for each virtual slot.
+    return rows.join(F.broadcast(starts), ["virtual_slot", "part"]).withColumn(
         "slot", (F.col("start") + inside - 1).cast("long")
-    ).drop("start")
+    ).drop("start", "part")
 
 
 def shard(docs: DataFrame, maps: SlotMaps, shards: int, slots: int = SLOTS) -> DataFrame:
     """Every record with its shard under a map rebalanced for these records."""
-    rows = materialize(measured(docs, slots))
-    sizes = materialize(slot_sizes(rows, slots))
-    version = rebalance(maps, sizes, shards, slots)
-    return placed(rows, sizes, maps.read(version)).withColumn("map_version", F.lit(version))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+    rows = materialize(measured(docs, slots).withColumn("part", part))
+    version = rebalance(maps, materialize(slot_sizes(rows, slots)), shards, slots)
+    return placed(rows, maps.read(version)).withColumn("map_version", F.lit(version))
 
 
 def write_shards(
@@ -149,11 +155,15 @@ def write_shards(
 ) -> None:
     """Write whole records into one folder for each shard.
 
-    Slots, not shards, are what tasks get, so a shard is written by many tasks.
+    Parts of slots, not shards, are what tasks get, so a shard is written by
+    many tasks.  The columns of slot and shard are called ``virtual_slot`` and
+    ``shard``, with underscores before them where the table has such columns.
     """
+    slot_name, shard_name = own(docs, "virtual_slot", "shard")
     text = whole(named(text_column))
     lost = F.xxhash64(F.crc32(F.encode(text, "UTF-8")), (F.octet_length(text) + 1).cast("long"))
     slot = F.pmod(F.when(named(id_column).isNull(), lost).otherwise(F.xxhash64(named(id_column))), F.lit(slots))
-    small = F.broadcast(slot_map.select("virtual_slot", "shard"))
-    rows = docs.withColumn("virtual_slot", slot.cast("int")).join(small, "virtual_slot")
-    rows.repartition("virtual_slot").write.partitionBy("shard").parquet(path)
+    small = F.broadcast(slot_map.select(F.col("virtual_slot").alias(slot_name), F.col("shard").alias(shard_name)))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))
+    rows = docs.withColumn(slot_name, slot.cast("int")).join(small, slot_name)
+    rows.repartition(named(slot_name), part).write.partitionBy(shard_name).parquet(path)

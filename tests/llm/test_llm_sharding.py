@@ -1,6 +1,10 @@
+import struct
 import zlib
 from collections import defaultdict
 
+import xxhash
+from pyspark.sql import functions as F
+
 from shopgrain.llm import sharding as op
 
 
@@ -55,5 +59,47 @@ def test_written_shards_hold_every_row(spark, tmp_path, awkward):
     assert sorted([(r.doc_id, r.virtual_slot, r.shard) for r in back.collect()], key=str) == want
 
 
+def test_written_columns_of_any_name(spark, tmp_path, clashing):
+    """The table's own columns stay as they are."""
+    table = clashing.withColumns({"virtual_slot": F.lit(9), "part": F.lit(8)})
+    maps = op.SlotMaps(spark, f"{tmp_path}/maps")
+    rows = op.shard(table, maps, 4)
+    op.write_shards(table, maps.read(), f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(r["virtual_slot"], r["Shard"], r["part"], r["odd.name"]) for r in back} == {(9, 7, 8, 7)}
+    want = sorted([(r.doc_id, r.virtual_slot, r.shard) for r in rows.collect()], key=str)
+    assert sorted([(r["doc_id"], r["_virtual_slot"], r["_shard"]) for r in back], key=str) == want
+
+
+def test_shards_against_plain_python(spark, tmp_path):
+    """Slots by the hash of the id, then the largest slots that a first map gives too much of go to the least full shard."""
+    shards, slots = 5, 64
+    docs = [(i * i - 700, "é" * (i * 53 % 300)) for i in range(900)] + [(17, "hot")] * 600
+    got = op.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), op.SlotMaps(spark, str(tmp_path)), shards, slots)
+    slot_of = {i: xxhash.xxh64_intdigest(struct.pack("<q", i), 42) for i, _ in docs}
+    slot_of = {i: (h - 2**64 if h >= 2**63 else h) % slots for i, h in slot_of.items()}
+    size = [0] * slots
+    for i, t in docs:
+        size[slot_of[i]] += len(t.encode()) + 1
+    fair, load, place, freed = -(-sum(size) // shards), [0] * shards, {}, []
+    for shard in range(shards):
+        upto = 0
+        for s in sorted(range(shard, slots, shards), key=lambda s: (-size[s], s)):
+            upto += size[s]
+            if upto <= fair:
+                place[s], load[shard] = shard, load[shard] + size[s]
+            else:
+                freed.append(s)
+    for s in sorted(freed, key=lambda s: (-size[s], s)):
+        shard = min(range(shards), key=lambda x: (load[x], x))
+        place[s], load[shard] = shard, load[shard] + size[s]
+    rows = got.collect()
+    assert sorted((r.doc_id, r.shard) for r in rows) == sorted((i, place[slot_of[i]]) for i, _ in docs)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 def test_empty_table(spark, tmp_path, no_docs):
     assert op.shard(no_docs, op.SlotMaps(spark, str(tmp_path)), 16).count() == 0
