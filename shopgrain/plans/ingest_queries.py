@@ -50,6 +50,23 @@ def csv_roundtrip(s: DriverShop) -> DataFrame:
     return csv_files.csv_scan(s.spark, path).drop("_file", "_line")
 
 
+def csv_quoted_lines(s: DriverShop) -> DataFrame:
+    """Orders with notes over several lines, read in blocks so small that many records lie on a border of two."""
+    key = F.col("o_orderkey")
+    note = F.concat("o_orderpriority", F.element_at(F.array(
+        F.lit(""), F.lit('\nsaiu "hoje"; ok'), F.lit("\n\nfim"), F.lit("; a\n;b\n\"c\""), F.lit(' "x"'),
+    ), (key % 5 + 1).cast("int")))
+    path = fresh_dir(s)
+    s.table("orders").select(key.cast("string").alias("numero"), note.alias("nota"), "o_orderstatus").write.option(
+        "header", True).option("sep", ";").option("escape", '"').csv(path)
+    old = s.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    s.spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        return csv_files.csv_scan(s.spark, path).drop("_file", "_line")
+    finally:
+        s.spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def upsert_sales(s: DriverShop) -> DataFrame:
     """Pending orders come again finished, twice; event purchases are new sales."""
     current = s.vendas
@@ -178,6 +195,7 @@ def separators(s: DriverShop) -> DataFrame:
 INGEST = {
     "detect_separator": separators,
     "csv_scan": csv_roundtrip,
+    "csv_scan_quebras": csv_quoted_lines,
     "normalize_vendas": lambda s: _good(normalize.normalize_vendas(raw_exports.raw_vendas(s))[0]),
     "reject_log_vendas": lambda s: _rejects(
         normalize.normalize_vendas(raw_exports.raw_vendas(s))[1]

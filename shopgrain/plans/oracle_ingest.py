@@ -39,6 +39,11 @@ SQL = {
                    WHEN 1 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), '.', ',')
                    ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) END AS valor_total,
                CASE WHEN o_orderstatus = 'P' THEN 'pendente' ELSE '' END AS situacao FROM orders"""),
+    "csv_scan_quebras": sql("""
+        SELECT CAST(o_orderkey AS VARCHAR) AS numero, o_orderpriority || CASE o_orderkey % 5
+                   WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'saiu "hoje"; ok' WHEN 2 THEN chr(10) || chr(10) || 'fim'
+                   WHEN 3 THEN '; a' || chr(10) || ';b' || chr(10) || '"c"' ELSE ' "x"' END AS nota, o_orderstatus
+        FROM orders"""),
     "normalize_vendas": sql("SELECT * FROM vendas_norm"),
     "reject_log_vendas": sql(f"""
         SELECT 'loja' AS client_key, o_orderkey + 1 AS _line, 'linha ' || (o_orderkey + 1) ||

@@ -79,11 +79,10 @@ def test_separator_reads_only_the_start(spark, tmp_path):
     assert detect_separator(spark, str(tmp_path / "x.csv")) == ","
 
 
-@pytest.mark.parametrize("multiline", [True, False])
-def test_scan_skips_rows_of_other_width(spark, tmp_path, multiline):
+def test_scan_skips_rows_of_other_width(spark, tmp_path):
     p = tmp_path / "v.csv"
     p.write_text(' ID ;Nome;VALOR\n1; Ana ;"1;5"\n2;curta\n3;a;b;c\n\n4;5" tubo;"x ""y"""\n')
-    df = csv_scan(spark, str(p), multiline=multiline)
+    df = csv_scan(spark, str(p))
     assert df.columns == ["id", "nome", "valor", "_file", "_line"]
     got = sorted((r._line, r.id, r.nome, r.valor) for r in df.collect())
     assert got == [(1, "1", "Ana", "1;5"), (2, "4", '5" tubo', 'x "y"')]
@@ -93,7 +92,7 @@ def test_scan_skips_rows_of_other_width(spark, tmp_path, multiline):
 def test_scan_keeps_a_value_over_two_lines(spark, tmp_path):
     p = tmp_path / "v.csv"
     p.write_text('a,b\n1,"x\ny"\n2,z\n')
-    got = sorted((r._line, r.a, r.b) for r in csv_scan(spark, str(p), multiline=True).collect())
+    got = sorted((r._line, r.a, r.b) for r in csv_scan(spark, str(p)).collect())
     assert got == [(1, "1", "x\ny"), (2, "2", "z")]
 
 
@@ -103,7 +102,7 @@ def test_line_numbers_run_on_over_blocks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
     try:
-        df = csv_scan(spark, str(p), multiline=False)
+        df = csv_scan(spark, str(p))
         assert df.rdd.getNumPartitions() > 1
         assert df.filter(F.col("_line") != F.col("k").cast("int")).count() == 0
         assert df.count() == 5000
