@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,14 @@ FEATURES = ["_total", "_desconto", "hora", "_dia"]
 SAMPLE = 256
 EULER = 0.5772156649015329
 ROWS_PER_BATCH = 200_000
+#: Forests of up to this size are sent to every task; a tree has at most 2 x SAMPLE nodes of NODE_BYTES.
+FOREST_BYTES = 128 * 1024 * 1024
+NODE_BYTES = 28
+SCORED = ["client_key", "venda_key", "data_venda", *FEATURES, "anomalia_score"]
+SCORE_SCHEMA = (
+    "client_key string, venda_key string, data_venda timestamp_ntz, _total double, _desconto double, hora int, _dia int, "
+    "anomalia_score double"
+)
 #: A prime; a sale's draw for a tree is a linear function of its hash modulo this.
 PRIME = 2_147_483_647
 
@@ -154,18 +163,41 @@ def _score(left: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
     tail = _path_tail(psi) or 1.0
     # Nine places do not depend on the order of the sum.
     score = np.round(-np.power(2.0, -(total / max(len(forest), 1)) / tail), 9)
-    return left.assign(anomalia_score=score).drop(columns=["_salt"])
+    return left.assign(anomalia_score=score)
 
 
 def pontuar_vendas(vendas: DataFrame, trees: int = 100, seed: int = 42) -> DataFrame:
     """Isolation score of every finished sale of shops with at least 50 sales.
 
-    Trees grow from small hash samples.  Sales are scored in batches of bounded
-    size, each beside a copy of its shop's forest.
+    Trees grow from small hash samples.  Sales are scored where they lie while
+    the forests of all shops fit into FOREST_BYTES, which every task then holds;
+    beyond that in batches of bounded size, each beside a copy of its shop's
+    forest.
     """
     rows = _features(vendas)
-    sizes = rows.groupBy("client_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 50")
-    forest = _trees(_samples(rows, sizes, trees, seed), seed)
+    sizes = materialize(rows.groupBy("client_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 50"))
+    forest = materialize(_trees(_samples(rows, sizes, trees, seed), seed))
+    most = FOREST_BYTES // (trees * 2 * SAMPLE * NODE_BYTES)
+    if sizes.limit(most + 1).count() <= most:
+        return keep_bound(_scored_in_place(rows, forest), vendas)
+    return keep_bound(_scored_by_batch(rows, sizes, forest), vendas)
+
+
+def _scored_in_place(rows: DataFrame, forest: DataFrame) -> DataFrame:
+    """Scores of the sales of shops that have a forest; ``forest`` is small and goes to every task."""
+    forests = dict(tuple(forest.toPandas().groupby("client_key")))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shop, sales in batch.groupby("client_key"):
+                if shop in forests:
+                    yield _score(sales, forests[shop])
+
+    return rows.select(*SCORED[:-1]).mapInPandas(score, SCORE_SCHEMA)
+
+
+def _scored_by_batch(rows: DataFrame, sizes: DataFrame, forest: DataFrame) -> DataFrame:
+    """Scores of the sales, which are shuffled in batches to copies of their shop's forest."""
     batches = F.ceil(F.col("_n") / ROWS_PER_BATCH).cast("int")
     salted = attach(rows, sizes).select(
         *rows.columns, F.pmod(F.xxhash64("venda_key"), batches).cast("int").alias("_salt")
@@ -176,13 +208,11 @@ def pontuar_vendas(vendas: DataFrame, trees: int = 100, seed: int = 42) -> DataF
         "client_key", "_salt", "_tree", "_psi", "_feature", "_cut", "_left", "_right", "_depth"
     )
     keys = ["client_key", "_salt"]
-    schema = (
-        "client_key string, venda_key string, data_venda timestamp_ntz, _total double, "
-        "_desconto double, hora int, _dia int, anomalia_score double"
-    )
 
-    scored = salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(_score, schema)
-    return keep_bound(scored, vendas)
+    def score(sales: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        return _score(sales, trees)[SCORED]
+
+    return salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(score, SCORE_SCHEMA)
 
 
 def anomalias_vendas(

@@ -265,3 +265,17 @@ def test_shops_may_have_their_own_churn_days(spark):
     assert rows(customers.clientes_inativos(base), "client_key", "cliente_id") == [("a", "x"), ("b", "z")]
     assert rows(customers.clientes_inativos(base, limits=limits), "client_key", "cliente_id") == [
         ("a", "x"), ("a", "y"), ("b", "z")]
+
+
+def test_forests_in_place_and_by_batch_agree(spark, make, monkeypatch):
+    """Sales are not shuffled while the forests are small, and the scores are the same either way."""
+    rows = [(s, f"v{i}", f"2024-01-{1 + i % 28:02d}T{8 + i % 10:02d}:00:00", "c", "x", 10 + i * i % 97, i % 7) for s in "ab" for i in range(120)]
+    rows += [("few", f"v{i}", "2024-01-01T10:00:00", "c", "x", i, 0) for i in range(20)]
+    sales = make.vendas(rows)
+    near = anomaly.pontuar_vendas(sales, trees=10)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInPandas" in plan
+    monkeypatch.setattr(anomaly, "FOREST_BYTES", 0)
+    far = anomaly.pontuar_vendas(sales, trees=10)
+    key = lambda df: sorted((r.client_key, r.venda_key, r.anomalia_score) for r in df.collect())
+    assert key(near) == key(far) and len(key(near)) == 240
