@@ -145,12 +145,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
     )
 
     def met(left: DataFrame, right: DataFrame, more: Column | None = None) -> DataFrame:
-        right = right.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "signature")
-        near = one_edit(F.col("word"), F.col("other"))
+        # Both sides are renamed, so that a join of signatures with themselves shuffles them once.
+        left, right = (
+            side.select(F.col("word").alias(word), F.col("n").alias(n), "signature")
+            for side, word, n in ((left, "a", "a_n"), (right, "b", "b_n"))
+        )
+        near = one_edit(F.col("a"), F.col("b"))
         rows = left.hint("merge").join(right, "signature").filter(near if more is None else more & near)
-        return rows.select("word", "n", "other", "other_n")
+        return rows.select("a", "a_n", "b", "b_n")
 
-    return met(same, same, F.col("word") < F.col("other")).unionByName(met(short, long)).distinct()
+    found = met(same, same, F.col("a") < F.col("b")).unionByName(met(short, long)).distinct()
+    return found.toDF("word", "n", "other", "other_n")
 
 
 def with_forms(words: DataFrame, pairs: DataFrame, factor: int = FACTOR) -> DataFrame:
