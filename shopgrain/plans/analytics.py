@@ -26,6 +26,8 @@ class ShopTables:
     itens: DataFrame
     produtos: DataFrame
     clients: DataFrame | None = None
+    #: Customers; without them no result names those who stay away.
+    clientes: DataFrame | None = None
 
 
 def segment_limits(clients: DataFrame) -> DataFrame:
@@ -65,6 +67,10 @@ def run_analytics(
 
     classes = save("abc_resultado", abcxyz.abc_xyz(itens, limits=limits))
     scores = save("rfm_resultado", customers.rfm(tables.vendas, as_of))
+    if tables.clientes is not None:
+        # Each shop's segment says after how many days a customer stays away.
+        base = customers.clientes_rfm_base(tables.clientes, tables.vendas)
+        save("clientes_inativos", customers.clientes_inativos(base, limits=limits))
     sets = basket.itemsets(itens, min_support)
     rules = save("basket_resultado", basket.regras(sets, min_confidence, min_lift))
     predictions = save("forecast_resultado", forecast.forecast(itens))

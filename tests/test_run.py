@@ -1,6 +1,8 @@
 from datetime import datetime
 
+from shopgrain.plans import analytics
 from shopgrain.plans.analytics import ShopTables, run_analytics, segment_limits
+from shopgrain.schema import Segment
 from shopgrain.sources.tables import TableStore
 
 
@@ -45,3 +47,18 @@ def test_a_shop_without_rules_does_not_stop_the_run(spark, make, tmp_path):
     names = run_analytics(tables, store, datetime(2024, 7, 1))
     assert store.load_result("basket_resultado").count() == 0
     assert store.load_result("abc_resultado").count() == 4 and "insights_cache" in names
+
+
+def test_each_segment_has_its_own_churn_days(spark, make, tmp_path, monkeypatch):
+    """Customers who stayed away for 20 days are late in the shop of ten days only."""
+    monkeypatch.setitem(analytics.SEGMENTS, "padaria", Segment(churn_days=10))
+    sales = [(s, str(k), f"2024-01-{1 + k % 28:02d} 10:00:00", f"c{k % 28 // 14}", "v", 50 + k, 0) for s in "ab" for k in range(56)]
+    items = [(s, str(k), f"p{k % 4}", 1, 10, 0, 10) for s in "ab" for k in range(56)]
+    people = spark.createDataFrame([(s, f"c{k}", f"C{k}", True) for s in "ab" for k in (0, 1)], "client_key string, cliente_key string, nome string, ativo boolean")
+    clients = spark.createDataFrame([("a", "construcao"), ("b", "padaria")], "client_key string, segment string")
+    produtos = make.produtos([("a", "p1", "Um", "C", 3, 12)])
+    tables = ShopTables(make.vendas(sales), make.itens(items).drop("data_venda"), produtos, clients, people)
+    store = TableStore(spark, str(tmp_path / "t"))
+    names = run_analytics(tables, store, datetime(2024, 7, 1))
+    assert "clientes_inativos" in names
+    assert [(r.client_key, r.cliente_id) for r in store.read("clientes_inativos").collect()] == [("b", "c0")]
