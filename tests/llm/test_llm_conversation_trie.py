@@ -81,6 +81,6 @@ def test_columns_of_any_name_and_no_rows(spark):
 
 def test_rounds_and_rows_are_bounded(spark):
     """One way of 600 turns and band height 8: the figures of a node go to at most 8 ancestors a level."""
-    rows = [(5, i, "u", f"t{i}") for i in range(600)]
+    rows = [(0, i, "u", f"t{i}") for i in range(600)]  # the head of its family, so it keeps all its turns
     nodes = {r["depth"]: r for r in op.trie(spark.createDataFrame(rows, TURNS)).collect()}
     assert len(nodes) == 601 and all(r["n_leaves"] == 1 and r["saved_tokens"] == 0 for r in nodes.values())
