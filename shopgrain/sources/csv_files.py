@@ -271,7 +271,8 @@ def scan_group(spark: SparkSession, shape: Shape) -> tuple[DataFrame, DataFrame]
     parser = _Parser(shape.sep, [n.strip().lower() for n in named])
     lines = _text_lines(spark, shape.paths)
     blocks = materialize(block_states(line_states(lines, shape.sep)))
-    few = blocks.count() <= _BROADCAST_BLOCKS
+    known = blocks.agg(F.count(F.lit(1)).alias("n"), F.max("_joins").alias("joins")).first()
+    few = known["n"] <= _BROADCAST_BLOCKS
 
     def of_block(rows: DataFrame, what: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(what) if few else what, ["_file", "_block"])
@@ -279,7 +280,7 @@ def scan_group(spark: SparkSession, shape: Shape) -> tuple[DataFrame, DataFrame]
     def body(rows: DataFrame) -> DataFrame:
         return rows.filter(F.col("_head").isNull() | (F.col("_id") != F.col("_head")))
 
-    if blocks.filter("_joins").limit(1).count():
+    if known["joins"]:
         states = of_block(materialize(line_states(lines, shape.sep)), blocks)
         start, end = (F.when(F.col("_inside"), F.col(f"{x}1")).otherwise(F.col(f"{x}0")) for x in ("_start", "_end"))
         states = body(states.withColumns({"_start": start, "_end": end}))
