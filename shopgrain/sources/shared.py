@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,11 +50,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession, everything: bool = False) -> None:
-    """Delete this application's intermediate results, or those of all applications.
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate results.
 
     Frames that were built from them and not yet written must not be used any
     more, so this belongs at the end of a run.
     """
-    path = scratch_dir(spark)
-    files.remove(spark, path.rsplit("/", 1)[0] if everything else path)
+    files.remove(spark, scratch_dir(spark))
+
+
+def clear_idle_scratch(spark: SparkSession, idle: timedelta) -> None:
+    """Delete the intermediate results of applications that have begun none for ``idle``."""
+    limit = datetime.now(timezone.utc) - idle
+    for path in files.children(spark, scratch_dir(spark).rsplit("/", 1)[0]):
+        if files.modified(spark, path) < limit:
+            files.remove(spark, path)

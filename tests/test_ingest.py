@@ -376,13 +376,19 @@ def test_intermediate_results_need_a_shared_folder(spark, monkeypatch):
 
 
 def test_erasing_a_shop_leaves_no_copy(spark, tmp_path):
+    from datetime import timedelta
+
     from shopgrain.sources import files, shared
 
     store = TableStore(spark, str(tmp_path / "t"))
     df = spark.createDataFrame([("a", 1), ("b", 2)], "client_key string, v int")
     store.save_result("r", df)
+    store.save_result("r", df)
     shared.materialize(df)
-    df.write.parquet(str(tmp_path / "t/_staging/r/1"))
+    # A write that never counted.
+    df.write.partitionBy("client_key").parquet(str(tmp_path / "t/r/rows/versao=vlost"))
     store.erase_tenant("a")
-    assert not files.exists(spark, shared.scratch_dir(spark)) and not (tmp_path / "t/_staging").exists()
+    assert files.exists(spark, shared.scratch_dir(spark)) and not list((tmp_path / "t").rglob("client_key=a"))
     assert [r.client_key for r in store.load_result("r").collect()] == ["b"]
+    store.erase_tenant("a", idle=timedelta(0))
+    assert not files.exists(spark, shared.scratch_dir(spark))
