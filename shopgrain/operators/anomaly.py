@@ -222,7 +222,7 @@ def anomalias_vendas(
     # Scored once: the percentile and the result both read the written scores.
     scores = materialize(pontuar_vendas(vendas, trees, seed))
     limit = percentiles(
-        scores, ["client_key"], "anomalia_score", "venda_key", {"_limit": contamination},
+        scores, ["client_key"], "anomalia_score", {"_limit": contamination},
     )
     return attach(scores, limit).filter(F.col("anomalia_score") < F.col("_limit")).select(
         "client_key", "venda_key", "data_venda", F.col("_total").alias("total"),

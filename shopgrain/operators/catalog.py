@@ -62,17 +62,13 @@ def estoque_kpis(estoque: DataFrame, produtos: DataFrame) -> DataFrame:
 def produtos_abc_sql(itens: DataFrame, produtos: DataFrame) -> DataFrame:
     """Class by cumulative revenue over all sales; equal revenues share one sum."""
     per_product = materialize(itens.groupBy(*KEY).agg(money_sum("total").alias("_fat")))
-    # Place distinct revenues, not products: ties then share a row by construction.
-    values = per_product.groupBy("client_key", "_fat").agg(
-        F.sum("_fat").cast(WIDE_MONEY).alias("_tied")
-    )
     cumulated = ranked(
-        values, ["client_key"], [-F.col("_fat")], {"fat": F.col("_tied")}
-    ).select("client_key", "_fat", "_cum_fat", "_sum_fat")
-    share = F.try_divide(dbl("_cum_fat"), dbl("_sum_fat"))
+        per_product, ["client_key"], [-F.col("_fat"), F.col("produto_key")],
+        {"fat": F.col("_fat").cast(WIDE_MONEY)}, peers=1,
+    )
+    share = F.try_divide(dbl("_peers_fat"), dbl("_sum_fat"))
     return (
-        per_product.join(cumulated, ["client_key", "_fat"])
-        .join(produtos.select(*KEY, "nome", "categoria"), KEY, "left")
+        cumulated.join(produtos.select(*KEY, "nome", "categoria"), KEY, "left")
         .select(
             *KEY,
             F.coalesce("nome", "produto_key").alias("nome"),

@@ -70,7 +70,7 @@ def resumo_segmentos_sql(clientes: DataFrame, vendas: DataFrame) -> DataFrame:
     """Segments from 3-level scores cut at the exact quartiles P25 and P75."""
     base = materialize(_base(clientes, vendas))
     cuts = percentiles(
-        _long(base), ["client_key", "_metric"], "_x", "cliente_key",
+        _long(base), ["client_key", "_metric"], "_x",
         {"p25": 0.25, "p75": 0.75}, groups_per_tenant=3,
     )
     wide = cuts.groupBy("client_key").agg(*[

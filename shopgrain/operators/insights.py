@@ -74,7 +74,7 @@ def ins_estoque_critico(forecast_resumo: DataFrame, classes: DataFrame) -> DataF
 
 def ins_churn_vip(scores: DataFrame) -> DataFrame:
     """Valuable customers who stopped buying."""
-    limit = percentiles(scores, ["client_key"], "valor_total", "cliente_id", {"_p75": 0.75})
+    limit = percentiles(scores, ["client_key"], "valor_total", {"_p75": 0.75})
     vip = attach(scores.filter(F.col("segmento").isin(*AT_RISK)), limit).filter(
         F.col("valor_total") > F.col("_p75")
     )

@@ -65,12 +65,57 @@ def test_a_large_group_spans_ranges_of_even_size(spark):
 def test_percentiles_match_numpy(spark, values):
     data = [("a", f"k{i}", v) for i, v in enumerate(values)]
     out = percentiles(
-        frame(spark, data), ["client_key"], "v", "k", {"p25": 0.25, "p75": 0.75, "p5": 0.05}
+        frame(spark, data), ["client_key"], "v", {"p25": 0.25, "p75": 0.75, "p5": 0.05}
     ).first()
     want = np.percentile(values, [25, 75, 5])
     assert np.allclose([out.p25, out.p75, out.p5], want)
 
 
+@pytest.mark.parametrize("astray", [False, True])
+def test_percentiles_order_only_the_values_around_them(spark, monkeypatch, astray):
+    from shopgrain.functions import ordering
+
+    rnd = random.Random(3)
+    data = [("hot", rnd.gauss(0, 1)) for _ in range(30000)] + [("tied", 4.0)] * 5000 + [("tied", float(i)) for i in range(9)]
+    data += [("three", float(i)) for i in (5, 1, 9)] + [("one", 2.5)]
+    df = spark.createDataFrame(data, "client_key string, v double").repartition(6).unionByName(
+        spark.createDataFrame([("one", None), ("none", None)], "client_key string, v double"))
+    ordered = []
+    monkeypatch.setattr(ordering, "ranked", lambda d, *a, **k: (ordered.append(d.count()), ranked(d, *a, **k))[1])
+    if astray:
+        # A sketch that names the ends of the group for every point: all brackets miss.
+        monkeypatch.setattr(F, "percentile_approx", lambda x, ps, _: F.array(*[F.max(x)] * len(ps)))
+    points = {"p5": 0.05, "p75": 0.75, "p100": 1.0}
+    got = {r.client_key: (r.p5, r.p75, r.p100) for r in percentiles(df, ["client_key"], "v", points).collect()}
+    want = {g: np.percentile([v for h, v in data if h == g], [5, 75, 100]) for g in ("hot", "tied", "three", "one")}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[g], want[g], rtol=1e-12) for g in want)
+    assert astray or ordered[0] < 300
+
+
+@pytest.mark.parametrize("bound", [None, 3])
+def test_tied_totals_span_ranges(spark, bound):
+    rnd = random.Random(5)
+    # Nine in ten rows of the hot shop have one value, which fills several ranges.
+    data = [("hot", f"k{i:05d}", 5 if i % 10 else rnd.randint(-9, 19)) for i in range(4000)]
+    data += [("b", f"k{i}", rnd.randint(-2, 2)) for i in range(30)] + [("c", "only", 9)]
+    df = frame(spark, data)
+    if bound:
+        df = mark_tenants(df, bound)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranked(df, ["client_key"], [-F.col("v"), F.col("k")], {"v": F.col("v")}, peers=1)
+        got = {(r.client_key, r.k): (r._pos, int(r._cum_v), int(r._peers_v)) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    places = expected(data)
+    for g, k, v in data:
+        pos, _, cum, _ = places[g, k]
+        assert got[g, k][:2] == (pos, cum)
+    sums = {(g, v): sum(x for h, _, x in data if h == g and x >= v) for g, v in {(g, v) for g, _, v in data}}
+    assert all(got[g, k][2] == sums[g, v] for g, k, v in data)
+
+
 def test_quintile_closed_form(spark):
     pd = pytest.importorskip("pandas")
     sizes = [1, 2, 3, 4, 5, 6, 7, 10, 11, 23, 100, 699]
