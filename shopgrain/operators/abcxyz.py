@@ -1,6 +1,7 @@
 """ABC (revenue concentration) and XYZ (demand regularity) classes.
 
-``itens`` are items of finished sales, as returned by ``read_itens_venda``.
+``itens`` are items of finished sales, as returned by ``read_itens_venda``, or
+their sums as returned by ``totals.sold``.
 """
 
 from __future__ import annotations
@@ -8,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopgrain.functions.numbers import dbl, money_sum, rint
+from shopgrain.functions.numbers import dbl, rint
 from shopgrain.functions.ordering import ranked
 from shopgrain.functions.tenancy import attach
+from shopgrain.functions.totals import sold
 from shopgrain.schema import WIDE_MONEY
 
 KEY = ["client_key", "produto_key"]
@@ -20,13 +22,6 @@ def _letter(share: Column, a: Column, b: Column) -> Column:
     return F.when(share <= a, "A").when(share <= b, "B").otherwise("C")
 
 
-def _monthly(itens: DataFrame) -> DataFrame:
-    return itens.groupBy(*KEY, F.trunc("data_venda", "month").alias("_mes")).agg(
-        money_sum("total").alias("_fat"), F.sum("quantidade").alias("_qtd"),
-        F.count(F.lit(1)).alias("_linhas"),
-    )
-
-
 def _spread() -> list[Column]:
     """Mean and deviation of the monthly quantities; a single month has none."""
     q = dbl("_qtd")
@@ -81,16 +76,15 @@ def abc(itens: DataFrame, a: float = 0.80, b: float = 0.95) -> DataFrame:
 
     The cumulative share runs row by row; equal revenues are ordered by key.
     """
-    per_product = itens.groupBy(*KEY).agg(
-        money_sum("total").alias("_fat"), F.sum("quantidade").alias("_qtd"),
-        F.count(F.lit(1)).alias("num_vendas"),
+    per_product = sold(itens, "product").select(
+        *KEY, "_fat", "_qtd", F.col("_linhas").alias("num_vendas")
     )
     return _classified(per_product, a, b)
 
 
 def xyz(itens: DataFrame) -> DataFrame:
     """Variation of monthly quantity; months without a sale do not count."""
-    return _monthly(itens).groupBy(*KEY).agg(*_spread()).select(
+    return sold(itens, "month").groupBy(*KEY).agg(*_spread()).select(
         *KEY,
         rint(F.col("_media"), 3).alias("media"),
         rint(F.col("_desvio"), 3).alias("desvio"),
@@ -106,7 +100,7 @@ def abc_xyz(
 
     ``limits`` may give each shop its own (client_key, abc_a, abc_b).
     """
-    per_product = _monthly(itens).groupBy(*KEY).agg(*_sums(), *_spread())
+    per_product = sold(itens, "month").groupBy(*KEY).agg(*_sums(), *_spread())
     return _classified(
         per_product, a, b, _xyz_class().alias("classe_xyz"), rint(_cv(), 3).alias("cv"),
         limits=limits,

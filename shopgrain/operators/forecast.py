@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import dbl, rint
 from shopgrain.functions.tenancy import attach
+from shopgrain.functions.totals import sold
 from shopgrain.sources.shared import materialize
 
 KEY = ["client_key", "produto_key"]
@@ -20,10 +21,8 @@ BAND = 1.96
 
 
 def diario(itens: DataFrame) -> DataFrame:
-    """Quantity per product and sale day."""
-    return itens.groupBy(*KEY, F.col("data_venda").cast("date").alias("data")).agg(
-        dbl(F.sum("quantidade")).alias("y")
-    )
+    """Quantity per product and sale day, of items or of their daily sums (``totals.sold``)."""
+    return sold(itens, "day").select(*KEY, F.col("_dia").alias("data"), dbl("_qtd").alias("y"))
 
 
 def _future(last: Column, horizon: int) -> Column:

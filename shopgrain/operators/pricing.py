@@ -1,4 +1,7 @@
-"""Price elasticity, what-if prices and gross margin."""
+"""Price elasticity, what-if prices and gross margin.
+
+``itens`` are items of finished sales or their sums (``totals.sold``).
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import dbl, div0, money_sum, rint
 from shopgrain.functions.tenancy import attach
+from shopgrain.functions.totals import sold
 from shopgrain.schema import WIDE_MONEY
 
 KEY = ["client_key", "produto_key"]
@@ -26,10 +30,9 @@ def elasticidade(
     itens: DataFrame, produtos: DataFrame, min_months: int = 6, min_changes: int = 5
 ) -> DataFrame:
     """Slope of quantity change on price change between months with sales."""
-    monthly = itens.groupBy(*KEY, F.trunc("data_venda", "month").alias("_mes")).agg(
-        div0(F.sum(F.col("preco_unitario").cast(WIDE_MONEY)), F.count("preco_unitario")).alias("_p"),
-        dbl(F.sum("quantidade")).alias("_q"),
-        money_sum("total").alias("_r"),
+    monthly = sold(itens, "month").select(
+        *KEY, "_mes", div0(F.col("_preco"), F.col("_precos")).alias("_p"), dbl("_qtd").alias("_q"),
+        F.col("_fat").alias("_r"),
     )
     # A product has one row per month, so its window is bounded by the calendar.
     by_month = Window.partitionBy(*KEY).orderBy("_mes")
@@ -98,9 +101,8 @@ def cenario_preco(elast: DataFrame, changes: Sequence[float] = GRID) -> DataFram
 
 def margem(itens: DataFrame, produtos: DataFrame) -> DataFrame:
     """Revenue, cost and gross margin per product; no revenue gives no percentage."""
-    per_product = itens.groupBy(*KEY).agg(
-        money_sum("total").alias("_r"), F.sum("quantidade").alias("_q"),
-        money_sum("desconto").alias("_d"),
+    per_product = sold(itens, "product").select(
+        *KEY, F.col("_fat").alias("_r"), F.col("_qtd").alias("_q"), F.col("_desc").alias("_d")
     )
     cost = F.col("_q") * F.col("preco_custo")
     gross = F.col("_r") - cost

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopgrain.functions import periods
+from shopgrain.functions import periods, totals
 from shopgrain.functions.numbers import fmt_brl
 from shopgrain.functions.privacy import mascarar_pii
 from shopgrain.functions.tenancy import tenant_column
@@ -19,6 +19,7 @@ from shopgrain.operators import (
 from shopgrain.plans import ingest_queries
 from shopgrain.sources import canonical
 from shopgrain.sources.driver_tables import SHOP, DriverShop, DriverShops
+from shopgrain.sources.shared import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,24 +110,60 @@ def _itens_ok(s: DriverShop) -> DataFrame:
     return canonical.read_itens_venda(s.itens, s.vendas)
 
 
+def summed(
+    unit: str, build: Callable[[DriverShop], DataFrame], prices: bool = False
+) -> Callable[[DriverShop], DataFrame]:
+    """Let the steps of a query read one pass over the items: their sums by product and ``unit``, written once.
+
+    Sales with their discount, which take a pass over the items too, are also
+    written once then.  ``prices`` says whether a step reads the unit prices.
+    """
+    def get(s: DriverShop) -> DataFrame:
+        s.__dict__.update(_unit=unit, _prices=prices)
+        return build(s)
+
+    return get
+
+
+@shared
+def _sold(s: DriverShop) -> DataFrame:
+    """Items for a single reader, or what :func:`summed` asks for."""
+    if "_unit" not in s.__dict__:
+        return _itens_ok(s)
+    items = _itens_ok(s) if s.__dict__["_prices"] else _itens_ok(s).drop("preco_unitario")
+    return materialize(totals.sold(items, s.__dict__["_unit"]))
+
+
+@shared
+def _whole(s: DriverShop) -> DataFrame:
+    """The same for steps that need no period: days are summed once for all of them."""
+    return materialize(totals.sold(_sold(s), "product")) if s.__dict__.get("_unit") == "day" else _sold(s)
+
+
+@shared
+def _priced(s: DriverShop) -> DataFrame:
+    sales = s.vendas_com_desconto
+    return materialize(sales.drop("canal")) if "_unit" in s.__dict__ else sales
+
+
 @shared
 def _classes(s: DriverShop) -> DataFrame:
-    return abcxyz.abc_xyz(_itens_ok(s))
+    return abcxyz.abc_xyz(_sold(s))
 
 
 @shared
 def _abc(s: DriverShop) -> DataFrame:
-    return abcxyz.abc(_itens_ok(s))
+    return abcxyz.abc(_whole(s))
 
 
 @shared
 def _margin(s: DriverShop) -> DataFrame:
-    return pricing.margem(_itens_ok(s), s.produtos)
+    return pricing.margem(_whole(s), s.produtos)
 
 
 @shared
 def _elast(s: DriverShop) -> DataFrame:
-    return pricing.elasticidade(_itens_ok(s), s.produtos)
+    return pricing.elasticidade(_sold(s), s.produtos)
 
 
 @shared
@@ -159,16 +196,16 @@ CATALOG = {
     "produtos_abc_sql": lambda s: catalog.produtos_abc_sql(s.itens, s.produtos),
     "dead_stock": _idle,
     "dead_stock_totals": lambda s: catalog.dead_stock_totals(_idle(s)),
-    "catalog_kpis": lambda s: catalog.catalog_kpis(
+    "catalog_kpis": summed("product", lambda s: catalog.catalog_kpis(
         s.produtos, _abc(s), _margin(s), _idle(s)
-    ),
+    )),
     "matriz_abc_xyz": lambda s: abcxyz.matriz_abc_xyz(_classes(s)),
     "matriz_abc_xyz_pivot": lambda s: abcxyz.matriz_abc_xyz_pivot(_classes(s)),
     "abc_kpis": lambda s: abcxyz.abc_kpis(_classes(s)),
-    "ranking_produtos": _ranking,
+    "ranking_produtos": summed("month", _ranking),
     "elasticidade_view": lambda s: pricing.elasticidade_view(_elast(s)),
-    "matriz_preco": lambda s: pricing.matriz_preco(_elast(s), _ranking(s)),
-    "margem_kpis": lambda s: pricing.margem_kpis(_margin(s), _elast(s)),
+    "matriz_preco": summed("month", lambda s: pricing.matriz_preco(_elast(s), _ranking(s)), prices=True),
+    "margem_kpis": summed("month", lambda s: pricing.margem_kpis(_margin(s), _elast(s)), prices=True),
     "elasticidade_contagem": lambda s: pricing.elasticidade_contagem(_elast(s)),
 }
 
@@ -225,7 +262,7 @@ def _rules(s: DriverShop) -> DataFrame:
 
 @shared
 def _forecast(s: DriverShop) -> DataFrame:
-    return forecast.forecast(_itens_ok(s))
+    return forecast.forecast(_sold(s))
 
 
 @shared
@@ -242,7 +279,7 @@ def _few_days(s: DriverShop) -> DataFrame:
 
 @shared
 def _odd_discounts(s: DriverShop) -> DataFrame:
-    return anomaly.anomalias_desconto(s.vendas_com_desconto)
+    return anomaly.anomalias_desconto(_priced(s))
 
 
 @shared
@@ -287,12 +324,12 @@ MODELS = {
 
 @shared
 def _resumo(s: DriverShop) -> DataFrame:
-    return sales.vendas_resumo(s.vendas_com_desconto)
+    return sales.vendas_resumo(_priced(s))
 
 
 @shared
 def _sellers(s: DriverShop) -> DataFrame:
-    return anomaly.anomalias_vendedor(s.vendas_com_desconto)
+    return anomaly.anomalias_vendedor(_priced(s))
 
 
 def _history(s: DriverShop) -> DataFrame:
@@ -358,13 +395,13 @@ def _cascade(s: DriverShop) -> DataFrame:
 
 
 TEXTS = {
-    "ins_estoque_critico": lambda s: insights.ins_estoque_critico(
+    "ins_estoque_critico": summed("day", lambda s: insights.ins_estoque_critico(
         _summary(s), _abc(s)
-    ),
+    )),
     "ins_churn_vip": lambda s: insights.ins_churn_vip(_rfm(s)),
     "ins_anomalia_desconto": lambda s: insights.ins_anomalia_desconto(_odd_discounts(s)),
     "ins_combo": lambda s: insights.ins_combo(_rules(s)),
-    "ins_margem_alta": lambda s: insights.ins_margem_alta(_margin(s), _abc(s)),
+    "ins_margem_alta": summed("product", lambda s: insights.ins_margem_alta(_margin(s), _abc(s))),
     "ins_performance": lambda s: insights.ins_performance(_resumo(s)),
     "ins_vendedor": lambda s: insights.ins_vendedor(_sellers(s)),
     "ins_venda_cruzada": lambda s: insights.ins_venda_cruzada(_rules(s)),
@@ -374,18 +411,18 @@ TEXTS = {
     "rotacao_temporal": lambda s: insights.rotacao_temporal(
         _sales_page(s, False).drop("top3"), _history(s), _now(s)
     ),
-    "top3_diverso": lambda s: insights.top3_diverso(_home(s, False).drop("top3")),
-    "insights_home": lambda s: _home(s, True),
+    "top3_diverso": summed("day", lambda s: insights.top3_diverso(_home(s, False).drop("top3"))),
+    "insights_home": summed("day", lambda s: _home(s, True)),
     "insights_vendas": lambda s: _sales_page(s, True),
     "ler_insights": lambda s: insights.ler_insights(
         _sales_page(s, False).withColumn(
             "gerado_em", F.lit("2024-01-01").cast("timestamp_ntz")
         ), "vendas",
     ),
-    "ler_insights_home": lambda s: insights.ler_insights(
+    "ler_insights_home": summed("day", lambda s: insights.ler_insights(
         _home(s, False).withColumn("gerado_em", F.lit("2024-01-01").cast("timestamp_ntz"))
-    ),
-    "filtro_cascata": _cascade,
+    )),
+    "filtro_cascata": summed("month", _cascade, prices=True),
     "relatorio_semanal": lambda s: report.relatorio_semanal(
         _resumo(s), _abc(s), _rfm(s),
         catalog.estoque_alertas(s.estoque, s.produtos),
@@ -410,9 +447,9 @@ TEXTS = {
 STORED = {
     "save_result": lambda s: ingest_queries.saved_result(s, abcxyz.matriz_abc_xyz(_classes(s))),
     "publish_cache": lambda s: ingest_queries.cached_top(s, _rules(s)),
-    "publicar_insights": lambda s: ingest_queries.published(
+    "publicar_insights": summed("day", lambda s: ingest_queries.published(
         s, _home(s, False), _sales_page(s, False)
-    ),
+    )),
 }
 
 
