@@ -14,6 +14,7 @@ from shopgrain.functions.numbers import dbl, div0, money_sum, rint
 from shopgrain.functions.tenancy import attach
 from shopgrain.functions.totals import sold
 from shopgrain.schema import WIDE_MONEY
+from shopgrain.sources.shared import materialize
 
 KEY = ["client_key", "produto_key"]
 GRID = tuple(range(-30, 31, 5))
@@ -168,8 +169,10 @@ def elasticidade_view(elast: DataFrame) -> DataFrame:
 def matriz_preco(elast: DataFrame, ranking: DataFrame) -> DataFrame:
     """Quadrant of each product: price sensitivity against recent revenue.
 
-    A product the ranking does not list counts as a high seller.
+    A product the ranking does not list counts as a high seller.  The mean and
+    the products read the ranking, which is written once for both.
     """
+    ranking = materialize(ranking.select("client_key", "id", "faturamento"))
     mean = ranking.groupBy("client_key").agg(
         div0(money_sum("faturamento"), F.count("faturamento")).alias("_mean")
     )
