@@ -235,12 +235,16 @@ def filtro_cascata(
     ranking: DataFrame, elast: DataFrame, rules: DataFrame, idle: DataFrame,
     categoria: str | None = None, produto: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Restrict every block of the page to the chosen category and product."""
+    """Restrict every block of the page to the chosen category and product.
+
+    All blocks read the chosen part of the ranking, which is written once.
+    """
     kept = ranking
     if categoria is not None:
         kept = kept.filter(F.col("categoria") == categoria)
     if produto is not None:
         kept = kept.filter(F.col("id") == produto)
+    kept = materialize(kept)
     keys = kept.select("client_key", F.col("id").alias("produto_key"))
 
     def side(name: str) -> DataFrame:
