@@ -19,6 +19,7 @@ from shopgrain.functions.periods import hours_before
 from shopgrain.functions.tenancy import attach
 from shopgrain.operators.customers import AT_RISK
 from shopgrain.schema import WIDE_MONEY
+from shopgrain.sources.shared import materialize
 
 COLUMNS = (
     "tipo", "prioridade", "titulo", "mensagem", "acao", "href", "categoria", "icone",
@@ -74,6 +75,7 @@ def ins_estoque_critico(forecast_resumo: DataFrame, classes: DataFrame) -> DataF
 
 def ins_churn_vip(scores: DataFrame) -> DataFrame:
     """Valuable customers who stopped buying."""
+    scores = materialize(scores.select("client_key", "segmento", "valor_total", "recencia"))
     limit = percentiles(scores, ["client_key"], "valor_total", {"_p75": 0.75})
     vip = attach(scores.filter(F.col("segmento").isin(*AT_RISK)), limit).filter(
         F.col("valor_total") > F.col("_p75")
@@ -107,6 +109,7 @@ def _most_frequent(df: DataFrame, col: str, name: str) -> DataFrame:
 
 
 def ins_anomalia_desconto(discounts: DataFrame) -> DataFrame:
+    discounts = materialize(discounts.select("client_key", "vendedor_id", "desconto"))
     sums = discounts.groupBy("client_key").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("desconto").cast(WIDE_MONEY)).alias("_v")
     )
