@@ -240,11 +240,14 @@ ALGORITHMS = {
 
 @shared
 def _by_category(s: DriverShop) -> DataFrame:
-    """Items of finished sales with the category in place of the product."""
+    """Items of finished sales with the category in place of the product.
+
+    The sales come last, so that baskets are built where their items met the
+    sale, without a further shuffle.
+    """
     names = s.produtos.select("client_key", "produto_key", "categoria")
-    return _itens_ok(s).join(names, ["client_key", "produto_key"]).withColumn(
-        "produto_key", F.col("categoria")
-    )
+    named = s.itens.join(names, ["client_key", "produto_key"]).withColumn("produto_key", F.col("categoria"))
+    return canonical.read_itens_venda(named, s.vendas)
 
 
 def _sets(s: DriverShop, support: float = 0.01) -> DataFrame:

@@ -7,6 +7,7 @@ from shopgrain.functions import totals
 from shopgrain.operators import abcxyz, forecast, pricing
 from shopgrain.plans import queries
 from shopgrain.sources import canonical
+from shopgrain.sources.driver_tables import DriverShop
 
 
 def _rows(df):
@@ -61,3 +62,9 @@ def test_items_meet_sales_once_for_all_sums(spark, monkeypatch, name, passes):
     monkeypatch.setattr(totals, "sold", lambda i, unit: summed.append(totals.unit_of(i)) or sold(i, unit))
     queries.all_queries()[name](spark, "/root/testdata/sf0.001")
     assert len(made) == passes and summed.count(None) == 1
+
+
+def test_products_are_named_before_items_meet_sales(spark):
+    """Baskets then need no shuffle after the join with the sales."""
+    plan = queries._by_category(DriverShop(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("\n")[1].lstrip(" :+-").startswith("Join Inner, (venda_key")
