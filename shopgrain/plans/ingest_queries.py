@@ -20,6 +20,8 @@ from shopgrain.sources.tables import TableStore
 from shopgrain.streaming.sync import incremental_sync
 
 NOW = datetime(2024, 1, 1, 12, 0, 0)
+#: Blocks that the scan of quoted lines is cut into at most, files of less than a block aside.
+MOST_BLOCKS = 256
 
 
 def fresh_dir(s: DriverShop) -> str:
@@ -50,8 +52,16 @@ def csv_roundtrip(s: DriverShop) -> DataFrame:
     return csv_files.csv_scan(s.spark, path).drop("_file", "_line")
 
 
+def border_block(total: int) -> int:
+    """Bytes of a block for files of ``total`` bytes: 64 kB, or more where that gives over MOST_BLOCKS blocks."""
+    return max(64 * 1024, -(-total // MOST_BLOCKS))
+
+
 def csv_quoted_lines(s: DriverShop) -> DataFrame:
-    """Orders with notes over several lines, read in blocks so small that many records lie on a border of two."""
+    """Orders with notes over several lines, read in blocks so small that many records lie on a border of two.
+
+    Each block is a task of every pass, so their number stays bounded.
+    """
     key = F.col("o_orderkey")
     note = F.concat("o_orderpriority", F.element_at(F.array(
         F.lit(""), F.lit('\nsaiu "hoje"; ok'), F.lit("\n\nfim"), F.lit("; a\n;b\n\"c\""), F.lit(' "x"'),
@@ -60,7 +70,9 @@ def csv_quoted_lines(s: DriverShop) -> DataFrame:
     s.table("orders").select(key.cast("string").alias("numero"), note.alias("nota"), "o_orderstatus").write.option(
         "header", True).option("sep", ";").option("escape", '"').csv(path)
     old = s.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    s.spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    # Lengths come with the list of files; no content is read.
+    total = s.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    s.spark.conf.set("spark.sql.files.maxPartitionBytes", str(border_block(total)))
     try:
         return csv_files.csv_scan(s.spark, path).drop("_file", "_line")
     finally:

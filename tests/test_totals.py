@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions import totals
 from shopgrain.operators import abcxyz, forecast, pricing
-from shopgrain.plans import queries
+from shopgrain.plans import ingest_queries, queries
 from shopgrain.sources import canonical
 from shopgrain.sources.driver_tables import DriverShop
 
@@ -68,3 +68,10 @@ def test_products_are_named_before_items_meet_sales(spark):
     """Baskets then need no shuffle after the join with the sales."""
     plan = queries._by_category(DriverShop(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("\n")[1].lstrip(" :+-").startswith("Join Inner, (venda_key")
+
+
+def test_blocks_of_quoted_lines_are_bounded():
+    block = ingest_queries.border_block
+    assert block(0) == block(10_000_000) == 64 * 1024
+    for total in (10**8, 25 * 10**8, 10**12):
+        assert -(-total // block(total)) <= ingest_queries.MOST_BLOCKS
