@@ -19,6 +19,21 @@ from shopgrain.functions.tenancy import attach
 from shopgrain.sources.shared import materialize
 
 MIN_BASKETS = 10
+#: Items that a task joins with their sales and gathers to baskets, on average.
+ITEMS_IN_TASK = 500_000
+
+
+def by_sale(itens: DataFrame, rows: int) -> DataFrame:
+    """Deal ``itens``, of which there are ``rows``, to tasks by sale, their number growing with the rows.
+
+    Gathering baskets sorts the items of a task, so its memory would grow with
+    the data while the session's partitions do not.  A join with the sales and
+    :func:`itemsets` after this keep the dealing.
+    """
+    if rows <= ITEMS_IN_TASK:
+        return itens
+    session = int(itens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return itens.repartition(max(session, -(-rows // ITEMS_IN_TASK)), "venda_key")
 
 
 def _frequent(counts: DataFrame, n: DataFrame, min_support: float) -> DataFrame:

@@ -71,7 +71,7 @@ def run_analytics(
         # Each shop's segment says after how many days a customer stays away.
         base = customers.clientes_rfm_base(tables.clientes, tables.vendas)
         save("clientes_inativos", customers.clientes_inativos(base, limits=limits))
-    sets = basket.itemsets(itens, min_support)
+    sets = basket.itemsets(basket.by_sale(itens, itens.count()), min_support)
     rules = save("basket_resultado", basket.regras(sets, min_confidence, min_lift))
     predictions = save("forecast_resultado", forecast.forecast(itens))
     summary = save("forecast_resumo", forecast.forecast_resumo(predictions))

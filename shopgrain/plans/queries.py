@@ -238,20 +238,28 @@ ALGORITHMS = {
 }
 
 
-@shared
-def _by_category(s: DriverShop) -> DataFrame:
-    """Items of finished sales with the category in place of the product.
+#: A larger catalogue is hashed by part instead of sorting all items to meet it.
+PRODUCTS_SORTED = 2_000_000
 
-    The sales come last, so that baskets are built where their items met the
-    sale, without a further shuffle.
-    """
+
+def _named(s: DriverShop) -> DataFrame:
+    """Items with the category in place of the product."""
     names = s.produtos.select("client_key", "produto_key", "categoria")
-    named = s.itens.join(names, ["client_key", "produto_key"]).withColumn("produto_key", F.col("categoria"))
-    return canonical.read_itens_venda(named, s.vendas)
+    if s.produtos.count() > PRODUCTS_SORTED:
+        names = names.hint("shuffle_hash")
+    return s.itens.join(names, ["client_key", "produto_key"]).withColumn("produto_key", F.col("categoria"))
+
+
+@shared
+def _by_category(s: DriverShop) -> DataFrame:
+    """Items of finished sales with the category in place of the product."""
+    return canonical.read_itens_venda(_named(s), s.vendas)
 
 
 def _sets(s: DriverShop, support: float = 0.01) -> DataFrame:
-    return basket.itemsets(_by_category(s), support)
+    """Sets of categories; baskets are built where their items met the sale, without a further shuffle."""
+    dealt = basket.by_sale(_named(s), s.itens.count())
+    return basket.itemsets(canonical.read_itens_venda(dealt, s.vendas), support)
 
 
 def _listed(sets: DataFrame) -> DataFrame:

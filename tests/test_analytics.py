@@ -2,12 +2,15 @@ import random
 from collections import Counter
 from datetime import date, datetime, timedelta
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from frames import rows
+from pyspark.sql import functions as F
 
 from shopgrain.operators import abcxyz, anomaly, basket, customers, forecast, pricing
+from shopgrain.plans import queries
 
 
 def test_abc_boundary_and_ties(make):
@@ -107,6 +110,44 @@ def test_ten_baskets_are_enough_nine_are_not(make):
     assert out == [("b", 10)] * 3
 
 
+def dealt_shop(make):
+    """Forty finished sales and one open one, of five products in three categories; three of them hold one product twice."""
+    lines = [(k, p) for k in range(40) for p in range(5) if (k + p) % 3 or k % 4 == 0] + [(k, 1) for k in range(3)]
+    return SimpleNamespace(
+        itens=make.itens([("a", f"s{k}", f"p{p}", 1, 1, 0, 1) for k, p in [*lines, (40, 0)]]).drop("data_venda"),
+        vendas=make.vendas([("a", f"s{k}", "2024-01-01 10:00:00", "c", "v", 1, 0) for k in range(40)]
+                           + [("a", "s40", "2024-01-01 10:00:00", "c", "v", 1, 0, "pendente")]),
+        produtos=make.produtos([("a", f"p{p}", "n", f"C{p % 3}", 1, 2) for p in range(5)]),
+    ), [[f"C{p % 3}" for k, p in lines if k == n] for n in range(40)]
+
+
+def test_basket_tasks_do_not_grow_with_the_items(make, monkeypatch):
+    """More items make more tasks than the session has partitions; a sale stays in one task, and the sets are the same."""
+    shop, baskets = dealt_shop(make)
+    seen, itemsets = [], basket.itemsets
+    monkeypatch.setattr(basket, "itemsets", lambda i, *a: seen.append(i) or itemsets(i, *a))
+    plain = {tuple(r.itens): r.suporte for r in queries._sets(shop, 0.05).collect()}
+    monkeypatch.setattr(basket, "ITEMS_IN_TASK", 10)
+    dealt = {tuple(r.itens): r.suporte for r in queries._sets(shop, 0.05).collect()}
+    n = -(-shop.itens.count() // 10)
+    assert n > 4 and seen[1].rdd.getNumPartitions() == n
+    where = seen[1].select("venda_key", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(where) == 40 and len({r.task for r in where}) > 4
+    # Gathering the baskets adds no shuffle that the session's partitions bound.
+    gathered = seen[1].groupBy("client_key", "venda_key").agg(F.collect_set("produto_key").alias("b"))
+    assert gathered.rdd.getNumPartitions() == n
+    assert dealt == plain == {s: pytest.approx(v) for s, v in brute_rules(baskets, 0.05, 0.2, 1.2)[0].items()}
+
+
+def test_large_catalogue_is_not_met_by_sorting_the_items(make, monkeypatch):
+    shop, _ = dealt_shop(make)
+    before = rows(queries._by_category(SimpleNamespace(**vars(shop))), "venda_key", "produto_key")
+    monkeypatch.setattr(queries, "PRODUCTS_SORTED", 4)
+    after = queries._by_category(SimpleNamespace(**vars(shop)))
+    assert "strategy=shuffle_hash" in after._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(after, "venda_key", "produto_key") == before
+
+
 def monthly(key, prices, quantities):
     return [
         ("a", f"{key}{m}", key, q, p, 0, round(p * q, 2), f"2024-{m + 1:02d}-10")
