@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.numbers import rint
 from shopgrain.functions.ordering import top_n
-from shopgrain.functions.tenancy import attach
+from shopgrain.functions.tenancy import attach, tenant_bound
 from shopgrain.sources.shared import materialize
 
 MIN_BASKETS = 10
@@ -28,12 +28,14 @@ def by_sale(itens: DataFrame, rows: int) -> DataFrame:
 
     Gathering baskets sorts the items of a task, so its memory would grow with
     the data while the session's partitions do not.  A join with the sales and
-    :func:`itemsets` after this keep the dealing.
+    :func:`itemsets` after this keep the dealing, for which it must name their
+    keys; the name of a single shop is a constant and not among them.
     """
     if rows <= ITEMS_IN_TASK:
         return itens
     session = int(itens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return itens.repartition(max(session, -(-rows // ITEMS_IN_TASK)), "venda_key")
+    keys = ["venda_key"] if tenant_bound(itens) == 1 else ["client_key", "venda_key"]
+    return itens.repartition(max(session, -(-rows // ITEMS_IN_TASK)), *keys)
 
 
 def _frequent(counts: DataFrame, n: DataFrame, min_support: float) -> DataFrame:

@@ -105,9 +105,29 @@ def shared(build: Callable[[DriverShop], DataFrame]) -> Callable[[DriverShop], D
     return get
 
 
+#: Fewer sales may be broadcast, which spares the items a shuffle.
+SALES_SENT = 4_000_000
+
+
 @shared
 def _itens_ok(s: DriverShop) -> DataFrame:
-    return canonical.read_itens_venda(s.itens, s.vendas)
+    itens = s.itens
+    if "_dealt" in s.__dict__ and s.vendas.count() > SALES_SENT:
+        itens = basket.by_sale(itens, itens.count())
+    return canonical.read_itens_venda(itens, s.vendas)
+
+
+def dealt(build: Callable[[DriverShop], DataFrame]) -> Callable[[DriverShop], DataFrame]:
+    """Let the items of a query meet their sales in tasks whose number grows with the items.
+
+    For sums of so many groups that a task finds few items of each: more tasks
+    then hardly make more partial sums.
+    """
+    def get(s: DriverShop) -> DataFrame:
+        s.__dict__.update(_dealt=True)
+        return build(s)
+
+    return get
 
 
 def summed(
@@ -258,8 +278,8 @@ def _by_category(s: DriverShop) -> DataFrame:
 
 def _sets(s: DriverShop, support: float = 0.01) -> DataFrame:
     """Sets of categories; baskets are built where their items met the sale, without a further shuffle."""
-    dealt = basket.by_sale(_named(s), s.itens.count())
-    return basket.itemsets(canonical.read_itens_venda(dealt, s.vendas), support)
+    itens = basket.by_sale(_named(s), s.itens.count())
+    return basket.itemsets(canonical.read_itens_venda(itens, s.vendas), support)
 
 
 def _listed(sets: DataFrame) -> DataFrame:
@@ -419,17 +439,17 @@ TEXTS = {
     "ins_categoria_foco": lambda s: insights.ins_categoria_foco(
         _abc(s), s.produtos
     ),
-    "rotacao_temporal": lambda s: insights.rotacao_temporal(
+    "rotacao_temporal": dealt(lambda s: insights.rotacao_temporal(
         _sales_page(s, False).drop("top3"), _history(s), _now(s)
-    ),
+    )),
     "top3_diverso": summed("day", lambda s: insights.top3_diverso(_home(s, False).drop("top3"))),
     "insights_home": summed("day", lambda s: _home(s, True)),
-    "insights_vendas": lambda s: _sales_page(s, True),
-    "ler_insights": lambda s: insights.ler_insights(
+    "insights_vendas": dealt(lambda s: _sales_page(s, True)),
+    "ler_insights": dealt(lambda s: insights.ler_insights(
         _sales_page(s, False).withColumn(
             "gerado_em", F.lit("2024-01-01").cast("timestamp_ntz")
         ), "vendas",
-    ),
+    )),
     "ler_insights_home": summed("day", lambda s: insights.ler_insights(
         _home(s, False).withColumn("gerado_em", F.lit("2024-01-01").cast("timestamp_ntz"))
     )),

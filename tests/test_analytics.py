@@ -9,6 +9,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
+from shopgrain.functions.tenancy import tenant_column
 from shopgrain.operators import abcxyz, anomaly, basket, customers, forecast, pricing
 from shopgrain.plans import queries
 
@@ -110,20 +111,34 @@ def test_ten_baskets_are_enough_nine_are_not(make):
     assert out == [("b", 10)] * 3
 
 
-def dealt_shop(make):
+def dealt_shop(make, single=False):
     """Forty finished sales and one open one, of five products in three categories; three of them hold one product twice."""
     lines = [(k, p) for k in range(40) for p in range(5) if (k + p) % 3 or k % 4 == 0] + [(k, 1) for k in range(3)]
-    return SimpleNamespace(
+    frames = dict(
         itens=make.itens([("a", f"s{k}", f"p{p}", 1, 1, 0, 1) for k, p in [*lines, (40, 0)]]).drop("data_venda"),
         vendas=make.vendas([("a", f"s{k}", "2024-01-01 10:00:00", "c", "v", 1, 0) for k in range(40)]
                            + [("a", "s40", "2024-01-01 10:00:00", "c", "v", 1, 0, "pendente")]),
         produtos=make.produtos([("a", f"p{p}", "n", f"C{p % 3}", 1, 2) for p in range(5)]),
-    ), [[f"C{p % 3}" for k, p in lines if k == n] for n in range(40)]
+    )
+    if single:
+        frames = {k: df.select(tenant_column("a"), *df.drop("client_key").columns) for k, df in frames.items()}
+    return SimpleNamespace(**frames), [[f"C{p % 3}" for k, p in lines if k == n] for n in range(40)]
+
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Tiny items would be broadcast to the sales, which those of a real shop are not."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
 
-def test_basket_tasks_do_not_grow_with_the_items(make, monkeypatch):
+
+@pytest.mark.parametrize("single", [False, True])
+def test_basket_tasks_do_not_grow_with_the_items(make, monkeypatch, no_broadcast, single):
     """More items make more tasks than the session has partitions; a sale stays in one task, and the sets are the same."""
-    shop, baskets = dealt_shop(make)
+    shop, baskets = dealt_shop(make, single)
     seen, itemsets = [], basket.itemsets
     monkeypatch.setattr(basket, "itemsets", lambda i, *a: seen.append(i) or itemsets(i, *a))
     plain = {tuple(r.itens): r.suporte for r in queries._sets(shop, 0.05).collect()}
@@ -139,6 +154,23 @@ def test_basket_tasks_do_not_grow_with_the_items(make, monkeypatch):
     assert dealt == plain == {s: pytest.approx(v) for s, v in brute_rules(baskets, 0.05, 0.2, 1.2)[0].items()}
 
 
+@pytest.mark.parametrize("name", ["insights_vendas", "rotacao_temporal", "ler_insights"])
+def test_items_of_the_sales_page_meet_many_sales_in_tasks_that_follow_them(make, monkeypatch, no_broadcast, name):
+    seen = []
+    monkeypatch.setattr(queries, "_sales_page", lambda s, *a: seen.append(queries._itens_ok(s)) or seen[0])
+    for later in ("_history", "_now"):
+        monkeypatch.setattr(queries, later, lambda s: None)
+    monkeypatch.setattr(queries.insights, "rotacao_temporal", lambda df, *a: df)
+    monkeypatch.setattr(queries.insights, "ler_insights", lambda df, *a: df)
+    monkeypatch.setattr(basket, "ITEMS_IN_TASK", 10)
+    shop, _ = dealt_shop(make)
+    few = rows(queries._itens_ok(SimpleNamespace(**vars(shop))), "venda_key", "produto_key")
+    monkeypatch.setattr(queries, "SALES_SENT", 40)
+    queries.TEXTS[name](shop)
+    assert seen[0].rdd.getNumPartitions() == -(-shop.itens.count() // 10)
+    assert rows(seen[0], "venda_key", "produto_key") == few
+
+
 def test_large_catalogue_is_not_met_by_sorting_the_items(make, monkeypatch):
     shop, _ = dealt_shop(make)
     before = rows(queries._by_category(SimpleNamespace(**vars(shop))), "venda_key", "produto_key")
