@@ -21,6 +21,8 @@ from shopgrain.sources.shared import materialize
 MIN_BASKETS = 10
 #: Items that a task joins with their sales and gathers to baskets, on average.
 ITEMS_IN_TASK = 500_000
+#: Frequent products or pairs, in bytes, that are sent to every task; more of them are shuffled.
+SENT_BYTES = 16 * 1024 * 1024
 
 
 def by_sale(itens: DataFrame, rows: int) -> DataFrame:
@@ -43,6 +45,22 @@ def _frequent(counts: DataFrame, n: DataFrame, min_support: float) -> DataFrame:
     return attach(counts, n).filter((F.col("_n") >= MIN_BASKETS) & (share >= min_support))
 
 
+def _sent(found: DataFrame, *cols: str) -> bool:
+    """Whether the frequent products or pairs in ``cols`` are few enough to be sent to every task."""
+    size = sum(F.octet_length(c) + F.lit(16) for c in cols)
+    return (found.agg(F.sum(size)).first()[0] or 0) <= SENT_BYTES
+
+
+def _join_found(baskets: DataFrame, found: DataFrame, on: Sequence[str], sent: bool) -> DataFrame:
+    """Join baskets with what was found frequent, never sending the baskets.
+
+    The planner cannot tell how many rows an expanded basket makes.  Without a
+    hint it may take the baskets for the smaller side, and gather them all in
+    the driver to broadcast them.
+    """
+    return baskets.join(F.broadcast(found) if sent else found.hint("merge"), list(on))
+
+
 def _after(items: Column, index: Column) -> Column:
     return F.slice(items, index + F.lit(2), F.size(items))
 
@@ -54,26 +72,28 @@ def itemsets(
 
     Fewer than ten sales give no sets.  A product repeated in a sale counts once.
     """
-    # One row per distinct basket, the only thing written: every level reads it.
+    # One row per distinct basket.  What several levels read is written once: baskets, frequent products and pairs.
     whole = materialize(
         itens.groupBy("client_key", "venda_key").agg(F.array_sort(F.collect_set(item)).alias("_basket"))
         .groupBy("client_key", "_basket").agg(F.count(F.lit(1)).alias("_weight"))
     )
     n = whole.groupBy("client_key").agg(F.sum("_weight").alias("_n"))
-    single = _frequent(
+    single = materialize(_frequent(
         whole.select("client_key", "_weight", F.explode("_basket").alias("_item"))
         .groupBy("client_key", "_item").agg(F.sum("_weight").alias("_count")),
         n, min_support,
-    )
+    ))
     levels = [single.select("client_key", F.array("_item").alias("itens"), "_count", "_n")]
     # Baskets keep their frequent products, of which a shop has at most mean basket size / min_support.
     kept = single.groupBy("client_key").agg(F.collect_list("_item").alias("_kept"))
     baskets = (
-        attach(whole, kept, row_bytes=64 * 1024)
+        _join_found(whole, kept, ["client_key"], _sent(single, "_item"))
         .select("client_key", F.array_intersect("_basket", "_kept").alias("_basket"), "_weight")
         .filter(F.size("_basket") > 1)
         .groupBy("client_key", "_basket").agg(F.sum("_weight").alias("_weight"))
     )
+    if max_len >= 3:
+        baskets = materialize(baskets)
     if max_len >= 2:
         two = baskets.select(
             "client_key", "_weight",
@@ -82,21 +102,23 @@ def itemsets(
             "client_key", "_weight", "_a",
             F.explode(_after(F.col("_basket"), F.col("_i"))).alias("_b"),
         )
-        pair_counts = _frequent(
+        pair_counts = materialize(_frequent(
             two.groupBy("client_key", "_a", "_b").agg(F.sum("_weight").alias("_count")),
             n, min_support,
-        )
+        ))
         levels.append(
             pair_counts.select("client_key", F.array("_a", "_b").alias("itens"), "_count", "_n")
         )
     if max_len >= 3:
+        sent = _sent(pair_counts, "_a", "_b")
         # Partners of a product that come after it, from the frequent pairs.
         partners = pair_counts.groupBy("client_key", "_a").agg(
             F.array_sort(F.collect_list("_b")).alias("_next")
         )
-        first = baskets.select(
-            "client_key", "_weight", "_basket", F.explode("_basket").alias("_a")
-        ).join(partners, ["client_key", "_a"]).select(
+        first = _join_found(
+            baskets.select("client_key", "_weight", "_basket", F.explode("_basket").alias("_a")),
+            partners, ["client_key", "_a"], sent,
+        ).select(
             "client_key", "_weight", "_a",
             F.array_sort(F.array_intersect("_basket", "_next")).alias("_rest"),
         ).filter(F.size("_rest") > 1).groupBy("client_key", "_a", "_rest").agg(
@@ -105,9 +127,10 @@ def itemsets(
         second = partners.select(
             "client_key", F.col("_a").alias("_b"), F.col("_next").alias("_next_b")
         )
-        three = first.select(
-            "client_key", "_weight", "_a", "_rest", F.explode("_rest").alias("_b")
-        ).join(second, ["client_key", "_b"]).select(
+        three = _join_found(
+            first.select("client_key", "_weight", "_a", "_rest", F.explode("_rest").alias("_b")),
+            second, ["client_key", "_b"], sent,
+        ).select(
             "client_key", "_weight", "_a", "_b",
             F.explode(F.array_intersect("_rest", "_next_b")).alias("_c"),
         )

@@ -154,6 +154,24 @@ def test_basket_tasks_do_not_grow_with_the_items(make, monkeypatch, no_broadcast
     assert dealt == plain == {s: pytest.approx(v) for s, v in brute_rules(baskets, 0.05, 0.2, 1.2)[0].items()}
 
 
+@pytest.mark.parametrize("sent, strategy", [(1024, "broadcast"), (-1, "merge")])
+def test_expanded_baskets_are_never_gathered_in_the_driver(make, monkeypatch, sent, strategy):
+    """Frequent products and pairs go to the baskets, or both are shuffled; the planner is not left to send the baskets."""
+    monkeypatch.setattr(basket, "SENT_BYTES", sent)
+    shop, baskets = dealt_shop(make, single=True)
+    joins, join_found = [], basket._join_found
+    monkeypatch.setattr(basket, "_join_found", lambda *a: joins.append(join_found(*a)) or joins[-1])
+    sets = queries._sets(shop, 0.05)
+    levels = [line for line in sets._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(levels) == 3 and all("rightHint=(strategy=" in line for line in levels)
+    for joined in joins:
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert f"rightHint=(strategy={strategy})" in plan.split("Join ")[1].splitlines()[0]
+    assert len(joins) == 3
+    got = {tuple(r.itens): r.suporte for r in sets.collect()}
+    assert got == {s: pytest.approx(v) for s, v in brute_rules(baskets, 0.05, 0.2, 1.2)[0].items()}
+
+
 @pytest.mark.parametrize("name", ["insights_vendas", "rotacao_temporal", "ler_insights"])
 def test_items_of_the_sales_page_meet_many_sales_in_tasks_that_follow_them(make, monkeypatch, no_broadcast, name):
     seen = []
