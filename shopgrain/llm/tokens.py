@@ -96,7 +96,12 @@ class WordEncoder(PieceEncoder):
         return None if _ODD_SPACE.search(text) else text.split()
 
     def ids(self, text: str) -> list[int]:
-        return self._all.encode(text, add_special_tokens=False).ids
+        try:
+            return self._all.encode(text, add_special_tokens=False).ids
+        except TypeError:
+            # The library takes no surrogate; replace those that stand alone, as the byte-level one does.
+            text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            return self._all.encode(text, add_special_tokens=False).ids
 
     def piece(self, piece: str) -> bytes:
         if "<|" in piece or not _PLAIN.fullmatch(piece):

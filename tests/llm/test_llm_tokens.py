@@ -23,6 +23,13 @@ def test_encoders_give_the_library_s_ids(text):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.ids(text)
 
 
+def test_a_lone_surrogate_counts_as_the_replacement_character():
+    for coder in (tokens.word_encoder(WORD), tokens.byte_encoder(BYTES)):
+        for text in ("\ud800", "a\udfffb c", "x \ud83d\ude00 y"):
+            whole = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.ids(text) == coder.ids(whole)
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 3)
     coder = tokens.WordEncoder(WORD)
